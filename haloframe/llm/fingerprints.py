@@ -130,19 +130,22 @@ def next_ids(ids: DataFrame, partitions: int | None = None) -> DataFrame:
 def with_next_heads(docs: DataFrame) -> DataFrame:
     """Adds ``next_id`` and ``head``: as much of the next document's start as the edit needs.
 
-    Both joins use one exchange of the texts by ``doc_id``.
+    Both joins use one exchange of the texts by ``doc_id``, so rows without an id stay out of them.
     """
+    named = docs.where("doc_id IS NOT NULL")
     need = (F.max(F.char_length("text")) / 4).cast("int")
-    wanted = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(need.alias("need"))
-    wanted = cut(wanted)
+    wanted = cut(named.groupBy("doc_id").agg(need.alias("need")))
     pairs = next_ids(wanted.select("doc_id")).join(wanted, "doc_id").select(F.col("doc_id").alias("to"), "next_id", "need")
+    # Renamed here and in the query alike: only equal projections share an exchange.
+    following = named.select(F.col("doc_id").alias("next_id"), "text")
     heads = (
-        docs.join(pairs.hint("merge"), docs["doc_id"] == pairs["next_id"])
+        following.join(pairs.hint("merge"), "next_id")
         .select(F.col("to").alias("doc_id"), "next_id", F.expr("left(text, need)").alias("head"))
         .groupBy("doc_id", "next_id")
         .agg(F.min("head").alias("head"))
     )
-    return docs.join(heads.hint("merge"), "doc_id", "left")
+    unnamed = docs.where("doc_id IS NULL").select("*", F.lit(None).cast("bigint").alias("next_id"), F.lit("").alias("head"))
+    return named.join(heads.hint("merge"), "doc_id").unionByName(unnamed)
 
 
 def op6_fingerprints(spark, sf_dir: str) -> DataFrame:
