@@ -164,6 +164,10 @@ def _small_links(signed: DataFrame) -> DataFrame:
     )
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose whole sets are similar enough."""
     both = (
@@ -178,30 +182,54 @@ def _compatible(m: Column, n: Column, percent: int) -> Column:
     return F.least(m, n) * 100 >= F.greatest(m, n) * percent
 
 
+def _could_link(m: Column, n: Column, shared: Column, percent: int) -> Column:
+    """Whether sets of sizes ``m`` and ``n`` may be linked if they share so many listed shingles.
+
+    Of the set whose listed shingles end first, what it shares is listed in both, or not listed.
+    """
+    rest = F.greatest(F.ceil(m * percent / 100), F.ceil(n * percent / 100)) - 1
+    return shared + rest >= F.ceil((m + n) * percent / (100 + percent))
+
+
 def _mixed(lists: DataFrame, found: DataFrame) -> DataFrame:
     """The lists whose members are in more than one component."""
-    placed = lists.select("shingle", "node", "n", "at").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = cut(placed.select("shingle", "node", "n", "at", "component"))
+    placed = lists.select("shingle", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = cut(placed.select("shingle", "node", "n", "component"))
     mixed = placed.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("members"))
     return cut(placed.join(mixed.where("x <> y").select("shingle", "members"), "shingle"))
 
 
+def _stars(lists: DataFrame, percent: int) -> DataFrame:
+    """Each node paired with the pivot that it shares most lists with."""
+    heavy = lists.where(F.col("shingle").bitwiseAND(F.lit(15)) > 0)
+    head = heavy.groupBy("shingle").agg(F.min("pivot").alias("first"))
+    across = heavy.select("shingle", "pivot").distinct().join(head, "shingle").where("pivot.node <> first.node")
+    across = across.select(F.col("first.node").alias("a"), F.col("pivot.node").alias("b"), F.col("first.n").alias("m"), F.col("pivot.n").alias("n"))
+    own = lists.where("pivot.node <> node").groupBy(F.col("pivot.node").alias("a"), F.col("node").alias("b"), F.col("pivot.n").alias("m"), "n").count()
+    possible = _compatible(F.col("m"), F.col("n"), percent) & _could_link(F.col("m"), F.col("n"), F.col("count"), percent)
+    best = own.where(possible).groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    return best.unionByName(across.where(_compatible(F.col("m"), F.col("n"), percent)).select("a", "b")).distinct()
+
+
 def _short_pairs(mixed: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one list in different components, without those that positions rule out."""
+    """Pairs of short lists in different components, without those that share too few of them.
+
+    A pair that also shares a long list may be missed here; it meets in a block.
+    """
     right = mixed.toDF("shingle", *(f"{c}_2" for c in mixed.columns[1:]))
-    needed = F.ceil((F.col("n") + F.col("n_2")) * percent / (100 + percent))
-    bound = F.least("at", "at_2") + 1 + F.least(F.col("n") - F.col("at") - 1, F.col("n_2") - F.col("at_2") - 1)
     apart = (F.col("node") < F.col("node_2")) & (F.col("component") != F.col("component_2"))
     pairs = (
         mixed.join(right, "shingle")
-        .where(apart & _compatible(F.col("n"), F.col("n_2"), percent) & (bound >= needed))
-        .select(F.col("node").alias("a"), F.col("node_2").alias("b"))
-        .distinct()
+        .where(apart & _compatible(F.col("n"), F.col("n_2"), percent))
+        .groupBy(F.col("node").alias("a"), F.col("node_2").alias("b"), "n", "n_2")
+        .count()
+        .where(_could_link(F.col("n"), F.col("n_2"), F.col("count"), percent))
+        .select("a", "b")
     )
     return pairs.join(tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
 
 
-def _blocks(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+def _blocks(mixed: DataFrame) -> DataFrame:
     """The members of long lists in blocks, each block beside each other block of its group.
 
     A group is what long lists connect; it is cut into blocks of ``BLOCK_SHINGLES`` shingles or
@@ -215,12 +243,8 @@ def _blocks(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     last = sized.groupBy("component").agg((F.sum(F.greatest("n", F.lit(BLOCK_LEAST)).cast("bigint")) / BLOCK_SHINGLES).cast("int").alias("last"))
     own = F.col("block")
     met = F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
-    return (
-        dealt.join(last, "component")
-        .select(F.col("component").alias("of"), "node", F.explode(met).alias("met"))
-        .select("of", "met.i", "met.j", "node")
-        .join(sets, "node")
-    )
+    met_rows = dealt.join(last, "component").select(F.col("component").alias("of"), "node", F.explode(met).alias("met"))
+    return cut(met_rows.select("of", "met.i", "met.j", "node"))
 
 
 def _block_links(percent: int):
@@ -260,6 +284,12 @@ def _block_links(percent: int):
     return compare
 
 
+def _in_lists(listed: DataFrame, by: list[str]) -> DataFrame:
+    """``shingle, node`` with the count and the smallest node of the list (or its part)."""
+    own = Window.partitionBy(*by)
+    return listed.withColumn("c", F.count(F.lit(1)).over(own)).withColumn("pivot", F.min("node").over(own)).select("shingle", "node", "c", "pivot")
+
+
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id``."""
     rows = docs.select(F.col("doc_id").cast("bigint"), "text")
@@ -278,39 +308,34 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     signed = cut(signed)
     links = _small_links(signed)
 
-    listed = signed.select("node", "n", F.posexplode("listed").alias("at", "shingle"))
-    parts = F.pow(F.lit(2), F.col("shingle").bitwiseAND(F.lit(15))).cast("bigint")
-    listed = listed.withColumn("part", F.pmod("node", parts).cast("int"))
-    part = Window.partitionBy("shingle", "part")
-    lists = cut(
-        listed.withColumn("c", F.count(F.lit(1)).over(part))
-        .withColumn("pivot", F.min(F.struct("node", "n")).over(part))
-        .where((F.col("c") > 1) | (F.col("shingle").bitwiseAND(F.lit(15)) > 0))
-        .drop("c")
-    )
-    nodes = lists.select("node").distinct()
-    holders = (
-        members.join(nodes, "node").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("holder")).select("holder").distinct()
+    exponent = F.col("shingle").bitwiseAND(F.lit(15))
+    listed = signed.select("node", F.explode("listed").alias("shingle"))
+    lists = _in_lists(listed.where(exponent == 0), ["shingle"]).where("c > 1").unionByName(
+        _in_lists(listed.where(exponent > 0).withColumn("part", F.pmod("node", F.pow(F.lit(2), exponent).cast("bigint"))), ["shingle", "part"])
     )
+    lists = cut(lists.select("shingle", "node", "pivot"))
+    sizes = signed.select("node", "n")
+    of_pivot = sizes.withColumnsRenamed({"node": "pivot", "n": "m"})
+    lists = cut(lists.join(sizes, "node").join(of_pivot, "pivot").select("shingle", "node", "n", F.struct(F.col("pivot").alias("node"), F.col("m").alias("n")).alias("pivot")))
+    holders = cut(members.where("n > 0").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("holder")))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("holder"), "text")
-    sets = cut(
-        texts.join(small(cut(holders)), "holder", "left_semi").select("text").mapInArrow(_sets(width), "node bigint, shingles array<bigint>").dropDuplicates(["node"])
-    )
+    once = members.agg(F.count(F.lit(1)) == F.countDistinct("doc_id")).first()[0]
 
-    heads = lists.where(F.col("shingle").bitwiseAND(F.lit(15)) > 0).select("shingle", "pivot").distinct()
-    head = heads.groupBy("shingle").agg(F.min("pivot").alias("first"))
-    star = lists.select(F.col("pivot.node").alias("a"), F.col("pivot.n").alias("m"), F.col("node").alias("b"), "n").unionByName(
-        heads.join(head, "shingle").select(F.col("first.node").alias("a"), F.col("first.n").alias("m"), F.col("pivot.node").alias("b"), F.col("pivot.n").alias("n"))
-    )
-    starred = cut(star.where((F.col("a") != F.col("b")) & _compatible(F.col("m"), F.col("n"), percent)).select("a", "b").distinct())
-    links = cut(links.unionByName(_verified(starred, sets, percent)))
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """The whole sets of ``nodes``, hashed again from the texts, so that no others are ever written."""
+        wanted = cut(holders.join(small(cut(nodes.distinct())), "node", "left_semi").select("holder").distinct())
+        sets = texts.join(small(wanted), "holder", "left_semi").select("text").mapInArrow(_sets(width), "node bigint, shingles array<bigint>")
+        return cut(sets if once else sets.dropDuplicates(["node"]))
+
+    starred = cut(_stars(lists, percent))
+    links = cut(links.unionByName(_verified(starred, sets_of(_ends(starred)), percent)))
     found = cut(components(links))
     mixed = _mixed(lists, found)
-    short = _short_pairs(mixed.where(F.col("members") <= SHORT_LIST).drop("members"), starred, percent)
-    blocks = _blocks(mixed.where(F.col("members") > SHORT_LIST).drop("members"), sets)
+    short = cut(_short_pairs(mixed.where(F.col("members") <= SHORT_LIST).drop("members"), starred, percent))
+    blocks = _blocks(mixed.where(F.col("members") > SHORT_LIST).drop("members"))
     extra = cut(
-        _verified(cut(short), sets, percent).unionByName(
-            blocks.groupBy("of", "i", "j").applyInArrow(_block_links(percent), "a bigint, b bigint")
+        _verified(short, sets_of(_ends(short)), percent).unionByName(
+            blocks.join(sets_of(blocks.select("node")), "node").groupBy("of", "i", "j").applyInArrow(_block_links(percent), "a bigint, b bigint")
         )
     )
     final = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(extra))
