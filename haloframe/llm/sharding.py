@@ -93,7 +93,8 @@ def shard(rows: DataFrame, shards: int = SHARDS, salts: int = SALTS, local_sums:
 
     ``salt`` splits large groups, so that neither counting nor numbering gathers one in a task.
     """
-    bucket = F.pmod(F.conv(F.hex(F.substring("key", 1, 3)), 16, 10).cast("int"), F.lit(BUCKETS))
+    head = F.coalesce(F.conv(F.hex(F.substring("key", 1, 2)), 16, 10).cast("int"), F.lit(0))  # null texts come first
+    bucket = F.floor(head * BUCKETS / F.lit(1 << 16)).cast("int")
     parts = cut(
         rows.groupBy("key", "salt").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).withColumn("bucket", bucket)
     )
