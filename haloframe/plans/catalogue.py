@@ -352,10 +352,10 @@ _EPOCH = "cum_imbalance van_cum_imbalance lb_interval_time lb_effort"
 e2 AS (SELECT *, first(imbalance_time) OVER (PARTITION BY epoch ORDER BY iteration) AS base FROM e1),
 e3 AS (SELECT iteration, sum(greatest(0.0, imbalance_time - base)) OVER w AS cum_imbalance, sum(imbalance_time) OVER w AS van_cum_imbalance,
  sum(max_it) OVER w AS lb_interval_time, sum(max_it) OVER w / count(*) OVER w AS lb_effort FROM e2 WINDOW w AS (PARTITION BY epoch ORDER BY iteration))
-{sql_rounded("iteration", _EPOCH, "e3")}"""
+{sql_rounded("iteration", _EPOCH, "e3", 8)}"""
 )
 def epoch_imbalance(spark, d):
-    return rounded(metrics.epochs(stats(spark, d), FRAME), ["iteration"], _EPOCH.split())
+    return rounded(metrics.epochs(stats(spark, d), FRAME), ["iteration"], _EPOCH.split(), 8)
 
 
 @query(f"WITH {T} SELECT iteration // 10 AS frame, round(sum(max_it), 4) + 0.0 AS frame_time FROM s GROUP BY 1")
