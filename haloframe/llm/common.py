@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a narrow side of a join is broadcast; counted first, beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: A key is hot if it holds more than one in so many rows; so there are fewer hot keys than that.
+HOT_SHARE = 1_000
+SALTS = 64
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -31,6 +34,21 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
+    """``left`` left-joined to ``right`` (one row a key) on ``key``, hot keys dealt out by a hash of ``spread``.
+
+    Hot keys of ``left`` are fewer than ``HOT_SHARE`` whatever its size, so they are broadcast, and only
+    their rows of ``right`` are copied ``SALTS`` times.  Rows with a null key match nothing.
+    """
+    rows = left.count()
+    hot = F.broadcast(cut(left.groupBy(key).count().where(F.col("count") * HOT_SHARE > rows).select(key, F.lit(True).alias("__halo_hot"))))
+    salt = F.when(F.col("__halo_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    every = F.when(F.col("__halo_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = left.join(hot, key, "left").withColumn("__halo_salt", salt).drop("__halo_hot")
+    copied = right.join(hot, key, "left").withColumn("__halo_salt", F.explode(every)).drop("__halo_hot")
+    return dealt.join(copied, [key, "__halo_salt"], "left").drop("__halo_salt")
+
+
 def text_key(text: Column) -> Column:
     """A 128-bit identity of a text, the same for equal texts; nulls are equal to each other only."""
     return F.coalesce(F.unhex(F.md5(text)), F.lit(b""))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haloframe.llm.common import components, cut, small
+from haloframe.llm.common import components, cut, join_hot, small
 from haloframe.llm.counting import Tally, total
 from haloframe.llm.words import hash_words, mix, shingles
 
@@ -232,18 +232,18 @@ def _short_pairs(mixed: DataFrame, tested: DataFrame, percent: int) -> DataFrame
 def _blocks(mixed: DataFrame) -> DataFrame:
     """The members of long lists in blocks, each block beside each other block of its group.
 
-    A group is what long lists connect; it is cut into blocks of ``BLOCK_SHINGLES`` shingles or
-    ``BLOCK_SHINGLES / BLOCK_LEAST`` sets, so a task holds two blocks whatever the group's size.
+    A group is what long lists connect; a hash deals it into blocks of about ``BLOCK_SHINGLES`` shingles
+    or ``BLOCK_SHINGLES / BLOCK_LEAST`` sets, so a task holds two blocks whatever the group's size.
     """
     head = mixed.groupBy("shingle").agg(F.min("node").alias("a"))
     groups = components(mixed.join(head, "shingle").select("a", F.col("node").alias("b")))
     sized = cut(groups.join(mixed.select("node", "n").distinct(), "node"))
-    weight = F.sum(F.greatest("n", F.lit(BLOCK_LEAST)).cast("bigint")).over(Window.partitionBy("component").orderBy("node"))
-    dealt = sized.withColumn("block", (weight / BLOCK_SHINGLES).cast("int"))
-    last = sized.groupBy("component").agg((F.sum(F.greatest("n", F.lit(BLOCK_LEAST)).cast("bigint")) / BLOCK_SHINGLES).cast("int").alias("last"))
-    own = F.col("block")
-    met = F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
-    met_rows = dealt.join(last, "component").select(F.col("component").alias("of"), "node", F.explode(met).alias("met"))
+    weight = F.sum(F.greatest("n", F.lit(BLOCK_LEAST)).cast("bigint"))
+    blocks = sized.groupBy("component").agg(F.ceil(weight / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    dealt = join_hot(sized, blocks, "component", "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    own = F.col("own")
+    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
+    met_rows = dealt.select(F.col("component").alias("of"), "node", F.explode(met).alias("met"))
     return cut(met_rows.select("of", "met.i", "met.j", "node"))
 
 
@@ -340,9 +340,12 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     )
     final = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(extra))
 
-    rooted = members.join(final, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    smallest = rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = rooted.where("n > 0").join(smallest, "root").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id")
+    present = members.where("n > 0")
+    low = present.groupBy("node").agg(F.min("doc_id").alias("low"))
+    placed = cut(low.join(final, "node", "left").select("node", "low", F.coalesce("component", "node").alias("root")))
+    smallest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = cut(join_hot(placed, smallest, "root", "node").select("node", "component_id"))
+    linked = join_hot(present, named, "node", "doc_id").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id")
     alone = members.where("n = 0").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 

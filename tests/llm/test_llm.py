@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from haloframe.llm import bpe, chat, fingerprints, html, jaccard, lines, packing, quality, sharding, tiling, urls
-from haloframe.llm.common import components, text_key
+from haloframe.llm.common import components, join_hot, text_key
 from haloframe.llm.words import hash_words, shingles
 
 DOCS = "doc_id long, text string"
@@ -263,3 +263,18 @@ def test_pipeline_runs(spark):
     assert len(corpus_pipeline.STAGES) == 5
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.count() > 0 and "sequence_id" in got.columns
+
+
+def test_deep_pages_align(spark):
+    deep = "<div>" * 4000 + "<p>Deep {0} words</p>" + "</div>" * 4000
+    rows = [(i, f"http://d.com/{i}", deep.format(i)) for i in range(7)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Deep {i} words" for i in range(7)}
+
+
+def test_join_of_hot_keys(spark):
+    left = spark.createDataFrame([(7 if i % 3 else i, i) for i in range(900)] + [(None, 5)], "k long, id long")
+    right = spark.createDataFrame([(i, i * 2) for i in range(0, 900, 2)] + [(7, 14)], "k long, v long")
+    order = lambda df: sorted(map(str, df.select("k", "id", "v").collect()))
+    assert order(join_hot(left, right, "k", "id")) == order(left.join(right, "k", "left"))
+    assert join_hot(left.limit(0), right, "k", "id").count() == 0
