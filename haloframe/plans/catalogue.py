@@ -13,6 +13,7 @@ from haloframe.operators import metrics, partitions, physics, search, spatial
 from haloframe.sources import particles as sources
 from haloframe.sources import traces
 from haloframe.sources.particles import POSITION
+from haloframe.streaming import live
 
 RC, SIG, DT, COST, PARTS = 0.1, 0.05, 0.05, 2000.0, 4
 BOX, RADIUS, FRAME = 0.25, 0.3, 10
@@ -409,12 +410,26 @@ SELECT 0 AS run, iteration FROM f WHERE dec"""
 
 _FRESH = "CASE WHEN f.fresh THEN l.u ELSE f.base END"
 _CUM = "CASE WHEN q.dec THEN 0.0::DOUBLE ELSE q.cum END AS cum"
+_TAIL_SQL = "list_append(CASE WHEN len(f.tail) = 3 THEN f.tail[2:3] ELSE f.tail END, l.max_it)"
 _CRITERIA_SQL = {
     "menon": _recursive("cum", "0.0::DOUBLE AS cum", "f.cum + l.u AS cum", "cum >= 2000.0", _CUM),
     "improved": _recursive("", "0.0::DOUBLE AS cum, 0.0::DOUBLE AS base, true AS fresh", f"f.cum + greatest(0.0, l.u - {_FRESH}) AS cum, {_FRESH} AS base", "cum >= 2000.0", f"{_CUM}, q.base, q.dec OR q.iteration = 0 AS fresh"),
     "nomax": _recursive("", "0.0::DOUBLE AS cum, 0.0::DOUBLE AS base, true AS fresh", f"f.cum + (l.u - {_FRESH}) AS cum, {_FRESH} AS base", "cum >= 2000.0", f"{_CUM}, q.base, q.dec OR q.iteration = 0 AS fresh"),
     "bastien": _recursive("", "0.0::DOUBLE AS cum, 1::BIGINT AS tau", "f.cum + l.u AS cum, f.tau AS tau", "tau * u - cum >= 2000.0", f"{_CUM}, CASE WHEN q.dec THEN 1 ELSE q.tau + 1 END AS tau"),
-}
+    "offline": _recursive(
+        "", "0::BIGINT AS prev, 0::BIGINT AS n", "f.prev AS prev, f.n + (l.iteration > 0)::BIGINT AS n",
+        "(prev + CASE WHEN n > 0 AND u > 0 THEN floor(sqrt(2 * 2000.0::DOUBLE / (u / greatest(n, 1))))::BIGINT ELSE 4294967295 END) % 4294967296 <= iteration",
+        "CASE WHEN q.dec THEN q.iteration ELSE q.prev END AS prev, CASE WHEN q.dec THEN 0 ELSE q.n END AS n",
+    ),
+    "zhai": _recursive(
+        "", "0.0::DOUBLE AS cum, 0.0::DOUBLE AS total, 0::BIGINT AS n, []::DOUBLE[] AS tail",
+        f"f.cum + CASE WHEN l.iteration > 0 THEN list_sort({_TAIL_SQL})[len({_TAIL_SQL}) // 2 + 1] - (f.total + l.max_it) / (f.n + 1) ELSE 0 END AS cum,"
+        " f.total + CASE WHEN l.iteration > 0 THEN l.max_it ELSE 0 END AS total, f.n + (l.iteration > 0)::BIGINT AS n,"
+        f" CASE WHEN l.iteration > 0 THEN {_TAIL_SQL} ELSE f.tail END AS tail",
+        "cum >= 2000.0",
+        f"{_CUM}, CASE WHEN q.dec THEN 0.0::DOUBLE ELSE q.total END AS total, CASE WHEN q.dec THEN 0 ELSE q.n END AS n, CASE WHEN q.dec THEN []::DOUBLE[] ELSE q.tail END AS tail",
+    ),
+}
 for _kind, _sql in _CRITERIA_SQL.items():
 
     @query(_sql, f"crit_{_kind}")
@@ -422,6 +437,45 @@ for _kind, _sql in _CRITERIA_SQL.items():
         return metrics.fold(metrics.lagged(stats(spark, d)), kind, COST)
 
 
+_PROCASSINI = """b AS (SELECT iteration, iteration // 10 AS frame, lag(coalesce(efficiency, 0)) OVER w AS last,
+ (coalesce(sum(coalesce(efficiency, 0)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1) / (row_number() OVER w) AS mean FROM s WINDOW w AS (ORDER BY iteration)),
+h AS (SELECT iteration // 10 + 1 AS frame, sum(max_it) AS time FROM s GROUP BY 1),
+pr AS (SELECT iteration, last, mean, time FROM b LEFT JOIN h USING (frame))"""
+_FIRES = "coalesce(time * (last / nullif(mean, 0)) + 2000.0::DOUBLE < {0} * time, false)"
+
+
+@query(f"WITH {T}, {_PROCASSINI} SELECT iteration, {_FIRES.format('1.5::DOUBLE')} AS decision FROM pr")
+def crit_procassini(spark, d):
+    return metrics.procassini(stats(spark, d), [1.5], COST, FRAME).select("iteration", "decision")
+
+
+def _sweep_sql() -> str:
+    counts = lambda values, prefix, scale, start, rest: (
+        f"SELECT {start} + k AS config, '{prefix}' || (arg * {scale})::INT AS name, {rest} FROM"
+        f" (SELECT unnest({[float(v) for v in values]}::DOUBLE[]) AS arg, unnest(range({len(values)})) AS k)"
+    )
+    parts = [
+        f"SELECT {k} AS config, '{name}' AS name, " + (f"(SELECT count(*) FROM ({_CRITERIA_SQL[kind]})) AS decisions" if kind else "0 AS decisions")
+        for k, (name, kind) in enumerate(metrics.PLAIN)
+    ]
+    at, periods, factors = len(metrics.PLAIN), len(metrics.PERIODS), len(metrics.FACTORS)
+    parts.append(counts(metrics.PERIODS, "Periodic_", 1, at, "count(*) FILTER ((iteration + 1) % arg = 0) AS decisions") + ", l GROUP BY ALL")
+    parts.append(counts(metrics.FACTORS, "Procassini_", 100, at + periods, f"count(*) FILTER ({_FIRES.format('arg')}) AS decisions") + ", pr GROUP BY ALL")
+    outside = "min_it < sum_it / 4.0::DOUBLE * (1 - arg) OR sum_it / 4.0::DOUBLE * (1 + arg) < max_it"
+    parts.append(counts(metrics.TOLERANCES, "Marquez_", 100, at + periods + factors, f"count(*) FILTER ({outside}) AS decisions") + ", l GROUP BY ALL")
+    return f"WITH {T}, {_PROCASSINI} " + " UNION ALL ".join(parts)
+
+
+@query(_sweep_sql())
+def config_sweep(spark, d):
+    return metrics.sweep(stats(spark, d), COST, FRAME)
+
+
+@query(_CRITERIA_SQL["menon"])
+def stream_menon(spark, d):
+    return live.replay(metrics.lagged(stats(spark, d)), COST)
+
+
 # Search for the best schedule
 
 

@@ -47,3 +47,18 @@ def in_ball(spark: SparkSession, count: int, radius: float, seed: int = 0, shell
         (F.col("r") * F.sin("phi") * F.cos("theta")).alias("y"),
         (F.col("r") * F.cos("phi")).alias("z"),
     )
+
+
+def outside_ball(spark: SparkSession, count: int, size: float, centre: tuple[float, ...] = (0.0, 0.0, 0.0), seed: int = 0, tries: int = 40) -> DataFrame:
+    """``count`` points, normal about ``centre`` with deviation ``size / 2``, kept outside the ball of that radius.
+
+    Draws are hashes of row and try, so that a task run again draws the same; the first try outside is taken.
+    None of ``tries`` is outside once in 10^8 points of a plane, or 10^28 of space; such a row is left out.
+    """
+    unit = lambda t, k: (F.pmod(F.xxhash64("id", t, F.lit(k), F.lit(seed)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+    normal = lambda t, k: F.sqrt(-2 * F.log(unit(t, 2 * k))) * F.cos(2 * F.pi() * unit(t, 2 * k + 1))
+    names = POSITION[: len(centre)]
+    draw = F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda t: F.struct(*[(normal(t, k) * (size / 2)).alias(c) for k, c in enumerate(names)]))
+    outside = F.filter(draw, lambda p: sum((p[c] * p[c] for c in names), F.lit(0.0)) > size * size / 4)
+    chosen = spark.range(count).select(F.col("id").alias("gid"), F.get(outside, F.lit(0)).alias("p")).where("p IS NOT NULL")
+    return chosen.select("gid", *[(F.col("p")[c] + m).alias(c) for c, m in zip(names, centre, strict=True)])

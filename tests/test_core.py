@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from haloframe.operators import physics, search, spatial
 from haloframe.plans import catalogue
+from haloframe.sources import particles, sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,6 +67,24 @@ def test_best_schedule_against_brute_force():
     assert search.best_schedule(costs, frames, 4.0)[0] == pytest.approx(least)
 
 
+def test_sinks(spark, tmp_path):
+    rows = frame(spark, [(0, 1, 2), (3, 4, 5)]).withColumn("frame", F.lit(7)).withColumn("part", F.lit(1))
+    sinks.write_frames(rows, f"{tmp_path}/frames")
+    lines = [x for f in sorted((tmp_path / "frames" / "frame=7").glob("*.csv")) for x in f.read_text().splitlines()]
+    assert lines[0] == "x coord,y coord,z coord ,rank" and {"0.0,1.0,2.0,1", "3.0,4.0,5.0,1"} < set(lines)
+    series = spark.createDataFrame([(i, m, i / 2) for i in range(20) for m in ("time", "imbalance")], "iteration long, metric string, value double")
+    sinks.write_series(series, f"{tmp_path}/series")
+    read = [x for f in sorted((tmp_path / "series" / "metric=time").glob("*.txt")) for x in f.read_text().split()]
+    assert read == [str(i / 2) for i in range(20)]
+
+
+@pytest.mark.parametrize("centre", [(1.0, 2.0, 3.0), (0.0, 0.0)])
+def test_outside_the_ball(spark, centre):
+    rows = particles.outside_ball(spark, 500, 2.0, centre).collect()
+    assert len(rows) == 500
+    assert all(sum((r[c] - m) ** 2 for c, m in zip("xyz", centre)) > 1.0 for r in rows)  # noqa: B905
+
+
 @pytest.fixture(scope="session")
 def duck():
     con = duckdb.connect()
