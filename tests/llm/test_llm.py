@@ -2,10 +2,14 @@
 
 import hashlib
 import random
+import re
+import struct
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from haloframe.llm import bpe, chat, fingerprints, html, jaccard, lines, packing, quality, sharding, tiling, urls
@@ -110,35 +114,136 @@ def test_line_dedup(spark):
     assert got[100]["text"] is None and got[102]["text"] == rows[9][1] and got[None]["__halo_n"] == 0
 
 
-def _tiles_by_hand(item, doc, least):
-    """Greedy string tiling, cell by cell."""
-    seen_i, seen_d, total = set(), set(), 0
-    while True:
-        best = (0, 0, 0)
-        for i in range(len(item)):
-            for d in range(len(doc)):
-                n = 0
-                while i + n < len(item) and d + n < len(doc) and item[i + n] == doc[d + n] and i + n not in seen_i and d + n not in seen_d:
-                    n += 1
-                if n > best[0]:
-                    best = (n, i, d)
-        if best[0] < least:
-            return total
-        seen_i |= set(range(best[1], best[1] + best[0]))
-        seen_d |= set(range(best[2], best[2] + best[0]))
-        total += best[0]
-
-
-def test_tiling_against_brute_force():
+def _dedup_by_hand(rows):
+    """The rule of line dedup, row by row: the texts of ``(doc_id, text)`` without recurring lines."""
+    mask = lambda t: "<*>" if re.search(r"\d", t) else t
+    words = lambda x: re.split(r"[ \t\n\x0b\f\r]+", x)
+    own = {}
+    for doc, text in rows:
+        for line in (text or "").split("\n"):
+            tokens = words(line.strip(" "))
+            if len(tokens) >= lines.MIN_TOKENS:
+                own.setdefault(line.strip(" "), []).append(doc)
+    leaf = {x: (len(words(x)), *map(mask, words(x)[: lines.LEAD])) for x in own}
+    groups = {}
+    for x in own:
+        groups.setdefault(leaf[x], []).append(x)
+    template = {}
+    for where, variants in groups.items():
+        if len(variants) < 2 or sum(len(own[x]) for x in variants) < lines.TEMPLATE_DOCS:
+            continue
+        support = Counter()
+        for x in variants:
+            support.update({(k, mask(t)): len(own[x]) for k, t in enumerate(words(x))})
+        for x in variants:
+            shape = tuple((k, t) for k, t in enumerate(map(mask, words(x))) if t != "<*>" and support[k, t] >= lines.TEMPLATE_DOCS)
+            if len(shape) >= lines.CONSTANT * len(words(x)):
+                template[x] = (where, shape)
+    spread = {}
+    for x, t in template.items():
+        spread.setdefault(t, set()).update(own[x])
+    key = {x: t for x, t in template.items() if len(spread[t]) >= lines.TEMPLATE_DOCS}
+    key |= {x: x for x in own if x not in key and len(set(own[x])) > 1}
+    keep = {}
+    for x, t in key.items():
+        keep[t] = min(own[x] + ([keep[t]] if t in keep else []))
+    stays = lambda doc, x: x not in key or keep[key[x]] == doc
+    return {doc: text and "\n".join(x for x in text.split("\n") if stays(doc, x.strip(" "))) for doc, text in rows}
+
+
+def test_line_dedup_against_brute_force(spark):
+    dice = random.Random(11)
+    word = lambda n=40: f"w{chr(97 + dice.randint(0, n) % 26)}{chr(97 + dice.randint(0, n) // 26)}"
+    fixed = [" ".join(word() for _ in range(dice.randint(3, 12))) for _ in range(6)]
+    forms = ["User {} logged in from host {} today", "total of {} items were sold by {} in all of may", "see the {} page now {}"]
+    rows = []
+    for doc in range(60):
+        out = [" ".join(word(600) for _ in range(dice.randint(0, 9))) for _ in range(3)]
+        out += dice.sample(fixed, dice.randint(0, 2)) + [dice.choice(forms).format(dice.choice([dice.randint(1, 99), word()]), dice.randint(1, 9))] * dice.randint(0, 2)
+        dice.shuffle(out)
+        rows.append((doc, "\n".join(out)))
+    rows += [(60, None), (61, ""), (62, "\n\n")]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == _dedup_by_hand(rows) and sum(t != got[d] for d, t in rows) > 20
+
+
+def _signature_by_hand(text):
+    """Order MinHash with the hashes chained as Spark's are."""
+    low = (1 << 35) - 1
+    hash_of = lambda data, seed=42: xxhash.xxh64(data, seed=seed).intdigest()
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    seen, kmers = {}, []
+    for i in range(max(len(words) - 1, min(len(words), 1))):
+        h = hash_of(words[i].encode())
+        if i + 1 < len(words):
+            h = hash_of(words[i + 1].encode(), h)
+        h &= low
+        number = seen[h] = seen.get(h, -1) + 1
+        if number:
+            h = hash_of(struct.pack("<i", number - 1), hash_of(struct.pack("<q", h))) & low
+        kmers.append((h, i))
+    bins = {}
+    for h, i in sorted(kmers):
+        bins.setdefault(h >> 30, []).append((i, h))
+    out = []
+    for k, chosen in sorted(bins.items()):
+        seed = 42
+        for _, h in sorted(chosen[: fingerprints.TUPLE]):
+            seed = hash_of(struct.pack("<q", h), seed)
+        out.append(k << 58 | seed & ((1 << 58) - 1))
+    return out
+
+
+def test_fingerprints_against_brute_force(spark):
+    dice = random.Random(4)
+    texts = [" ".join(dice.choice(["a", "b", "c", f"w{dice.randint(0, 200)}"]) for _ in range(n)) for n in (0, 1, 2, 3, 10, 60, 400, 3000)]
+    texts += ["x " * 500, "\t\n ", "é ü\x0b漢字  🙂"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", fingerprints.signature(F.col("text")).alias("s"))
+    assert all(r["s"] == _signature_by_hand(r["text"]) for r in df.collect())
+
+
+CLASHES = ["doc", "raw", "leaf", "key", "keep", "gone", "template", "node", "n", "component", "component_id", "n_shingles", "score", "quality", "block", "item_id", "count", "line", "ids"]
+
+
+@pytest.mark.parametrize("name, left", [("quality_classifier", None), ("line_dedup", 6), ("jaccard_join", 5), ("decontamination", 6), ("packing", 6)])
+def test_stages_on_odd_rows(spark, name, left):
+    """Nulls, empty texts, repeated rows, clashing names and an empty table at every stage."""
+    import corpus_pipeline
+
+    rows = [(*r, None, "web", None, *[i if i % 2 else None] * len(CLASHES)) for i, r in enumerate(ODD)]
+    docs = spark.createDataFrame(rows, f"{DOCS}, lang string, source string, n_chars long, {', '.join(f'{c} int' for c in CLASHES)}")
+    stage = dict(corpus_pipeline.STAGES)[name]
+    got = stage(spark, docs, "/root/testdata/sf0.001")
+    assert name == "packing" or got.columns == docs.columns
+    assert left is None or got.count() == left
+    assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
+
+
+def _longest_by_hand(item, doc, item_marked, doc_marked):
+    """The length of the longest match of unmarked words, cell by cell."""
+    best = 0
+    for i in range(len(item)):
+        for d in range(len(doc)):
+            n = 0
+            while i + n < len(item) and d + n < len(doc) and item[i + n] == doc[d + n] and not item_marked[i + n] and not doc_marked[d + n]:
+                n += 1
+            best = max(best, n)
+    return best
+
+
+def test_tiling_is_greedy():
+    """Each tile is as long as the longest match then left, and none of the least length stays."""
     dice = random.Random(3)
-    for _ in range(40):
-        item = np.array([dice.randint(0, 4) for _ in range(20)], np.uint64)
-        doc = np.array([dice.randint(0, 4) for _ in range(30)], np.uint64)
-        tiles = tiling.tile(item, doc, 3)
-        assert all((item[a : a + n] == doc[b : b + n]).all() for a, b, n in tiles)
-        longest = max((n for *_, n in tiles), default=0)
-        first = _tiles_by_hand(item, doc, max(longest, 3))
-        assert (longest == 0) == (_tiles_by_hand(item, doc, 3) == 0) and (not longest or first >= longest)
+    for _ in range(60):
+        letters = dice.choice([2, 4, 8])
+        item = np.array([dice.randint(0, letters) for _ in range(dice.randint(0, 20))], np.uint64)
+        doc = np.array([dice.randint(0, letters) for _ in range(dice.randint(0, 30))], np.uint64)
+        item_marked, doc_marked = np.zeros(len(item), bool), np.zeros(len(doc), bool)
+        for a, b, n in tiling.tile(item, doc, 3):
+            assert n == _longest_by_hand(item, doc, item_marked, doc_marked) and (item[a : a + n] == doc[b : b + n]).all()
+            assert not item_marked[a : a + n].any() and not doc_marked[b : b + n].any()
+            item_marked[a : a + n] = doc_marked[b : b + n] = True
+        assert _longest_by_hand(item, doc, item_marked, doc_marked) < 3
 
 
 def test_decontamination(spark):
@@ -257,12 +362,34 @@ def test_jaccard_against_brute_force(spark, monkeypatch):
     assert jaccard.join(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_pipeline_runs(spark):
+def test_pipeline_against_brute_force(spark, tmp_path, paths):
+    """Each stage against a plain rule on its own input, and the run as a whole against the last."""
     import corpus_pipeline
 
-    assert len(corpus_pipeline.STAGES) == 5
-    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert got.count() > 0 and "sequence_id" in got.columns
+    sf = "/root/testdata/sf0.001"
+    inputs = [spark.read.parquet(f"{sf}/documents.parquet")]
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, inputs[-1], sf).write.parquet(f"{tmp_path}/{name}")
+        inputs.append(spark.read.parquet(f"{tmp_path}/{name}"))
+    texts = [{r["doc_id"]: r["text"] for r in df.select("doc_id", "text").collect()} for df in inputs[:-1]]
+    model = quality.fit(inputs[0], spark.read.parquet(f"{sf}/labels.parquet"))
+    score = {d: model.score(next(quality.features(pa.array([t], pa.string())))) for d, t in texts[0].items()}
+    assert set(texts[1]) == {d for d, x in score.items() if x >= quality.THRESHOLD}
+    by_hand = _dedup_by_hand(sorted(texts[1].items()))
+    assert texts[2] == {d: t for d, t in by_hand.items() if t == texts[1][d] or t.strip(" ")}
+    assert set(texts[3]) == {d for d, _, low in _brute(sorted(texts[2].items())) if d == low}
+    plain = lambda t: hash_words(pa.array([re.sub(r"[^\w\s]|_", " ", t or "").lower()]))
+    items = [next(iter(plain(r["text"]))).copy() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    leaks = set()
+    for d, t in texts[3].items():
+        words = next(iter(plain(t))).copy()
+        if any(len(w) >= tiling.MIN_MATCH and sum(x[2] for x in tiling.tile(w, words)) >= tiling.COVERAGE * len(w) for w in items):
+            leaks.add(d)
+    assert set(texts[4]) == set(texts[3]) - leaks
+    lengths = {r["doc_id"]: r["n"] for r in inputs[5].groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert lengths == {d: len(bpe.encode(t or "", paths)) + 1 for d, t in texts[4].items()}
+    order = lambda df: sorted(tuple(r) for r in df.select("doc_id", "piece", "start", "length", "ids_crc32").collect())
+    assert order(corpus_pipeline.run(spark, sf)) == order(inputs[5])
 
 
 def test_deep_pages_align(spark):
