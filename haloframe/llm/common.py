@@ -12,6 +12,9 @@ BROADCAST_ROWS = 1_000_000
 #: A key is hot if it holds more than one in so many rows; so there are fewer hot keys than that.
 HOT_SHARE = 1_000
 SALTS = 64
+#: Rows of an Arrow batch where the session names no other number: whole texts that a task holds at once.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -22,6 +25,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="haloframe-"))
 
 
+def ensure_small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_ROWS`` rows, unless the session or the cluster names a number of its own."""
+    if spark.sparkContext.getConf().get(_BATCH) is None and spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder: computed once, and safe from lost executors."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haloframe.llm.common import components, cut, join_hot, small
+from haloframe.llm.common import components, cut, ensure_small_batches, join_hot, small
 from haloframe.llm.counting import Tally, total
 from haloframe.llm.words import hash_words, mix, shingles
 
@@ -292,6 +292,7 @@ def _in_lists(listed: DataFrame, by: list[str]) -> DataFrame:
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id``."""
+    ensure_small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint"), "text")
     summary = cut(rows.mapInArrow(_summary(width), "doc_id bigint, node bigint, n int, block int, counts binary"))
     members = summary.where("block IS NULL").select("doc_id", "node", "n")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haloframe.llm import bpe
-from haloframe.llm.common import cut
+from haloframe.llm.common import cut, ensure_small_batches
 
 CAPACITY = 2048
 END_ID = 0
@@ -39,6 +39,7 @@ def cut_points(total: int, capacity: int) -> list[int]:
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str, str] | None = None) -> DataFrame:
     """Per piece: ``doc_id, piece, start, length, ids`` (little-endian unsigned 32-bit ids)."""
+    ensure_small_batches(docs.sparkSession)
     paths = paths or bpe.default_paths()
     end = np.asarray([END_ID], dtype="<u4")
     schema = pa.schema(

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haloframe.llm.common import cut, small
+from haloframe.llm.common import cut, ensure_small_batches, small
 from haloframe.llm.counting import Tally, total
 from haloframe.llm.words import hash_words, windows
 
@@ -117,6 +117,7 @@ def calibrate(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Learns from ``labels`` (``doc_id, quality``) of documents outside fold 0."""
+    ensure_small_batches(docs.sparkSession)
     marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(
         F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 0)
     )
@@ -167,6 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score`` of every row."""
+    ensure_small_batches(docs.sparkSession)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,6 +180,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, with all their columns, not shuffled."""
+    ensure_small_batches(docs.sparkSession)
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

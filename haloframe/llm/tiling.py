@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from haloframe.llm.common import ensure_small_batches
 from haloframe.llm.words import hash_words, mix, power_tables
 
 MIN_MATCH = 4
@@ -141,6 +142,7 @@ def _seeds(rows: list, least: int, coverage: float) -> Seeds:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
     """A row for each document and benchmark item whose words its tiles cover."""
+    ensure_small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint"), normal(F.col("text")))
     found = None
     for seeds in blocks(benchmark, least, coverage):
@@ -167,6 +169,7 @@ def _matcher(seeds: Seeds):
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
     """``docs`` without the contaminated ones; rows pass where they are read, nothing is shuffled."""
+    ensure_small_batches(docs.sparkSession)
     for seeds in blocks(benchmark, least, coverage):
         docs = docs.select("*", normal(F.col("text"))).mapInArrow(_filter(seeds), docs.schema)
     return docs
