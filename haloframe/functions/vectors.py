@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def lj_coefficient(r2: Column, eps: float, sig: float) -> Column:
@@ -30,17 +34,30 @@ def almost_equal(a: Column, b: Column, eps: float) -> Column:
 
 
 def quadratic_roots(a: Column, b: Column, c: Column) -> Column:
-    """Both real roots, the one with the positive square root first; empty if there are none."""
+    """Both real roots, the one with the positive square root first; empty if there are none.
+
+    With ``a`` = 0 the one root of the line, or none if ``b`` is 0 too.  No root is a difference of
+    nearly equal numbers, so a small ``a`` costs no digits.
+    """
     delta = b * b - 4 * a * c
     root = F.sqrt(F.greatest(delta, F.lit(0.0)))
-    return F.when(delta >= 0, F.array((-b + root) / (2 * a), (-b - root) / (2 * a))).otherwise(F.array().cast("array<double>"))
+    first = F.when(b > 0, 2 * c / (-b - root)).otherwise((-b + root) / (2 * a))
+    second = F.when(b < 0, 2 * c / (-b + root)).otherwise((-b - root) / (2 * a))
+    none = F.array().cast("array<double>")
+    line = F.when(b != 0, F.array(-c / b)).otherwise(none)
+    return F.when(a == 0, line).when(delta >= 0, F.array(first, second)).otherwise(none)
+
+
+@F.arrow_udf(ArrayType(DoubleType()))
+def _running(values: pa.Array, init: pa.Array) -> pa.Array:
+    plus = lambda s, x: None if s is None or x is None else s + x
+    rows = zip(values.to_pylist(), init.to_pylist(), strict=True)
+    return pa.array([None if v is None else list(accumulate(v, plus, initial=i)) for v, i in rows], pa.list_(pa.float64()))
 
 
 def scan_left(values: Column, init: Column) -> Column:
-    """Running sums, the initial value first."""
-    return F.transform(
-        F.sequence(F.lit(0), F.size(values)), lambda k: F.aggregate(F.slice(values, 1, k), init, lambda s, x: s + x)
-    )
+    """Running sums in one pass, the initial value first; null from the first null on."""
+    return _running(values.cast("array<double>"), init.cast("double"))
 
 
 def slice_to(values: Column, start: int, end: int) -> Column:

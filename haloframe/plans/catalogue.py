@@ -159,6 +159,12 @@ def pair_list_small(spark, d):
     return spatial.neighbour_pairs(own.where("gid < 50"), own).select(F.col("gid").alias("gid_a"), F.col("gid_s").alias("gid_b"))
 
 
+@query(f"WITH {P} SELECT a.gid AS gid_a, b.gid AS gid_b FROM c a JOIN c b ON {_near('xyz')}")
+def pair_list(spark, d):
+    own = celled(spark, d)
+    return spatial.neighbour_pairs(own, own).select(F.col("gid").alias("gid_a"), F.col("gid_s").alias("gid_b"))
+
+
 # Time stepping
 
 
@@ -515,6 +521,16 @@ def quadratic(spark, d):
     return particles(spark, d).where("abs(x) > 0.01").select("gid", F.size(roots).alias("roots"), r(F.get(roots, F.lit(0))).alias("first"))
 
 
+@query(
+    f"WITH {P}, q AS (SELECT gid, x, y, z, y * y - 4 * x * z AS d FROM p) SELECT gid, "
+    "CASE WHEN x = 0 THEN CASE WHEN y = 0 THEN 0 ELSE 1 END WHEN d >= 0 THEN 2 ELSE 0 END AS roots, "
+    "CASE WHEN x = 0 THEN round(-z / nullif(y, 0), 4) + 0.0 WHEN d >= 0 THEN round(CASE WHEN y > 0 THEN 2 * z / (-y - sqrt(d)) ELSE (-y + sqrt(d)) / (2 * x) END, 4) + 0.0 END AS first FROM q"
+)
+def quadratic_whole(spark, d):
+    roots = V.quadratic_roots(F.col("x"), F.col("y"), F.col("z"))
+    return particles(spark, d).select("gid", F.size(roots).alias("roots"), r(F.get(roots, F.lit(0))).alias("first"))
+
+
 @query(f"WITH {P} SELECT gid, round(z * cos(y) * cos(x), 6) + 0.0 AS px, round(z * cos(y) * sin(x), 6) + 0.0 AS py, round(z * sin(y), 6) + 0.0 AS pz FROM p")
 def sph2cart(spark, d):
     az, el, rad = F.col("x"), F.col("y"), F.col("z")
@@ -530,6 +546,12 @@ def scan_left(spark, d):
     return scanned.select("gid", r(F.element_at("s", -1)).alias("last"), F.size("s").alias("size"))
 
 
+@query("SELECT vec_id AS gid, round(list_sum(embedding::DOUBLE[]), 4) + 0.0 AS last, len(embedding) + 1 AS size FROM embeddings")
+def scan_left_whole(spark, d):
+    own = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("gid"), V.scan_left(F.col("embedding"), F.lit(0.0)).alias("s"))
+    return own.select("gid", r(F.element_at("s", -1)).alias("last"), F.size("s").cast("bigint").alias("size"))
+
+
 @query("SELECT vec_id AS gid, len(embedding[3:6]) AS size, round(list_sum(embedding[3:6]::DOUBLE[]), 4) + 0.0 AS total FROM embeddings", "slice")
 def slice_(spark, d):
     own = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("gid"), V.slice_to(F.col("embedding"), 2, 5).cast("array<double>").alias("v"))
@@ -543,6 +565,13 @@ def zip_unzip(spark, d):
     return zipped.select("gid", r(V.dot(F.transform("ab", lambda q: q["a"].cast("double")), F.transform("ab", lambda q: q["b"].cast("double")))).alias("total"))
 
 
+@query("SELECT vec_id AS gid, round(list_sum(list_transform(list_zip(embedding, list_reverse(embedding)), lambda q: q[1]::DOUBLE * q[2])), 4) + 0.0 AS total FROM embeddings")
+def zip_unzip_whole(spark, d):
+    own = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("gid"), F.col("embedding").alias("a"), F.reverse("embedding").alias("b"))
+    zipped = own.select("gid", F.arrays_zip("a", "b").alias("ab"))
+    return zipped.select("gid", r(V.dot(F.transform("ab", lambda q: q["a"].cast("double")), F.transform("ab", lambda q: q["b"].cast("double")))).alias("total"))
+
+
 @query("SELECT vec_id AS gid, len(flatten([embedding[1:3], embedding[4:9]])) AS size FROM embeddings")
 def flatten(spark, d):
     own = spark.read.parquet(f"{d}/embeddings.parquet")
