@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haloframe.llm.common import components, cut, ensure_small_batches, join_hot, small
+from haloframe.llm.common import components, cut, ensure_small_batches, join_hot, small, text_key
 from haloframe.llm.counting import Tally, total
 from haloframe.llm.words import hash_words, mix, shingles
 
@@ -81,7 +81,7 @@ def _node(own: np.ndarray) -> int:
 
 def _summary(width: int):
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, names = Tally(COUNTERS), ["doc_id", "node", "n", "block", "counts"]
+        tally, names = Tally(COUNTERS), ["doc_id", "node", "n", "block", "counts", "key"]
         for batch in batches:
             nodes, sizes = [], []
             for words in hash_words(batch.column(1)):
@@ -91,12 +91,12 @@ def _summary(width: int):
                 sizes.append(len(own))
             none = [None] * len(nodes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(none, pa.int32()), pa.array(none, pa.binary())],
+                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(none, pa.int32()), pa.array(none, pa.binary()), batch.column(2)],
                 names=names,
             )
         for k, counts in tally.blocks():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([v], t) for v, t in ((None, pa.int64()), (None, pa.int64()), (None, pa.int32()), (k, pa.int32()), (counts, pa.binary()))],
+                [pa.array([v], t) for v, t in ((None, pa.int64()), (None, pa.int64()), (None, pa.int32()), (k, pa.int32()), (counts, pa.binary()), (None, pa.binary()))],
                 names=names,
             )
 
@@ -290,12 +290,12 @@ def _in_lists(listed: DataFrame, by: list[str]) -> DataFrame:
     return listed.withColumn("c", F.count(F.lit(1)).over(own)).withColumn("pivot", F.min("node").over(own)).select("shingle", "node", "c", "pivot")
 
 
-def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_shingles, component_id``."""
+def _linked(docs: DataFrame, width: int, percent: int, key: Column) -> tuple[DataFrame, DataFrame]:
+    """Per row of ``docs`` ``doc_id, node, n, key``, and ``node, component`` of the nodes with links."""
     ensure_small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text")
-    summary = cut(rows.mapInArrow(_summary(width), "doc_id bigint, node bigint, n int, block int, counts binary"))
-    members = summary.where("block IS NULL").select("doc_id", "node", "n")
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text", key.alias("key"))
+    summary = cut(rows.mapInArrow(_summary(width), "doc_id bigint, node bigint, n int, block int, counts binary, key binary"))
+    members = summary.where("block IS NULL").select("doc_id", "node", "n", "key")
     counts = np.minimum(total(summary.where("block IS NOT NULL"), COUNTERS), (1 << 32) - 1).astype(np.uint32)
     sizes = members.where(F.col("n").between(1, SMALL_MOST)).groupBy("n").agg(F.countDistinct("node")).collect()
     most = boundary(dict(map(tuple, sizes)), percent)
@@ -339,13 +339,22 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
             blocks.join(sets_of(blocks.select("node")), "node").groupBy("of", "i", "j").applyInArrow(_block_links(percent), "a bigint, b bigint")
         )
     )
-    final = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(extra))
+    return members, components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(extra))
+
+
+def _lowest(present: DataFrame, final: DataFrame, value: Column) -> DataFrame:
+    """``node, low``: the smallest ``value`` among all rows of the node's component."""
+    own = present.groupBy("node").agg(F.min(value).alias("low"))
+    placed = cut(own.join(final, "node", "left").select("node", "low", F.coalesce("component", "node").alias("root")))
+    smallest = placed.groupBy("root").agg(F.min("low").alias("lowest"))
+    return cut(join_hot(placed, smallest, "root", "node").select("node", F.col("lowest").alias("low")))
+
 
+def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, n_shingles, component_id``."""
+    members, final = _linked(docs, width, percent, F.lit(None).cast("binary"))
     present = members.where("n > 0")
-    low = present.groupBy("node").agg(F.min("doc_id").alias("low"))
-    placed = cut(low.join(final, "node", "left").select("node", "low", F.coalesce("component", "node").alias("root")))
-    smallest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = cut(join_hot(placed, smallest, "root", "node").select("node", "component_id"))
+    named = _lowest(present, final, F.col("doc_id")).withColumnRenamed("low", "component_id")
     linked = join_hot(present, named, "node", "doc_id").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id")
     alone = members.where("n = 0").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
@@ -356,11 +365,20 @@ def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest id; of rows sharing it, equal ones once."""
-    found = cut(join(docs))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__halo_gone")).distinct()
-    kept = docs.join(small(gone), docs["doc_id"] == F.col("__halo_gone"), "left_anti")
-    repeated = cut(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__halo_twice")))
-    twice = docs["doc_id"] == F.col("__halo_twice")
-    single = kept.join(small(repeated), twice, "left_anti")
-    return single.unionByName(kept.join(small(repeated), twice, "left_semi").dropDuplicates(["doc_id", "text"]))
+    """One row of each component stays: the one with the smallest id (nulls last), then the smallest hash of its text.
+
+    A row is told by its id and a hash of its whole text, so texts that share an id, or have none, are judged
+    each on its own.  Rows equal in both are one.  Rows without shingles are linked with no other text.
+    """
+    members, final = _linked(docs, WIDTH, PERCENT, text_key(F.col("text")))
+    rows = cut(members.groupBy("doc_id", "key", "node", "n").agg(F.count(F.lit(1)).alias("times")))
+    present = rows.where("n > 0")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    found = join_hot(present, _lowest(present, final, own), "node", "key")
+    mark = [F.col("doc_id").alias("__halo_doc"), F.col("key").alias("__halo_key")]
+    gone = cut(found.where(~(F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("key") == F.col("low.key")))).select(*mark))
+    repeated = cut(rows.where("times > 1").select(*mark))
+    same = docs["doc_id"].cast("bigint").eqNullSafe(F.col("__halo_doc")) & (text_key(docs["text"]) == F.col("__halo_key"))
+    kept = docs.join(small(gone), same, "left_anti")
+    repeated = small(repeated)
+    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
