@@ -4,9 +4,9 @@ A line's leaf is its token count and its first ``LEAD`` tokens, a token with a d
 variable field.  In a leaf where several different lines meet, a token that recurs at its position in
 ``TEMPLATE_DOCS`` documents is constant and any other is a variable field; a line of which ``CONSTANT``
 of the tokens are constant has these as its template.  A template recurs if ``TEMPLATE_DOCS`` documents
-have it; a line also recurs, as a template without variables, if it is literally in ``LINE_DOCS``
-documents.  Recurring templates are dropped from all documents but the one with the smallest id, so
-that nothing vanishes from the corpus altogether.  Lines under ``MIN_TOKENS`` tokens are left alone.
+have it; a line of any length also recurs, as a template without variables, if it is literally in
+``LINE_DOCS`` documents.  Recurring templates are dropped from all documents but the one with the smallest id, so
+that nothing vanishes from the corpus altogether.  Lines under ``MIN_TOKENS`` tokens have no template.
 
 Nulls: a null text has no lines and stays null; null ids count as one document, before all others.  Rows
 sharing an id are one document.  An empty table gives no rows.  Texts and lines of any length are used
@@ -48,15 +48,18 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _leaves(lines: DataFrame) -> DataFrame:
-    tokens = lines.withColumn("tokens", _tokens(F.col("line"))).withColumn("n", F.size("tokens")).where(F.col("n") >= MIN_TOKENS)
+    """``lines`` with tokens, hash and leaf; the leaf of lines too short for a template is null."""
+    tokens = lines.withColumn("tokens", _tokens(F.col("line"))).withColumn("n", F.size("tokens"))
     lead = F.transform(F.slice("tokens", 1, LEAD), _masked)
-    return tokens.withColumn("leaf", F.xxhash64("n", F.array_join(lead, " "))).withColumn("raw", _line_hash(F.col("line")))
+    leaf = F.when(F.col("n") >= MIN_TOKENS, F.xxhash64("n", F.array_join(lead, " ")))
+    return tokens.withColumn("leaf", leaf).withColumn("raw", _line_hash(F.col("line")))
 
 
 def _templates(docs: DataFrame, lines: DataFrame, literal: DataFrame) -> DataFrame:
     """``raw, template`` of the lines whose generalised template recurs."""
     leaves = (
-        literal.groupBy("leaf")
+        literal.where("leaf IS NOT NULL")
+        .groupBy("leaf")
         .agg(F.count(F.lit(1)).alias("variants"), F.sum("seen").alias("seen"))
         .where((F.col("variants") > 1) & (F.col("seen") >= TEMPLATE_DOCS))
         .select("leaf")
@@ -117,6 +120,6 @@ def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their recurring lines; those of which nothing is left go."""
-    cleaned = dedup(docs).where("NOT (__halo_n > 0 AND trim(text) = '')")
+    """Documents without their recurring lines; those of which nothing but white space is left go."""
+    cleaned = dedup(docs).where((F.col("__halo_n") == 0) | F.col("text").rlike(r"\S"))
     return cleaned.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
