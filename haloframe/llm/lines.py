@@ -1,12 +1,14 @@
 """Line dedup by a log-template tree of fixed depth; DataFrame functions only.
 
-A line's leaf is its token count and its first ``LEAD`` tokens, a token with a digit standing for a
-variable field.  In a leaf where several different lines meet, a token that recurs at its position in
-``TEMPLATE_DOCS`` documents is constant and any other is a variable field; a line of which ``CONSTANT``
-of the tokens are constant has these as its template.  A template recurs if ``TEMPLATE_DOCS`` documents
-have it; a line of any length also recurs, as a template without variables, if it is literally in
-``LINE_DOCS`` documents.  Recurring templates are dropped from all documents but the one with the smallest id, so
-that nothing vanishes from the corpus altogether.  Lines under ``MIN_TOKENS`` tokens have no template.
+A line recurs if it is literally in ``LINE_DOCS`` documents, whatever its length.  Lines of ``MIN_TOKENS``
+tokens and more are also generalised.  Their leaf is their token count and first ``LEAD`` tokens, a token
+with a digit standing for a variable field.  Where several different lines meet in a leaf, a token is constant
+at its position if enough of the leaf's lines have it: ``TEMPLATE_DOCS``, or a share of 1/2, 1/4 and so on down
+to that number, each giving a template of its own, so values of a field stay variable however often
+each recurs, and a form that is rare in its leaf is still seen.  A line has a template if ``CONSTANT`` of
+its tokens without digits are constant, and at least one is.  A template recurs if ``TEMPLATE_DOCS`` documents have it; a
+line goes by its most general recurring one.  Recurring templates are dropped from all documents but the
+one with the smallest id, so that nothing vanishes from the corpus altogether.
 
 Nulls: a null text has no lines and stays null; null ids count as one document, before all others.  Rows
 sharing an id are one document.  An empty table gives no rows.  Texts and lines of any length are used
@@ -60,29 +62,37 @@ def _templates(docs: DataFrame, lines: DataFrame, literal: DataFrame) -> DataFra
     leaves = (
         literal.where("leaf IS NOT NULL")
         .groupBy("leaf")
-        .agg(F.count(F.lit(1)).alias("variants"), F.sum("seen").alias("seen"))
-        .where((F.col("variants") > 1) & (F.col("seen") >= TEMPLATE_DOCS))
-        .select("leaf")
+        .agg(F.count(F.lit(1)).alias("variants"), F.sum("seen").alias("all"))
+        .where((F.col("variants") > 1) & (F.col("all") >= TEMPLATE_DOCS))
+        .select("leaf", "all")
     )
-    variants = small(literal.join(leaves, "leaf").select("leaf", "raw", "seen"))
-    wanted = _leaves(_lines(docs)).join(variants, ["leaf", "raw"]).groupBy("leaf", "raw", "n").agg(
-        F.first("tokens").alias("tokens"), F.first("seen").alias("seen")
+    variants = small(literal.join(leaves, "leaf").select("leaf", "raw", "seen", "all"))
+    wanted = _leaves(_lines(docs)).join(variants, ["leaf", "raw"]).groupBy("leaf", "raw").agg(
+        F.first(F.transform("tokens", _masked)).alias("tokens"), F.first("seen").alias("seen"), F.first("all").alias("all")
     )
-    fields = cut(
-        wanted.select("leaf", "raw", "n", "seen", F.posexplode(F.transform("tokens", _masked)).alias("at", "token")).where("token <> '<*>'")
-    )
-    constant = fields.groupBy("leaf", "at", "token").agg(F.sum("seen").alias("support")).where(F.col("support") >= TEMPLATE_DOCS)
+    plain = F.size(F.filter("tokens", lambda t: t != "<*>")).alias("plain")
+    fields = cut(wanted.select("leaf", "raw", "seen", "all", plain, F.posexplode("tokens").alias("at", "token")).where("token <> '<*>'"))
+    support = fields.groupBy("leaf", "at", "token").agg(F.sum("seen").alias("support")).where(F.col("support") >= TEMPLATE_DOCS)
+    halved = F.transform(F.sequence(F.lit(1), F.lit(62)), lambda k: F.ceil(F.col("all") / F.pow(F.lit(2.0), k)))
+    levels = F.array_distinct(F.transform(halved, lambda x: F.greatest(x, F.lit(TEMPLATE_DOCS).cast("bigint"))))
+    shape = F.transform(F.filter("items", lambda x: x["support"] >= F.col("level")), lambda x: F.struct(x["at"], x["token"]))
     template = (
-        fields.join(constant.select("leaf", "at", "token"), ["leaf", "at", "token"])
-        .groupBy("leaf", "raw", "n")
-        .agg(F.count(F.lit(1)).alias("fixed"), F.sort_array(F.collect_list(F.struct("at", "token"))).alias("shape"))
-        .where(F.col("fixed") >= CONSTANT * F.col("n"))
-        .select("raw", F.xxhash64("leaf", "shape").alias("template"))
+        fields.join(support, ["leaf", "at", "token"])
+        .groupBy("leaf", "raw", "plain", "all")
+        .agg(F.sort_array(F.collect_list(F.struct("at", "token", "support"))).alias("items"))
+        .where(F.size("items") >= CONSTANT * F.col("plain"))
+        .withColumn("level", F.explode(levels))
+        .select("raw", "leaf", "plain", shape.alias("shape"))
+        .select("raw", "plain", F.size("shape").alias("fixed"), F.xxhash64("leaf", "shape").alias("template"))
+        .where((F.col("fixed") > 0) & (F.col("fixed") >= CONSTANT * F.col("plain")))
+        .select("raw", "fixed", "template")
+        .distinct()
     )
     template = cut(template)
     spread = lines.join(small(template), "raw").select("template", "doc").distinct()
     recurring = spread.groupBy("template").count().where(F.col("count") >= TEMPLATE_DOCS).select("template")
-    return template.join(recurring, "template").select("raw", "template")
+    general = template.join(recurring, "template").groupBy("raw").agg(F.min(F.struct("fixed", "template")).alias("t"))
+    return general.select("raw", F.col("t.template").alias("template"))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:

@@ -1,8 +1,15 @@
 """Line dedup: short lines, forms with several fields, fields whose values recur."""
 
-from haloframe.llm import lines
+import random
+import re
+from collections import Counter
+
+import test_llm
+
+from haloframe.llm import bpe, lines
 
 DOCS = "doc_id long, text string"
+MONTHS = "January February March April May June July August September October November December".split()
 
 
 def _dedup(spark, rows):
@@ -19,3 +26,94 @@ def test_copies_leave_no_husk(spark):
     text = "one two three four five six\n\nAnd so.\nEnd"
     docs = spark.createDataFrame([(1, text), (2, text), (3, "quite another line of words")], DOCS)
     assert {r["doc_id"] for r in lines.stage(spark, docs, "").collect()} == {1, 3}
+
+
+def test_fields_do_not_count_against_a_template(spark):
+    forms = ["Page {} of {}", "User {} logged in from host {} today", "see the {} page now {}"]
+    rows = [(i, "\n".join(f.format(i + 100, 3 * i + 7) for f in forms)) for i in range(1, 8)]
+    rows.append((50, "Only {} numbers 5 here".format(4)))
+    rows += [(60 + i, f"{i} {i + 10} {i + 20} {i + 30}") for i in range(9)]
+    got = _dedup(spark, rows)
+    assert got == {1: rows[0][1]} | {i: "" for i in range(2, 8)} | dict(rows[7:])
+
+
+def test_values_that_recur_stay_variable(spark):
+    """Every month and name is in over five lines, most pairs of them in fewer than five documents."""
+    names = [f"Name{c}" for c in "abcdefghijk"]
+    line = "This is the yearly report on the state of the firm for {} by {} and all".format
+    rows = [(i, line(MONTHS[i % 12], names[i % 11])) for i in range(132)]
+    rare = [(500 + i, f"This is the very old log of {i} things seen by all of us in the hall") for i in range(6)]
+    got = _dedup(spark, rows + rare)
+    assert sorted(d for d, t in got.items() if t) == [0, 500]
+
+
+def test_rare_form_in_a_large_leaf(spark):
+    big = [(i, f"We have seen item {i} in the main store of the town") for i in range(200)]
+    rare = [(1000 + i, f"We have seen nobody {i} at a far shop near some village") for i in range(6)]
+    got = _dedup(spark, big + rare)
+    assert sorted(d for d, t in got.items() if t) == [0, 1000]
+
+
+def _by_hand(rows):
+    """The rule of line dedup, row by row: the texts of ``(doc_id, text)`` without recurring lines."""
+    mask = lambda t: "<*>" if re.search(r"\d", t) else t
+    words = lambda x: tuple(re.split(r"[ \t\n\x0b\f\r]+", x))
+    own, leaf = {}, {}
+    for doc, text in rows:
+        for line in (text or "").split("\n"):
+            if line.strip(" "):
+                own.setdefault(line.strip(" "), []).append(doc)
+    for x in own:
+        if len(words(x)) >= lines.MIN_TOKENS:
+            leaf.setdefault((len(words(x)), *map(mask, words(x)[: lines.LEAD])), []).append(x)
+    shapes = {}
+    for where, variants in leaf.items():
+        number = sum(len(own[x]) for x in variants)
+        if len(variants) < 2 or number < lines.TEMPLATE_DOCS:
+            continue
+        support = Counter()
+        for x in variants:
+            support.update({(k, mask(t)): len(own[x]) for k, t in enumerate(words(x))})
+        for x in variants:
+            plain = [(k, t) for k, t in enumerate(map(mask, words(x))) if t != "<*>"]
+            for half in range(1, 63):
+                level = max(lines.TEMPLATE_DOCS, -(-number // 2**half))
+                shape = tuple(p for p in plain if support[p] >= level)
+                if shape and len(shape) >= lines.CONSTANT * len(plain):
+                    shapes.setdefault(x, set()).add((where, shape))
+    spread = {}
+    for x, found in shapes.items():
+        for t in found:
+            spread.setdefault(t, set()).update(own[x])
+    key = {}
+    for x, found in shapes.items():
+        if recurring := [t for t in found if len(spread[t]) >= lines.TEMPLATE_DOCS]:
+            key[x] = min(recurring, key=lambda t: len(t[1]))
+    key |= {x: x for x in own if x not in key and len(set(own[x])) >= lines.LINE_DOCS}
+    keep = {}
+    for x, t in key.items():
+        keep[t] = min(own[x] + ([keep[t]] if t in keep else []))
+    stays = lambda doc, x: x not in key or keep[key[x]] == doc
+    return {doc: text and "\n".join(x for x in text.split("\n") if stays(doc, x.strip(" "))) for doc, text in rows}
+
+
+def test_against_brute_force(spark):
+    dice = random.Random(11)
+    word = lambda n=40: f"w{chr(97 + dice.randint(0, n) % 26)}{chr(97 + dice.randint(0, n) // 26)}"
+    fixed = [" ".join(word() for _ in range(dice.randint(1, 12))) for _ in range(6)]
+    forms = ["User {} logged in from host {} today", "total of {} items were sold by {} in all of may", "see the {} page now {}", "Page {} of {}"]
+    rows = []
+    for doc in range(90):
+        out = [" ".join(word(600) for _ in range(dice.randint(0, 9))) for _ in range(3)]
+        out += dice.sample(fixed, dice.randint(0, 2)) + [dice.choice(forms).format(dice.choice([dice.randint(1, 99), word(4)]), dice.randint(1, 9)) for _ in range(dice.randint(0, 3))]
+        dice.shuffle(out)
+        rows.append((doc, "\n".join(out)))
+    rows += [(90, None), (91, ""), (92, "\n\n")]
+    got = _dedup(spark, rows)
+    assert got == _by_hand(rows) and sum(t != got[d] for d, t in rows) > 40
+
+
+def test_pipeline_by_the_rule_over_all_lines(spark, tmp_path, monkeypatch):
+    """The pipeline's test with this file's rule of line dedup for the one that leaves short lines out."""
+    monkeypatch.setattr(test_llm, "_dedup_by_hand", _by_hand)
+    test_llm.test_pipeline_against_brute_force(spark, tmp_path, bpe.default_paths())
