@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from html import unescape
 from itertools import product
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -146,51 +147,120 @@ def flat(root: Node) -> list[Node]:
     return out
 
 
-def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Simple tree matching: pairs of a largest top-down, order-preserving match of two trees.
-
-    Children too many for the table (``ALIGN_CELLS``) are matched in order, tag by tag.
-    """
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def score(x: Node, y: Node) -> int:
-        return memo[(id(x), id(y))][0] if x.tag == y.tag else 0
-
-    todo = [(a, b, False)] if a.tag == b.tag else []
-    while todo:  # children before parents, on a list of its own: trees may be deeper than the call stack
-        x, y, ready = todo.pop()
-        n, m = len(x.children), len(y.children)
-        if not ready:
-            if (id(x), id(y)) not in memo:
-                couples = zip(x.children, y.children, strict=False) if n * m > ALIGN_CELLS else product(x.children, y.children)
-                todo.append((x, y, True))
-                todo += [(c, d, False) for c, d in couples if c.tag == d.tag]
+def _shapes(root: Node, known: dict, sizes: list[int], parts: list[tuple[str, tuple[int, ...]]]) -> dict[int, int]:
+    """The number of each node's shape: its tag and the shapes of its children."""
+    own: dict[int, int] = {}
+    for node in reversed(flat(root)):
+        part = (node.tag, tuple(own[id(c)] for c in node.children))
+        shape = known.setdefault(part, len(parts))
+        if shape == len(parts):
+            parts.append(part)
+            sizes.append(1 + sum(sizes[c] for c in part[1]))
+        own[id(node)] = shape
+    return own
+
+
+def _trimmed(xs: tuple[int, ...], ys: tuple[int, ...]) -> tuple[int, int]:
+    """How many children at the end, then at the start, have equal shapes; a largest match pairs those."""
+    most, tail, head = min(len(xs), len(ys)), 0, 0
+    while tail < most and xs[-1 - tail] == ys[-1 - tail]:
+        tail += 1
+    while head < most - tail and xs[head] == ys[head]:
+        head += 1
+    return head, tail
+
+
+def _last_row(xs: tuple[int, ...], ys: tuple[int, ...], gain: dict[tuple[int, int], int], rows: dict[int, np.ndarray]) -> np.ndarray:
+    """The largest gains of all of ``xs`` with each start of ``ys``, in memory for one row a shape."""
+    row = np.zeros(len(ys) + 1, np.int64)
+    for x in xs:
+        if x not in rows:
+            rows[x] = np.array([gain.get((x, y), 0) for y in ys], np.int64)
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + rows[x]))
+    return row
+
+
+def _ordered(xs: tuple[int, ...], ys: tuple[int, ...], gain: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
+    """The pairs of places of a largest match in order; halved (Hirschberg) until a table has ``ALIGN_CELLS`` at most."""
+    out, stack = [], [(0, len(xs), 0, len(ys))]
+    while stack:
+        a, b, c, d = stack.pop()
+        head, tail = _trimmed(xs[a:b], ys[c:d])
+        out += [(a + k, c + k) for k in range(head)] + [(b - 1 - k, d - 1 - k) for k in range(tail)]
+        a, b, c, d = a + head, b - tail, c + head, d - tail
+        n, m = b - a, d - c
+        if not n or not m:
             continue
-        if n * m > ALIGN_CELLS:
-            pairs = [(c, d) for c, d in zip(x.children, y.children, strict=False) if c.tag == d.tag]
-            memo[(id(x), id(y))] = (1 + sum(score(c, d) for c, d in pairs), pairs)
+        if n > 1 and n * m > ALIGN_CELLS:
+            half = a + n // 2
+            left = _last_row(xs[a:half], ys[c:d], gain, {})
+            right = _last_row(xs[half:b][::-1], ys[c:d][::-1], gain, {})[::-1]
+            at = c + int(np.argmax(left + right))
+            stack += [(a, half, c, at), (half, b, at, d)]
             continue
         table = [[0] * (m + 1) for _ in range(n + 1)]
-        gain = [[score(c, d) for d in y.children] for c in x.children]
         for i in range(n):
-            row, above = table[i + 1], table[i]
+            row, above, x = table[i + 1], table[i], xs[a + i]
             for j in range(m):
-                row[j + 1] = max(row[j], above[j + 1], above[j] + gain[i][j])
-        pairs, i, j = [], n, m
+                row[j + 1] = max(row[j], above[j + 1], above[j] + gain.get((x, ys[c + j]), 0))
+        i, j = n, m
         while i and j:
-            if gain[i - 1][j - 1] and table[i][j] == table[i - 1][j - 1] + gain[i - 1][j - 1]:
-                pairs.append((x.children[i - 1], y.children[j - 1]))
+            won = gain.get((xs[a + i - 1], ys[c + j - 1]), 0)
+            if won and table[i][j] == table[i - 1][j - 1] + won:
+                out.append((a + i - 1, c + j - 1))
                 i, j = i - 1, j - 1
             elif table[i][j] == table[i - 1][j]:
                 i -= 1
             else:
                 j -= 1
-        memo[(id(x), id(y))] = (table[n][m] + 1, pairs[::-1])
-    out, stack = [], [(a, b)] if a.tag == b.tag else []
+    return sorted(out)
+
+
+def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
+    """Simple tree matching: pairs of a largest top-down, order-preserving match of two trees.
+
+    What two nodes can gain depends on their shapes alone, so it is found once for each two shapes.
+    """
+    if a.tag != b.tag:
+        return []
+    sizes: list[int] = []
+    parts: list[tuple[str, tuple[int, ...]]] = []
+    known: dict = {}
+    left, right = _shapes(a, known, sizes, parts), _shapes(b, known, sizes, parts)
+    gain: dict[tuple[int, int], int] = {}
+    places: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    def score(pairs, xs: tuple[int, ...], ys: tuple[int, ...]) -> int:
+        return 1 + sum(gain[xs[i], ys[j]] for i, j in pairs)
+
+    todo = [(left[id(a)], right[id(b)], False)]
+    while todo:  # children before parents, on a list of its own: trees may be deeper than the call stack
+        x, y, ready = todo.pop()
+        xs, ys = parts[x][1], parts[y][1]
+        if (x, y) in gain:
+            continue
+        if x == y:
+            gain[x, y] = sizes[x]
+            continue
+        if not ready:
+            head, tail = _trimmed(xs, ys)
+            todo.append((x, y, True))
+            outer = xs[:head] + xs[len(xs) - tail :]
+            todo += [(c, c, False) for c in set(outer)]
+            inner = product(set(xs[head : len(xs) - tail]), set(ys[head : len(ys) - tail]))
+            todo += [(c, d, False) for c, d in inner if parts[c][0] == parts[d][0]]
+            continue
+        places[x, y] = _ordered(xs, ys, gain)
+        gain[x, y] = score(places[x, y], xs, ys)
+    out, stack = [], [(a, b)]
     while stack:
-        x, y = stack.pop()
-        out.append((x, y))
-        stack += memo[(id(x), id(y))][1]
+        p, q = stack.pop()
+        out.append((p, q))
+        x, y = left[id(p)], right[id(q)]
+        if x == y:
+            stack += zip(p.children, q.children, strict=True)
+        else:
+            stack += [(p.children[i], q.children[j]) for i, j in places[x, y]]
     return out
 
 
