@@ -1,14 +1,14 @@
 """Main-text extraction by wrapper induction over the pages of a host.
 
-Pages become trees of elements.  Each page is aligned with its host's reference page (that of the
-smallest page id) by simple tree matching, which maximises matched pairs of nodes under order and
+Pages become trees of elements.  Each page is aligned with its host's reference pages (up to three with
+a text) by simple tree matching, which maximises matched pairs of nodes under order and
 ancestry.  Over all pages of a host, a block that is matched and says the same in nearly all of them is
 template; varying blocks are content.  What stands in menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments is told by element, role, class and id and never content.
 If a page has an article or main element, its text lies in there; headers inside one belong to it.
 
 Only counts per host and reference node are shuffled, pre-aggregated in each task; reference pages are
-joined by host.  Nulls: null html has an empty text; pages without a host share one.  Rows sharing a page
+joined by host.  A page that nearly equals a reference has no say in it.  Nulls: null html has an empty text; pages without a host share one.  Rows sharing a page
 id are each extracted.  Broken markup closes where it ends.  An empty table gives no rows.
 """
 
@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haloframe.llm.common import cut, small
+from haloframe.llm.common import cut, ensure_small_batches, small
 from haloframe.llm.urls import host_of
 
 TEMPLATE_PAGES = 5
 TEMPLATE_SHARE = 0.9
 ALIGN_CELLS = 250_000
+PARSED_CHARS = 4_000_000
 
 # HTML's elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -295,77 +296,127 @@ def blocks(root: Node, nodes: list[Node], template: set[int]) -> list[str]:
     return out
 
 
-def align(html: str, reference: str) -> tuple[Node, list[Node], list[tuple[int, Node, bool]]]:
-    """A page's tree and, for matched nodes with a text, the reference node's number and whether they agree."""
-    root, other = parse(html), parse(reference)
-    nodes, number = flat(root), {id(n): k for k, n in enumerate(flat(other))}
-    pairs = [(number[id(y)], x, _own_text(x) == _own_text(y)) for x, y in match(root, other) if _own_text(x).strip("\0 ")]
-    return root, nodes, pairs
+def _agreement(root: Node, other_nodes: list[Node], other: Node) -> list[tuple[int, Node, bool]]:
+    """For matched nodes with a text the reference node's number and whether they agree."""
+    number = {id(n): k for k, n in enumerate(other_nodes)}
+    return [(number[id(y)], x, _own_text(x) == _own_text(y)) for x, y in match(root, other) if _own_text(x).strip("\0 ")]
+
+
+def _is_copy(nodes: list[Node], pairs: list[tuple[int, Node, bool]], share: float) -> bool:
+    """Whether a page says nearly all that its reference says: then it tells nothing of what is template."""
+    whole = sum(len(_own_text(n)) for n in nodes if not n.noise)
+    return sum(len(_own_text(x)) for _, x, same in pairs if same and not x.noise) > share * whole
+
+
+class _References:
+    """The references seen last, parsed once; so many as have ``PARSED_CHARS`` characters."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, tuple[Node, list[Node]]] = {}
+        self.chars = 0
+
+    def __call__(self, html: str) -> tuple[Node, list[Node]]:
+        if html not in self.held:
+            while self.held and self.chars + len(html) > PARSED_CHARS:
+                oldest = next(iter(self.held))
+                self.chars -= len(oldest)
+                del self.held[oldest]
+            root = parse(html)
+            self.held[html] = root, flat(root)
+            self.chars += len(html)
+        return self.held[html]
 
 
 def with_reference(pages: DataFrame) -> DataFrame:
-    """``page_id, url, html, host, reference``: each page beside its host's reference page."""
+    """``page_id, url, html, host, references``: each page beside its host's reference pages.
+
+    Of the pages with a text these are the one of the smallest id and those of the smallest and the largest hash.
+    """
     rows = pages.select(F.col("page_id").cast("bigint"), "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    first = rows.groupBy("host").agg(F.min(F.struct("page_id", F.md5("html").alias("digest"))).alias("f"))
-    first = small(first.select("host", F.col("f.page_id").alias("page_id"), F.col("f.digest").alias("digest")), 10_000)
-    same = (rows["host"] == first["host"]) & rows["page_id"].eqNullSafe(first["page_id"]) & (F.md5("html") == first["digest"])
-    chosen = rows.join(first, same, "left_semi").dropDuplicates(["host"]).select("host", F.col("html").alias("reference"))
-    return rows.join(small(cut(chosen), 500), "host")
+    digest = F.md5("html")
+    read = rows.where(F.col("html").rlike(r">\s*[^<\s]"))
+    ends = read.select("host", F.col("page_id").isNull().alias("none"), "page_id", digest.alias("digest")).groupBy("host").agg(
+        F.min(F.struct("none", "page_id", "digest"))["digest"].alias("first"), F.min("digest").alias("low"), F.max("digest").alias("high")
+    )
+    wanted = ends.select("host", F.explode(F.array_distinct(F.array("first", "low", "high"))).alias("digest"))
+    wanted = small(cut(wanted), 10_000)
+    chosen = read.select("host", "html", digest.alias("digest")).join(wanted, ["host", "digest"], "left_semi")
+    chosen = chosen.select("host", "html").distinct().groupBy("host").agg(F.sort_array(F.collect_list("html")).alias("references"))
+    return rows.join(small(cut(chosen), 500), "host", "left")
 
 
 def constants(paired: DataFrame, pages: int = TEMPLATE_PAGES, share: float = TEMPLATE_SHARE) -> DataFrame:
-    """``host, template``: the numbers of reference nodes that say the same on nearly all pages."""
+    """``host, template``: per reference the numbers of nodes that say the same on nearly all pages.
+
+    Nodes must be matched on ``pages`` pages, or on all pages there are beside the reference if those are fewer.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parsed = _References()
         for batch in batches:
-            seen: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
-            for host, html, reference in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for number, _, same in align(html, reference)[2]:
-                    entry = seen[(host, number)]
-                    entry[0] += 1
-                    entry[1] += same
+            seen: dict[tuple[str, int, int], list[int]] = defaultdict(lambda: [0, 0])
+            for host, html, references in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                root = parse(html)
+                nodes = flat(root)
+                for k, reference in enumerate(references):
+                    if html == reference:
+                        continue
+                    other, other_nodes = parsed(reference)
+                    pairs = _agreement(root, other_nodes, other)
+                    if _is_copy(nodes, pairs, share):
+                        continue
+                    seen[(host, k, -1)][0] += 1
+                    for number, _, same in pairs:
+                        entry = seen[(host, k, number)]
+                        entry[0] += 1
+                        entry[1] += same
             if seen:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([k[0] for k in seen], pa.string()),
                         pa.array([k[1] for k in seen], pa.int32()),
+                        pa.array([k[2] for k in seen], pa.int32()),
                         pa.array([v[0] for v in seen.values()], pa.int64()),
                         pa.array([v[1] for v in seen.values()], pa.int64()),
                     ],
-                    names=["host", "number", "matched", "equal"],
+                    names=["host", "reference", "number", "matched", "equal"],
                 )
 
-    different = paired.select("host", "html", "reference").where("html <> reference")
-    found = different.mapInArrow(count, "host string, number int, matched bigint, equal bigint")
+    found = paired.where("references IS NOT NULL").select("host", "html", "references")
+    found = found.mapInArrow(count, "host string, reference int, number int, matched bigint, equal bigint")
+    found = cut(found.groupBy("host", "reference", "number").agg(F.sum("matched").alias("matched"), F.sum("equal").alias("equal")))
+    voters = found.where("number = -1").select("host", "reference", F.col("matched").alias("voters"))
     return (
-        found.groupBy("host", "number")
-        .agg(F.sum("matched").alias("matched"), F.sum("equal").alias("equal"))
-        .where((F.col("matched") >= pages) & (F.col("equal") >= share * F.col("matched")))
+        found.where("number >= 0")
+        .join(voters, ["host", "reference"])
+        .where((F.col("matched") >= F.least(F.lit(pages), "voters")) & (F.col("equal") >= share * F.col("matched")))
         .groupBy("host")
-        .agg(F.collect_set("number").alias("template"))
+        .agg(F.collect_set(F.struct("reference", "number")).alias("template"))
     )
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per page ``page_id, url, text``: blocks joined by an empty line."""
+    ensure_small_batches(pages.sparkSession)
     paired = with_reference(pages)
     template = small(cut(constants(paired)), 10_000)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parsed = _References()
         for batch in batches:
             texts = []
-            for html, reference, numbers in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                if numbers:
-                    root, nodes, pairs = align(html, reference)
-                    wanted = set(numbers)
-                    constant = {id(x) for number, x, same in pairs if same and number in wanted}
-                else:
-                    root = parse(html)
-                    nodes, constant = flat(root), set()
+            for html, references, numbers in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                root = parse(html)
+                nodes, constant = flat(root), set()
+                wanted = {(x["reference"], x["number"]) for x in numbers or ()}
+                for k in sorted({k for k, _ in wanted}):
+                    other, other_nodes = parsed(references[k])
+                    pairs = _agreement(root, other_nodes, other)
+                    constant |= {id(x) for number, x, same in pairs if same and (k, number) in wanted}
                 texts.append("\n\n".join(blocks(root, nodes, constant)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    rows = paired.join(template, "host", "left").select("page_id", "url", "html", F.when(F.col("template").isNotNull(), F.col("reference")), "template")
+    rows = paired.join(template, "host", "left").select("page_id", "url", "html", F.when(F.col("template").isNotNull(), F.col("references")), "template")
     return rows.mapInArrow(read, "page_id bigint, url string, text string")
 
 

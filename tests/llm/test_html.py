@@ -1,4 +1,4 @@
-"""Tree matching of any size."""
+"""Tree matching of any size, and wrapper induction whatever a host's first page is."""
 
 import random
 
@@ -43,3 +43,28 @@ def test_long_pages_align_behind_an_insertion(spark):
     rows = [(i, f"http://l.com/{i}", page(i)) for i in range(8)]
     got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all("Read this" not in t and "rights" not in t and f"story {i} paragraph {599 + i}" in t for i, t in got.items())
+
+
+def _extract(spark, rows):
+    return {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+PAGE = "<body><div><p>Shared menu text</p></div><div><p>Story {0} is told here at length</p><p>Words {0} go on</p></div></body>".format
+
+
+def test_smallest_page_is_null(spark):
+    rows = [(0, "http://n.com/0", None), (1, "http://n.com/1", ""), (None, "http://n.com/2", None)] + [(i, f"http://n.com/{i}", PAGE(i)) for i in range(2, 9)]
+    got = _extract(spark, rows)
+    assert got[0] == got[1] == got[None] == "" and all(got[i] == f"Story {i} is told here at length\n\nWords {i} go on" for i in range(2, 9))
+
+
+def test_smallest_page_has_another_layout(spark):
+    rows = [(0, "http://o.com/0", "<body><table><tr><td>Odd one out</td></tr></table></body>")] + [(i, f"http://o.com/{i}", PAGE(i)) for i in range(1, 20)]
+    got = _extract(spark, rows)
+    assert got[0] == "Odd one out" and all(got[i] == f"Story {i} is told here at length\n\nWords {i} go on" for i in range(1, 20))
+
+
+def test_two_pages_are_enough(spark):
+    got = _extract(spark, [(i, f"http://t.com/{i}", PAGE(i)) for i in (1, 2)] + [(i, "http://c.com/", f"<p>All of this long story stands on both of the two pages</p><p>{i}</p>") for i in (5, 6)])
+    assert got[1] == "Story 1 is told here at length\n\nWords 1 go on" and got[2] == "Story 2 is told here at length\n\nWords 2 go on"
+    assert all("All of this long story" in got[i] for i in (5, 6))
