@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from haloframe.sources.traces import RANKS
 
 
-def iteration_stats(trace: DataFrame) -> DataFrame:
-    own = trace.groupBy("iteration").agg(F.max("it_time").alias("max_it"), F.min("it_time").alias("min_it"), F.sum("it_time").alias("sum_it"))
-    avg = F.col("sum_it") / F.lit(float(RANKS))
+def iteration_stats(trace: DataFrame, ranks: int = RANKS, keys: tuple[str, ...] = ("iteration",)) -> DataFrame:
+    """Per iteration (of each run, with ``run`` among ``keys``) the times of its ranks; the mean is over ``ranks``, present or not."""
+    own = trace.groupBy(*keys).agg(F.max("it_time").alias("max_it"), F.min("it_time").alias("min_it"), F.sum("it_time").alias("sum_it"))
+    avg = F.col("sum_it") / F.lit(float(ranks))
     return own.withColumn("avg_it", avg).withColumn("imbalance", F.try_divide("max_it", avg) - 1).withColumn("imbalance_time", F.col("max_it") - avg).withColumn(
         "efficiency", F.try_divide(avg, F.col("max_it"))
     )
@@ -134,6 +135,12 @@ def procassini(stats: DataFrame, factors: list[float], cost: float, frame: int,
     return joined.select("run", "iteration", "at", "arg", F.coalesce(fires, F.lit(False)).alias("decision"))
 
 
+def reproduce(stats: DataFrame, scenario: DataFrame) -> DataFrame:
+    """``iteration, decision``: the iterations that a scenario (``iteration``) names."""
+    fires = scenario.select("iteration", F.lit(True).alias("fires")).distinct()
+    return stats.join(fires, "iteration", "left").select("iteration", F.coalesce("fires", F.lit(False)).alias("decision"))
+
+
 def produced(steps: list[tuple[int, int]]) -> list[int]:
     """Running sums of steps, each taken so many times."""
     out, at = [], 0

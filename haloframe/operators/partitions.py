@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from haloframe.plans.session import cut
 from haloframe.sources.particles import POSITION
 
 
@@ -13,10 +14,35 @@ def by_grid(rc: float, parts: int) -> Column:
     return F.pmod(sum((F.floor(F.col(d) / F.lit(rc)) for d in POSITION), F.lit(0)), F.lit(parts)).cast("int")
 
 
+def quantiles(rows: DataFrame, dim: str, shares: list[float], part: str = "part", most: int = 1000) -> DataFrame:
+    """``part, ends``: exact interpolated quantiles of each part, without gathering its values.
+
+    A histogram of ``most`` equal ranges between the ends tells in which range each wanted order statistic lies;
+    such a range is split again, until it holds one value.  Only counts of ranges are kept, pre-aggregated.
+    """
+    spans = rows.where(F.col(dim).isNotNull()).groupBy(part).agg(F.min(dim).alias("low"), F.max(dim).alias("high"), F.count(F.lit(1)).alias("n"))
+    at = [F.lit(q) * (F.col("n") - 1) for q in shares]
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(k), F.ceil(k)) for k in at])))
+    found = cut(spans.select(part, "n", F.explode(ranks).alias("rank"), "low", "high", F.lit(0).cast("bigint").alias("below")))
+    values = rows.where(F.col(dim).isNotNull()).select(part, F.col(dim).alias("v"))
+    while found.where("low < high").limit(1).count():
+        spans = found.where("low < high").select(part, "low", "high").distinct()
+        near = values.join(F.broadcast(spans), part).where("v BETWEEN low AND high")  # a few spans a part
+        slot = F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * most), F.lit(most - 1))
+        ranges = near.groupBy(part, "low", "high", slot.alias("slot")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("from"), F.max("v").alias("to"))
+        before = Window.partitionBy(part, "low", "high").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # ``most`` ranges
+        ranges = ranges.withColumn("under", F.coalesce(F.sum("c").over(before), F.lit(0)))
+        wider = found.where("low < high").join(ranges, [part, "low", "high"]).withColumn("start", F.col("below") + F.col("under"))
+        inside = wider.where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("c")))
+        found = cut(found.where("low = high").unionByName(inside.select(part, "n", "rank", F.col("from").alias("low"), F.col("to").alias("high"), F.col("start").alias("below"))))
+    held = found.groupBy(part, "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "low"))).alias("at"))
+    value = lambda k: F.element_at("at", F.floor(k)) + (k - F.floor(k)) * (F.element_at("at", F.ceil(k)) - F.element_at("at", F.floor(k)))
+    return held.select(part, F.array(*[value(k) for k in at]).alias("ends"))
+
+
 def by_stripes(particles: DataFrame, parts: int, dim: str = "x") -> DataFrame:
-    """``part`` by quantiles of one coordinate; the quantiles are one aggregated row."""
-    cuts = [k / parts for k in range(1, parts)]
-    ends = particles.agg(F.percentile(dim, F.array(*map(F.lit, cuts))).alias("ends"))
+    """``part`` by quantiles of one coordinate; the quantiles are one row."""
+    ends = quantiles(particles.withColumn("whole", F.lit(0)), dim, [k / parts for k in range(1, parts)], "whole").select("ends")
     return particles.crossJoin(F.broadcast(ends)).withColumn("part", F.size(F.filter("ends", lambda q: q < F.col(dim)))).drop("ends")
 
 
@@ -24,7 +50,7 @@ def by_bisection(particles: DataFrame, dims=("x", "y")) -> DataFrame:
     """Recursive coordinate bisection: each part halved at the median of the next dimension."""
     own = particles.withColumn("part", F.lit(0))
     for d in dims:
-        medians = own.groupBy("part").agg(F.percentile(d, 0.5).alias("middle"))
+        medians = quantiles(own, d, [0.5]).select("part", F.get("ends", F.lit(0)).alias("middle"))
         own = own.join(F.broadcast(medians), "part").withColumn("part", (F.col("part") * 2 + (F.col(d) > F.col("middle")).cast("int")))
         own = own.drop("middle")
     return own

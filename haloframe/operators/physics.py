@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,12 +17,38 @@ def clamped(v: Column, rc: float, dt: float) -> Column:
     return F.when((F.abs(v * dt) >= rc) | F.isnan(v), F.lit(0.5 * rc / dt)).otherwise(v)
 
 
-def kick_drift(particles: DataFrame, rc: float, dt: float, dims=POSITION) -> DataFrame:
-    """Half a kick by the unary force (0), the clamp, and the drift."""
-    kicked = particles.withColumns({f"v{d}": clamped(F.col(f"v{d}"), rc, dt) for d in dims})
+def kick_drift(particles: DataFrame, rc: float, dt: float, dims=POSITION, acceleration: dict[str, Column] | None = None) -> DataFrame:
+    """Half a kick by the ``acceleration`` of each dimension (none: 0), the clamp, and the drift."""
+    half = {d: F.col(f"v{d}") + acceleration[d] * dt / 2 if acceleration else F.col(f"v{d}") for d in dims}
+    kicked = particles.withColumns({f"v{d}": clamped(half[d], rc, dt) for d in dims})
     return kicked.withColumns({d: F.col(d) + F.col(f"v{d}") * dt for d in dims})
 
 
+def kick(particles: DataFrame, dt: float, acceleration: dict[str, Column], dims=POSITION) -> DataFrame:
+    """The second half kick, without a clamp."""
+    return particles.withColumns({f"v{d}": F.col(f"v{d}") + acceleration[d] * dt / 2 for d in dims})
+
+
+@dataclass(frozen=True)
+class Box:
+    low: float
+    high: float
+    bounce: float = 1.0
+
+
+@dataclass(frozen=True)
+class Sphere:
+    radius: float
+    centre: tuple[float, ...] = (0.0, 0.0, 0.0)
+
+
+def reflect(particles: DataFrame, boundary: Box | Sphere, dims=POSITION) -> DataFrame:
+    """What left the boundary is mirrored back into it."""
+    if isinstance(boundary, Box):
+        return reflect_box(particles, boundary.low, boundary.high, boundary.bounce, dims)
+    return reflect_sphere(particles, boundary.radius, dims, boundary.centre).drop("is_valid")
+
+
 def reflect_box(particles: DataFrame, low: float, high: float, bounce: float, dims=POSITION) -> DataFrame:
     """Mirrors what is beyond the low wall, then what is beyond the high wall, dimension by dimension."""
     for wall, beyond in ((low, lambda x: x < low), (high, lambda x: x > high)):
@@ -34,8 +62,12 @@ def reflect_box(particles: DataFrame, low: float, high: float, bounce: float, di
     return particles
 
 
-def reflect_sphere(particles: DataFrame, radius: float, dims=POSITION) -> DataFrame:
-    """Mirrors particles outside a sphere around 0 at where their path met it; ``is_valid`` tells if it did."""
+def reflect_sphere(particles: DataFrame, radius: float, dims=POSITION, centre: tuple[float, ...] | None = None) -> DataFrame:
+    """Mirrors particles outside a sphere (around 0 or ``centre``) at where their path met it; ``is_valid`` tells if it did."""
+    if centre is not None and any(centre):
+        moved = particles.withColumns({d: F.col(d) - m for d, m in zip(dims, centre, strict=True)})
+        back = reflect_sphere(moved, radius, dims)
+        return back.withColumns({d: F.col(d) + m for d, m in zip(dims, centre, strict=True)})
     dot = lambda a, b: sum((F.col(p) * F.col(q) for p, q in zip(a, b, strict=True)), F.lit(0.0))
     vel = [f"v{d}" for d in dims]
     speed = F.sqrt(dot(vel, vel))
@@ -58,10 +90,10 @@ def reflect_sphere(particles: DataFrame, radius: float, dims=POSITION) -> DataFr
 
 def step(particles: DataFrame, rc: float, dt: float, eps: float, sig: float, low: float, high: float, bounce: float = 1.0) -> DataFrame:
     """One step: sources are found in the cells they had before the drift, everything else is after it."""
-    before = particles.select("gid", *[cell(d, rc).alias(f"c{d}") for d in POSITION])
-    moved = reflect_box(kick_drift(particles.select("gid", *POSITION, "vx", "vy", "vz"), rc, dt), low, high, bounce)
-    receivers = moved.withColumns({f"c{d}": cell(d, rc) for d in POSITION})
-    sources = moved.join(before, "gid")
+    before = {f"o{d}": cell(d, rc) for d in POSITION}
+    moved = reflect_box(kick_drift(particles.select("gid", *POSITION, "vx", "vy", "vz").withColumns(before), rc, dt), low, high, bounce)
+    receivers = moved.withColumns({f"c{d}": cell(d, rc) for d in POSITION}).drop(*before)
+    sources = moved.withColumnsRenamed({f"o{d}": f"c{d}" for d in POSITION})
     forced = pair_forces(receivers, sources, eps, sig)
     return forced.withColumns({f"v{d}": F.col(f"v{d}") + F.col(f"f{d}") * dt / 2 for d in POSITION})
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haloframe.functions.vectors import lj_coefficient
@@ -32,29 +32,93 @@ def bounding_box(particles: DataFrame, rc: float, dims=POSITION) -> DataFrame:
     return particles.agg(*[v.alias(k) for k, v in ends.items()])
 
 
+def extend_box(box: DataFrame, particles: DataFrame, rc: float, dims=POSITION) -> DataFrame:
+    """A box (one row) widened to hold more particles, snapped to the grid and padded again; both sides are one row."""
+    seen = particles.agg(*[f(d).alias(f"p{d}{n}") for d in dims for f, n in ((F.min, "min"), (F.max, "max"))])
+    ends = {}
+    for d in dims:
+        ends[f"{d}min"] = F.floor(F.least(f"{d}min", f"p{d}min") / F.lit(rc)) * F.lit(rc) - F.lit(rc)
+        ends[f"{d}max"] = F.ceil(F.greatest(f"{d}max", f"p{d}max") / F.lit(rc)) * F.lit(rc) + F.lit(rc)
+    return box.crossJoin(seen).select(*[v.alias(k) for k, v in ends.items()])
+
+
+def box_cells(box: DataFrame, rc: float, dims=POSITION) -> DataFrame:
+    """Cells of a box by dimension (``n<dim>``), by the ceiling, and their product; none where the box is inside out."""
+    counted = {f"n{d}": F.ceil(F.greatest(F.col(f"{d}max") - F.col(f"{d}min"), F.lit(0.0)) / F.lit(rc)).cast("bigint") for d in dims}
+    return box.withColumns(counted).withColumn("cells", reduce(lambda a, b: a * b, [F.col(f"n{d}") for d in dims]))
+
+
+def box_measures(box: DataFrame, dims=POSITION) -> DataFrame:
+    """Centre and width by dimension, and the least and largest width."""
+    width = {d: F.greatest(F.col(f"{d}max") - F.col(f"{d}min"), F.lit(0.0)) for d in dims}
+    centre = [((F.col(f"{d}min") + F.col(f"{d}max")) / 2).alias(f"{d}centre") for d in dims]
+    return box.select(*centre, *[w.alias(f"{d}width") for d, w in width.items()], F.least(*width.values()).alias("least_width"), F.greatest(*width.values()).alias("largest_width"))
+
+
+def linear_cells(particles: DataFrame, rc: float) -> DataFrame:
+    """``gid``, the cell within the snapped box (``i<dim>``), its number and the number with x and y truncated, and where it starts."""
+    box = box_cells(bounding_box(particles, rc), rc)
+    own = particles.select("gid", *POSITION).crossJoin(F.broadcast(box))  # one row
+    place = {d: (F.col(d) - F.col(f"{d}min")) / F.lit(rc) for d in POSITION}
+    number = lambda x, y, z: x + F.col("nx") * y + F.col("nx") * F.col("ny") * z
+    cells = own.withColumns({f"i{d}": F.floor(place[d]) for d in POSITION})
+    return cells.select(
+        "gid",
+        number(F.col("ix"), F.col("iy"), F.col("iz")).alias("linear"),
+        number(place["x"].cast("bigint"), place["y"].cast("bigint"), F.col("iz")).alias("truncated"),
+        "nx",
+        "ny",
+        *[(F.col(f"{d}min") + F.col(f"i{d}") * F.lit(rc)).alias(f"{d}start") for d in POSITION],
+    )
+
+
+def cell_of_number(linear: Column, nx: Column, ny: Column) -> tuple[Column, Column, Column]:
+    """The cell of a number, by dimension."""
+    rest = F.floor(linear / nx)
+    return linear % nx, rest % ny, F.floor(rest / ny)
+
+
 def neighbour_pairs(receivers: DataFrame, sources: DataFrame, dims=POSITION) -> DataFrame:
     """Ordered pairs of different particles in neighbouring cells.
 
     Both sides have ``gid``, the positions and cells ``c<dim>``; a source's columns end in ``_s``.
     """
+    keys = [f"c{d}" for d in dims]
     around = receivers
     for d in dims:
         around = around.withColumn(f"c{d}", F.explode(F.sequence(F.col(f"c{d}") - 1, F.col(f"c{d}") + 1)))
-    keys = [f"c{d}" for d in dims]
     there = sources.select("gid", *dims, *keys).withColumnsRenamed({c: f"{c}_s" for c in ("gid", *dims)})
     return around.join(there, keys).where("gid <> gid_s")
 
 
-def pair_forces(receivers: DataFrame, sources: DataFrame, eps: float, sig: float, dims=POSITION) -> DataFrame:
-    """Per receiver the summed force ``f<dim>`` and its interactions, itself counted; none gives 0 and 1."""
-    pairs = neighbour_pairs(receivers, sources, dims)
+def force_sums(receivers: DataFrame, sources: DataFrame, eps: float, sig: float, dims=POSITION, unary: dict[str, Column] | None = None) -> DataFrame:
+    """Per receiver ``gid`` the summed force ``f<dim>``, on top of the ``unary`` one, and its interactions, itself counted.
+
+    Only ids, positions and cells are copied to the neighbour cells.  Every receiver adds a row of its own to the
+    sums, so those without neighbours stay without a second join.
+    """
+    pairs = neighbour_pairs(receivers.select("gid", *dims, *[f"c{d}" for d in dims]), sources, dims)
     r2 = reduce(lambda a, b: a + b, [(F.col(d) - F.col(f"{d}_s")) * (F.col(d) - F.col(f"{d}_s")) for d in dims])
     weighed = pairs.withColumn("k", lj_coefficient(r2, eps, sig))
-    sums = weighed.groupBy("gid").agg(
-        *[F.sum(F.col("k") * (F.col(d) - F.col(f"{d}_s"))).alias(f"f{d}") for d in dims], F.count(F.lit(1)).alias("pairs")
-    )
-    return receivers.join(sums, "gid", "left").select(
-        *[c for c in receivers.columns if c not in {f"c{d}" for d in dims}],
-        *[F.coalesce(f"f{d}", F.lit(0.0)).alias(f"f{d}") for d in dims],
-        (F.coalesce("pairs", F.lit(0)) + 1).alias("interactions"),
-    )
+    one = F.lit(1).cast("bigint").alias("interactions")
+    each = weighed.select("gid", *[(F.col("k") * (F.col(d) - F.col(f"{d}_s"))).alias(f"f{d}") for d in dims], one)
+    own = receivers.select("gid", *[(unary[d] if unary else F.lit(0.0)).alias(f"f{d}") for d in dims], one)
+    return each.unionByName(own).groupBy("gid").agg(*[F.sum(f"f{d}").alias(f"f{d}") for d in dims], F.sum("interactions").alias("interactions"))
+
+
+def pair_forces(receivers: DataFrame, sources: DataFrame, eps: float, sig: float, dims=POSITION, unary: dict[str, Column] | None = None) -> DataFrame:
+    """The receivers with their ``force_sums``, without cells."""
+    return receivers.drop(*[f"c{d}" for d in dims]).join(force_sums(receivers, sources, eps, sig, dims, unary), "gid")
+
+
+def local_ids(rows: DataFrame, part: str = "part", key: str = "gid", width: int = 1 << 16) -> DataFrame:
+    """Adds ``lid``: each part's rows numbered from 0 in order of a whole-numbered ``key``.
+
+    Rows are numbered within ranges of ``width`` keys; only the ranges' counts are summed over a whole part.
+    """
+    ranged = rows.withColumn("range", F.floor(F.col(key) / F.lit(width)))
+    counts = ranged.groupBy(part, "range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(part).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(part, "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy(part, "range").orderBy(key)
+    return ranged.withColumn("place", F.row_number().over(within) - 1).join(starts, [part, "range"]).withColumn("lid", F.col("start") + F.col("place")).drop("range", "place", "start")
