@@ -33,6 +33,73 @@ def almost_equal(a: Column, b: Column, eps: float) -> Column:
     return F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= eps), lambda ok: ok)
 
 
+def plus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def minus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x - y)
+
+
+def times(a: Column, b: Column) -> Column:
+    """Element by element."""
+    return F.zip_with(a, b, lambda x, y: x * y)
+
+
+def scaled(a: Column, by: Column) -> Column:
+    return F.transform(a, lambda x: x * by)
+
+
+def divided(a: Column, by: Column) -> Column:
+    """Null elements where ``by`` is 0."""
+    return F.transform(a, lambda x: F.try_divide(x, by))
+
+
+def absolute(a: Column) -> Column:
+    return F.transform(a, lambda x: F.abs(x))
+
+
+def all_at_most(a: Column, b: Column) -> Column:
+    """Whether every element of ``a`` is at most that of ``b``."""
+    return F.forall(F.zip_with(a, b, lambda x, y: x <= y), lambda ok: ok)
+
+
+def mean(values: Column) -> Column:
+    """0 for none."""
+    return F.coalesce(F.try_divide(F.aggregate(values, F.lit(0.0), lambda s, x: s + x), F.size(values)), F.lit(0.0))
+
+
+def argmin(values: Column, key=lambda x: x) -> Column:
+    """The place, counted from 0, of the first element of least ``key``; null for none."""
+    keys = F.transform(values, key)
+    return F.nullif(F.array_position(keys, F.array_min(keys)), F.lit(0).cast("bigint")) - 1
+
+
+def narrowed(value: Column) -> Column:
+    """A double as a single-precision number, infinities as the largest ones."""
+    most = F.lit(3.4028234663852886e38)
+    return F.when(value == float("inf"), most).when(value == float("-inf"), -most).otherwise(value).cast("float")
+
+
+def select_if(condition: Column, a: Column, b: Column) -> Column:
+    return F.when(condition, a).otherwise(b)
+
+
+def zipped(a: Column, b: Column) -> Column:
+    """Pairs ``a, b`` as long as the first array; a shorter second one is padded with nulls."""
+    return F.slice(F.arrays_zip(a.alias("a"), b.alias("b")), 1, F.size(a))
+
+
+def in_three(x: Column, y: Column, z: Column | None = None) -> Column:
+    """Coordinates as an array of three, a missing one 0."""
+    return F.array(x, y, F.coalesce(z, F.lit(0.0)) if z is not None else F.lit(0.0))
+
+
+def formatted(values: list[Column], separator: str = ",", precision: int = 6) -> Column:
+    """A line of numbers with so many digits behind the point."""
+    return F.concat_ws(separator, *[F.format_string(f"%.{precision}f", v) for v in values])
+
+
 def quadratic_roots(a: Column, b: Column, c: Column) -> Column:
     """Both real roots, the one with the positive square root first; empty if there are none.
 

@@ -150,7 +150,7 @@ for _dims in ("xy", "xyz"):
     )
     def _lj_force(spark, d, dims=tuple(_dims)):
         own = celled(spark, d).select("gid", *POSITION, *[f"c{q}" for q in dims])
-        return rounded(spatial.pair_forces(own, own, 1.0, SIG, dims), ["gid", "interactions"], [f"f{q}" for q in dims])
+        return rounded(spatial.force_sums(own, own, 1.0, SIG, dims), ["gid", "interactions"], [f"f{q}" for q in dims])
 
 
 @query(f"WITH {P} SELECT a.gid AS gid_a, b.gid AS gid_b FROM c a JOIN c b ON {_near('xyz')} WHERE a.gid < 50")
@@ -313,7 +313,7 @@ def neighbor_ranks(spark, d):
 @query(f"WITH {_GRID}, n AS (SELECT a.gid, count(b.gid) AS k FROM c a LEFT JOIN c b ON {_near('xyz')} GROUP BY a.gid) SELECT part, (count(*) + sum(k))::BIGINT AS interactions FROM a JOIN n USING (gid) GROUP BY part")
 def part_interactions(spark, d):
     own = celled(spark, d)
-    forced = spatial.pair_forces(own, own, 1.0, SIG).select("gid", "interactions")
+    forced = spatial.force_sums(own, own, 1.0, SIG).select("gid", "interactions")
     return _parted(spark, d).join(forced, "gid").groupBy("part").agg(F.sum("interactions").alias("interactions"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 POSITION, VELOCITY = ("x", "y", "z"), ("vx", "vy", "vz")
@@ -29,36 +29,52 @@ def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def parse_line(value: Column, dims: tuple[str, ...] = POSITION) -> list[Column]:
+    """The first reals of a comma-separated line; further fields are ignored, missing ones are null."""
+    parts = F.split(value, ",")
+    return [F.try_element_at(parts, F.lit(i + 1)).cast("double").alias(d) for i, d in enumerate(dims)]
+
+
 def read_csv(spark: SparkSession, path: str, dims: tuple[str, ...] = POSITION) -> DataFrame:
-    """Rows of comma-separated reals; further fields are ignored, missing ones are null."""
-    parts = F.split("value", ",")
-    return spark.read.text(path).select(*[F.try_element_at(parts, F.lit(i + 1)).cast("double").alias(d) for i, d in enumerate(dims)])
+    """A particle file: a line of reals for each row, no header."""
+    return spark.read.text(path).select(*parse_line(F.col("value"), dims))
 
 
-def in_ball(spark: SparkSession, count: int, radius: float, seed: int = 0, shell: bool = False) -> DataFrame:
-    """``count`` points uniform in a ball, or on its surface (``shell``)."""
-    r = F.lit(radius) if shell else F.cbrt(F.rand(seed)) * radius
-    drawn = spark.range(count).select(
-        F.col("id").alias("gid"), r.alias("r"), F.acos(2 * F.rand(seed + 1) - 1).alias("phi"), (2 * F.pi() * F.rand(seed + 2)).alias("theta")
-    )
-    return drawn.select(
-        "gid",
-        (F.col("r") * F.sin("phi") * F.sin("theta")).alias("x"),
-        (F.col("r") * F.sin("phi") * F.cos("theta")).alias("y"),
-        (F.col("r") * F.cos("phi")).alias("z"),
-    )
+def hashed(seed: int = 0):
+    """Draws uniform in (0, 1) that depend on the row's ``gid`` and the number of the draw alone, so a task run again draws the same."""
+    return lambda k: (F.pmod(F.xxhash64("gid", k if isinstance(k, Column) else F.lit(k), F.lit(seed)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+
+
+def _around(r: Column, draw, dims: tuple[str, ...]) -> list[Column]:
+    """A point at distance ``r`` in a direction uniform on the sphere; in two dimensions its shadow on the plane."""
+    phi, theta = F.acos(2 * draw(1) - 1), 2 * F.pi() * draw(2)
+    at = (r * F.sin(phi) * F.sin(theta), r * F.sin(phi) * F.cos(theta), r * F.cos(phi))
+    return [c.alias(d) for c, d in zip(at, dims, strict=False)]
+
+
+def in_ball(ids: DataFrame, radius: float, inner: float = 0.0, dims: tuple[str, ...] = POSITION, draw=None) -> DataFrame:
+    """A point for each ``gid``, uniform between two spheres around 0."""
+    draw = draw or hashed()
+    return ids.select("gid", *_around(F.cbrt(draw(0) * (radius**3 - inner**3) + inner**3), draw, dims))
+
+
+def on_sphere(ids: DataFrame, radius: float, dims: tuple[str, ...] = POSITION, draw=None) -> DataFrame:
+    """A point for each ``gid``, uniform on a sphere around 0."""
+    return ids.select("gid", *_around(F.lit(radius), draw or hashed(), dims))
 
 
-def outside_ball(spark: SparkSession, count: int, size: float, centre: tuple[float, ...] = (0.0, 0.0, 0.0), seed: int = 0, tries: int = 40) -> DataFrame:
-    """``count`` points, normal about ``centre`` with deviation ``size / 2``, kept outside the ball of that radius.
+def outside_ball(ids: DataFrame, size: float, centre: tuple[float, ...] = (0.0, 0.0, 0.0), draw=None, tries: int = 40) -> DataFrame:
+    """A point for each ``gid``, normal about ``centre`` with deviation ``size / 2``, kept outside the ball of that radius.
 
-    Draws are hashes of row and try, so that a task run again draws the same; the first try outside is taken.
-    None of ``tries`` is outside once in 10^8 points of a plane, or 10^28 of space; such a row is left out.
+    The first try outside is taken.  None of 40 is outside once in about 10^16 points of a plane, or 10^28 of space; then the
+    last one is moved outwards along its ray, so that no row is lost.
     """
-    unit = lambda t, k: (F.pmod(F.xxhash64("id", t, F.lit(k), F.lit(seed)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
-    normal = lambda t, k: F.sqrt(-2 * F.log(unit(t, 2 * k))) * F.cos(2 * F.pi() * unit(t, 2 * k + 1))
-    names = POSITION[: len(centre)]
-    draw = F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda t: F.struct(*[(normal(t, k) * (size / 2)).alias(c) for k, c in enumerate(names)]))
-    outside = F.filter(draw, lambda p: sum((p[c] * p[c] for c in names), F.lit(0.0)) > size * size / 4)
-    chosen = spark.range(count).select(F.col("id").alias("gid"), F.get(outside, F.lit(0)).alias("p")).where("p IS NOT NULL")
-    return chosen.select("gid", *[(F.col("p")[c] + m).alias(c) for c, m in zip(names, centre, strict=True)])
+    draw, names = draw or hashed(), POSITION[: len(centre)]
+    normal = lambda t, k: F.sqrt(-2 * F.log(draw(t * 8 + 2 * k))) * F.cos(2 * F.pi() * draw(t * 8 + 2 * k + 1))
+    made = F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda t: F.struct(*[(normal(t, k) * (size / 2)).alias(c) for k, c in enumerate(names)]))
+    square = lambda p: sum((p[c] * p[c] for c in names), F.lit(0.0))
+    drawn = ids.select("gid", made.alias("made"))
+    outside = F.get(F.filter("made", lambda p: square(p) > size * size / 4), F.lit(0))
+    chosen = drawn.select("gid", outside.alias("p"), F.element_at("made", -1).alias("q"))
+    longer = F.lit(size / 2 * 1.000001) / F.sqrt(square(F.col("q")))
+    return chosen.select("gid", *[(F.coalesce(F.col("p")[c], F.col("q")[c] * longer) + m).alias(c) for c, m in zip(names, centre, strict=True)])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from haloframe.functions.vectors import formatted
+
 # The header of a frame; blanks belong to it.
 HEADERS = {2: ["x coord", "y coord ", "rank"], 3: ["x coord", "y coord", "z coord ", "rank"]}
 
@@ -16,6 +18,13 @@ def write_frames(particles: DataFrame, path: str, frame: str = "frame", part: st
     own.write.partitionBy("frame").option("ignoreTrailingWhiteSpace", False).csv(path, header=True)
 
 
+def frame_lines(particles: DataFrame, frame: str = "frame", part: str = "part", dims: tuple[str, ...] = ("x", "y", "z"), separator: str = ",", precision: int = 6) -> DataFrame:
+    """``frame, line``: each frame's header and a line for each particle, coordinates with so many digits, then the part."""
+    rows = particles.select(F.col(frame).alias("frame"), F.concat_ws(separator, formatted([F.col(d) for d in dims], separator, precision), F.col(part).cast("string")).alias("line"))
+    header = rows.select("frame").distinct().select("frame", F.lit(separator.join(HEADERS[len(dims)])).alias("line"))
+    return header.unionByName(rows)
+
+
 def write_series(metrics: DataFrame, path: str) -> None:
     """A folder of text files for each metric of ``iteration, metric, value``, a value a line, in order of iteration."""
     ranged = metrics.repartitionByRange("metric", "iteration").sortWithinPartitions("metric", "iteration")

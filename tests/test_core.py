@@ -6,8 +6,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from haloframe.operators import physics, search, spatial
-from haloframe.plans import catalogue
+from haloframe.operators import partitions, physics, search, spatial
+from haloframe.plans import catalogue, measures
 from haloframe.sources import particles, sinks
 
 SF = "/root/testdata/sf0.001"
@@ -80,7 +80,7 @@ def test_sinks(spark, tmp_path):
 
 @pytest.mark.parametrize("centre", [(1.0, 2.0, 3.0), (0.0, 0.0)])
 def test_outside_the_ball(spark, centre):
-    rows = particles.outside_ball(spark, 500, 2.0, centre).collect()
+    rows = particles.outside_ball(spark.range(500).withColumnRenamed("id", "gid"), 2.0, centre).collect()
     assert len(rows) == 500
     assert all(sum((r[c] - m) ** 2 for c, m in zip("xyz", centre)) > 1.0 for r in rows)  # noqa: B905
 
@@ -88,16 +88,51 @@ def test_outside_the_ball(spark, centre):
 @pytest.fixture(scope="session")
 def duck():
     con = duckdb.connect()
-    for t in ("embeddings", "events", "part", "orders"):
+    for t in ("embeddings", "events", "part", "orders", "lineitem"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES | measures.ORACLES))
 def test_query_equals_its_sql(spark, duck, name):
-    got = catalogue.QUERIES[name](spark, SF)
+    got = (catalogue.QUERIES | measures.QUERIES)[name](spark, SF)
     names = sorted(got.columns)
-    want = duck.execute(catalogue.ORACLES[name]).df()
+    want = duck.execute((catalogue.ORACLES | measures.ORACLES)[name]).df()
     assert names == sorted(want.columns)
     plain = lambda rows: sorted(tuple("-" if v is None or v != v else str(float(v)) if isinstance(v, (int, float)) else str(v) for v in r) for r in rows)
     assert plain(got.select(*names).collect()) == plain(want[names].astype(object).itertuples(index=False, name=None))
+
+
+def test_csv_file(spark, tmp_path):
+    (tmp_path / "particles.in").write_text("1.5,2,3e-1,9\n-1,0.25\n")
+    assert sorted(map(tuple, particles.read_csv(spark, f"{tmp_path}/particles.in").collect())) == [(-1.0, 0.25, None), (1.5, 2.0, 0.3)]
+
+
+def test_generators(spark):
+    ids = spark.range(400).withColumnRenamed("id", "gid")
+    square = lambda r: sum(v * v for k, v in r.asDict().items() if k != "gid")
+    assert all(0.5**2 <= square(r) <= 4 for r in particles.in_ball(ids, 2.0, 0.5).collect())
+    assert all(square(r) == pytest.approx(9) for r in particles.on_sphere(ids, 3.0).collect())
+    flat = particles.on_sphere(ids, 3.0, ("x", "y"))
+    assert flat.columns == ["gid", "x", "y"] and all(square(r) <= 9.0001 for r in flat.collect())
+    assert particles.in_ball(ids, 2.0).collect() == particles.in_ball(ids.repartition(7), 2.0).orderBy("gid").collect()
+    never = particles.outside_ball(ids, 2.0, (0.0, 0.0), lambda k: F.lit(0.5) + 0 * F.col("gid"), 2).collect()
+    assert len(never) == 400 and all(square(r) > 1 for r in never)
+
+
+def test_dispatch_and_unary_force(spark):
+    row = frame(spark, [(2, 0, 0)]).withColumn("vx", F.lit(1.0))
+    assert physics.reflect(row, physics.Box(-1.0, 1.5)).first()["x"] == pytest.approx(1.0)
+    assert physics.reflect(row, physics.Sphere(1.0, (0.5, 0.0, 0.0))).first()["x"] == pytest.approx(1.0)
+    own = spatial.with_cells(frame(spark, [(5, 5, 5)]), 0.1)
+    got = spatial.pair_forces(own, own, 1.0, 0.05, unary={"x": F.lit(2.0), "y": F.col("y"), "z": F.lit(0.0)}).first()
+    assert (got["fx"], got["fy"], got["interactions"]) == (2.0, 5.0, 1)
+
+
+def test_quantiles_of_histograms(spark):
+    """The order statistics that percentile interpolates, found without gathering values: ties, few values, one, none."""
+    rows = [(0, float(k * k % 97)) for k in range(500)] + [(1, 3.0)] * 40 + [(2, -1.5)] + [(3, float(k)) for k in range(6)]
+    df = spark.createDataFrame(rows, "part int, v double")
+    got = {r["part"]: r["ends"] for r in partitions.quantiles(df, "v", [0.25, 0.5, 0.75], most=4).collect()}
+    want = {r["part"]: r["e"] for r in df.groupBy("part").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("e")).collect()}
+    assert {k: pytest.approx(v) for k, v in want.items()} == got
