@@ -14,28 +14,37 @@ def by_grid(rc: float, parts: int) -> Column:
     return F.pmod(sum((F.floor(F.col(d) / F.lit(rc)) for d in POSITION), F.lit(0)), F.lit(parts)).cast("int")
 
 
-def quantiles(rows: DataFrame, dim: str, shares: list[float], part: str = "part", most: int = 1000) -> DataFrame:
+def quantiles(rows: DataFrame, dim: str, shares: list[float], part: str = "part", most: int = 4096) -> DataFrame:
     """``part, ends``: exact interpolated quantiles of each part, without gathering its values.
 
     A histogram of ``most`` equal ranges between the ends tells in which range each wanted order statistic lies;
-    such a range is split again, until it holds one value.  Only counts of ranges are kept, pre-aggregated.
+    such a range is split again, until it holds ``most`` values or a single one.  Only counts of ranges are kept,
+    pre-aggregated, and the values of the last ranges.
     """
-    spans = rows.where(F.col(dim).isNotNull()).groupBy(part).agg(F.min(dim).alias("low"), F.max(dim).alias("high"), F.count(F.lit(1)).alias("n"))
+    values = rows.where(F.col(dim).isNotNull()).select(part, F.col(dim).alias("v"))
+    spans = values.groupBy(part).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
     at = [F.lit(q) * (F.col("n") - 1) for q in shares]
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(k), F.ceil(k)) for k in at])))
-    found = cut(spans.select(part, "n", F.explode(ranks).alias("rank"), "low", "high", F.lit(0).cast("bigint").alias("below")))
-    values = rows.where(F.col(dim).isNotNull()).select(part, F.col(dim).alias("v"))
-    while found.where("low < high").limit(1).count():
-        spans = found.where("low < high").select(part, "low", "high").distinct()
-        near = values.join(F.broadcast(spans), part).where("v BETWEEN low AND high")  # a few spans a part
+    found = cut(spans.select(part, "n", F.explode(ranks).alias("rank"), "low", "high", F.col("n").alias("c"), F.lit(0).cast("bigint").alias("below")))
+    wide = (F.col("low") < F.col("high")) & (F.col("c") > most)
+
+    def near(spans: DataFrame) -> DataFrame:
+        few = spans.select(part, "low", "high").distinct()  # as many a part as it has wanted ranks, at most
+        return values.join(F.broadcast(few), part).where("v BETWEEN low AND high")
+
+    while not found.where(wide).isEmpty():
         slot = F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * most), F.lit(most - 1))
-        ranges = near.groupBy(part, "low", "high", slot.alias("slot")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("from"), F.max("v").alias("to"))
+        ranges = near(found.where(wide)).groupBy(part, "low", "high", slot.alias("slot")).agg(F.count(F.lit(1)).alias("held"), F.min("v").alias("from"), F.max("v").alias("to"))
         before = Window.partitionBy(part, "low", "high").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # ``most`` ranges
-        ranges = ranges.withColumn("under", F.coalesce(F.sum("c").over(before), F.lit(0)))
-        wider = found.where("low < high").join(ranges, [part, "low", "high"]).withColumn("start", F.col("below") + F.col("under"))
-        inside = wider.where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("c")))
-        found = cut(found.where("low = high").unionByName(inside.select(part, "n", "rank", F.col("from").alias("low"), F.col("to").alias("high"), F.col("start").alias("below"))))
-    held = found.groupBy(part, "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "low"))).alias("at"))
+        ranges = ranges.withColumn("start", F.coalesce(F.sum("held").over(before), F.lit(0)))
+        split = found.where(wide).join(ranges, [part, "low", "high"]).withColumn("start", F.col("below") + F.col("start"))
+        inside = split.where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("held")))
+        narrowed = inside.select(part, "n", "rank", F.col("from").alias("low"), F.col("to").alias("high"), F.col("held").alias("c"), F.col("start").alias("below"))
+        found = cut(found.where(~wide).unionByName(narrowed))
+    last = near(found.where("low < high")).groupBy(part, "low", "high").agg(F.array_sort(F.collect_list("v")).alias("held"))
+    chosen = F.coalesce(F.get("held", (F.col("rank") - F.col("below")).cast("int")), "low")
+    named = found.join(last, [part, "low", "high"], "left").select(part, "n", "rank", chosen.alias("v"))
+    held = named.groupBy(part, "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
     value = lambda k: F.element_at("at", F.floor(k)) + (k - F.floor(k)) * (F.element_at("at", F.ceil(k)) - F.element_at("at", F.floor(k)))
     return held.select(part, F.array(*[value(k) for k in at]).alias("ends"))
 
