@@ -10,12 +10,15 @@ then compared exactly.
 Components are wanted, not all pairs.  So each list first compares its members with one of them (long
 lists are split, and their parts' pivots compared); then all pairs of one list that are still in
 different components are compared, so no link between different components is lost.  Members of long
-lists are compared in blocks of bounded size, inside tasks that give back only what connects them.
+lists are compared in blocks of bounded size, inside tasks that give back only what connects them.  A block
+holds members of one large component, or of small ones, of about one size; two blocks meet if they share a
+list, their sizes may link and they are not of one component.
 
 Nulls: null and empty texts, and texts of white space, have no shingles, link with nothing and are
 their own component; a null id has a null component, unless an equal or linked text has one.  Rows
-sharing an id are each linked.  An empty table gives no rows.  Texts are used whole.  Hashes of
-shingles and of sets have 64 bits.
+sharing an id, and repeated rows, are each linked and given back.  An empty table gives no rows.  Texts of any
+length are used whole.  Extra columns are not carried along by ``join`` and are by ``stage``; none clashes.
+Hashes of shingles and of sets have 64 bits.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haloframe.llm.common import components, cut, ensure_small_batches, join_hot, small, text_key
+from haloframe.llm.common import components, cut, ensure_small_batches, join_hot, join_side, small, text_key
 from haloframe.llm.counting import Tally, total
 from haloframe.llm.words import hash_words, mix, shingles
 
@@ -229,52 +232,70 @@ def _short_pairs(mixed: DataFrame, tested: DataFrame, percent: int) -> DataFrame
     return pairs.join(tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
 
 
-def _blocks(mixed: DataFrame) -> DataFrame:
-    """The members of long lists in blocks, each block beside each other block of its group.
+def _blocks(mixed: DataFrame, percent: int) -> DataFrame:
+    """The members of long lists in pairs of blocks: ``i, j, node, side``.
 
-    A group is what long lists connect; a hash deals it into blocks of about ``BLOCK_SHINGLES`` shingles
-    or ``BLOCK_SHINGLES / BLOCK_LEAST`` sets, so a task holds two blocks whatever the group's size.
+    A unit is the members of one component and size band that fill a block of their own, or else those that
+    have the same longest list; a hash deals a unit into blocks of about ``BLOCK_SHINGLES`` shingles or
+    ``BLOCK_SHINGLES / BLOCK_LEAST`` sets.  So a task holds two blocks, however large a list is.
     """
-    head = mixed.groupBy("shingle").agg(F.min("node").alias("a"))
-    groups = components(mixed.join(head, "shingle").select("a", F.col("node").alias("b")))
-    sized = cut(groups.join(mixed.select("node", "n").distinct(), "node"))
-    weight = F.sum(F.greatest("n", F.lit(BLOCK_LEAST)).cast("bigint"))
-    blocks = sized.groupBy("component").agg(F.ceil(weight / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    dealt = join_hot(sized, blocks, "component", "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    own = F.col("own")
-    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
-    met_rows = dealt.select(F.col("component").alias("of"), "node", F.explode(met).alias("met"))
-    return cut(met_rows.select("of", "met.i", "met.j", "node"))
+    step = 1.001 * 100 / percent  # sets more than a band apart are too unequal to link
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(step))).cast("int")
+    nodes = cut(mixed.groupBy("node", "n", "component").agg(F.max(F.struct("members", "shingle"))["shingle"].alias("longest")).withColumn("band", band))
+    weight = F.sum(F.greatest("n", F.lit(BLOCK_LEAST)).cast("bigint")).alias("weight")
+    large = nodes.groupBy("component", "band").agg(weight).where(F.col("weight") >= BLOCK_SHINGLES)
+    large = cut(large.select(F.xxhash64("component", "band").alias("key"), F.lit(True).alias("pure")))
+    keyed = join_side(nodes.withColumn("key", F.xxhash64("component", "band")), large, ["key"], 16, spread="node")
+    united = keyed.withColumn("pure", F.coalesce("pure", F.lit(False))).withColumn("unit", F.when(F.col("pure"), F.col("key")).otherwise(F.xxhash64("longest", "band", F.lit("pool"))))
+    united = cut(united.select("node", "n", "component", "band", "pure", "unit"))
+    blocks = cut(united.groupBy("unit").agg(weight).select("unit", F.ceil(F.col("weight") / BLOCK_SHINGLES).alias("blocks")))
+    number = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = join_side(united, blocks, ["unit"], 16, spread="node").select("node", "component", "band", "pure", F.xxhash64("unit", number).alias("block"))
+    dealt = cut(dealt)
+    only = F.when(F.col("pure"), F.col("component")).alias("only")
+    seen = cut(mixed.select("shingle", "node").join(dealt, "node").select("shingle", "block", "band", only).distinct())
+    other = seen.toDF("shingle", "block_2", "band_2", "only_2")
+    apart = (F.abs(F.col("band") - F.col("band_2")) <= 1) & ~F.coalesce(F.col("only") == F.col("only_2"), F.lit(False))
+    pairs = cut(seen.join(other, "shingle").where((F.col("block") <= F.col("block_2")) & apart).select(F.col("block").alias("i"), F.col("block_2").alias("j")).distinct())
+    member = dealt.select("block", "node")
+    left = pairs.join(member.withColumnRenamed("block", "i"), "i").select("i", "j", "node", F.lit(0).alias("side"))
+    right = pairs.where("i <> j").join(member.withColumnRenamed("block", "j"), "j").select("i", "j", "node", F.lit(1).alias("side"))
+    return cut(left.unionByName(right))
 
 
 def _block_links(percent: int):
-    """Links inside a pair of blocks, as few as connect what is linked."""
+    """Links between two blocks, or inside one, as few as connect what is linked."""
 
     def compare(table: pa.Table) -> pa.Table:
-        nodes = table.column("node").to_numpy()
+        nodes, side = table.column("node").to_numpy(), table.column("side").to_numpy()
+        order = np.argsort(side, kind="stable")
         lists = table.column("shingles").combine_chunks()
-        flat = lists.flatten().to_numpy()
-        sizes = np.diff(lists.offsets.to_numpy())
-        owner = np.repeat(np.arange(len(nodes)), sizes)
+        flat, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+        owner = np.repeat(np.argsort(order), sizes)  # places after sorting by side
+        nodes, sizes, first = nodes[order], sizes[order], int((side == 0).sum())
+        second = first if first < len(nodes) else 0  # one block is compared with itself
         _, slot, seen = np.unique(flat, return_inverse=True, return_counts=True)
         shared = seen[slot] > 1
         _, slot = np.unique(slot[shared], return_inverse=True)
-        owner, both = owner[shared], np.zeros((len(nodes), len(nodes)), np.float32)
-        order = np.argsort(slot, kind="stable")
-        slot, owner = slot[order], owner[order]
+        owner, both = owner[shared], np.zeros((first, len(nodes) - second), np.float32)
+        by = np.argsort(slot, kind="stable")
+        slot, owner = slot[by], owner[by]
         for at in range(0, int(slot[-1]) + 1 if len(slot) else 0, 512):
             lo, hi = np.searchsorted(slot, [at, at + 512])
             held = np.zeros((len(nodes), 512), np.float32)
             held[owner[lo:hi], slot[lo:hi] - at] = 1
-            both += held @ held.T
-        union = sizes[:, None] + sizes[None, :] - both
+            both += held[:first] @ held[second:].T
+        union = sizes[:first, None] + sizes[None, second:] - both
         linked = 100 * both >= percent * union
         a, b, waiting = [], [], np.ones(len(nodes), bool)
-        for start in range(len(nodes)):
+        for start in range(first):
             if waiting[start]:
                 front, waiting[start] = np.array([start]), False
                 while len(front):
-                    found = np.flatnonzero(linked[front].any(axis=0) & waiting)
+                    there = np.flatnonzero(linked[front[front < first]].any(axis=0)) + second
+                    back = np.flatnonzero(linked[:, front[front >= second] - second].any(axis=1))
+                    found = np.union1d(there, back)
+                    found = found[waiting[found]]
                     waiting[found] = False
                     a += [nodes[start]] * len(found)
                     b += nodes[found].tolist()
@@ -285,9 +306,10 @@ def _block_links(percent: int):
 
 
 def _in_lists(listed: DataFrame, by: list[str]) -> DataFrame:
-    """``shingle, node`` with the count and the smallest node of the list (or its part)."""
+    """``shingle, node, n`` with the count and the smallest node of the list (or its part) as its pivot."""
     own = Window.partitionBy(*by)
-    return listed.withColumn("c", F.count(F.lit(1)).over(own)).withColumn("pivot", F.min("node").over(own)).select("shingle", "node", "c", "pivot")
+    pivot = F.min(F.struct("node", "n")).over(own)
+    return listed.withColumn("c", F.count(F.lit(1)).over(own)).withColumn("pivot", pivot).select("shingle", "node", "n", "c", "pivot")
 
 
 def _linked(docs: DataFrame, width: int, percent: int, key: Column) -> tuple[DataFrame, DataFrame]:
@@ -307,38 +329,42 @@ def _linked(docs: DataFrame, width: int, percent: int, key: Column) -> tuple[Dat
         .dropDuplicates(["node"])
     )
     signed = cut(signed)
-    links = _small_links(signed)
 
     exponent = F.col("shingle").bitwiseAND(F.lit(15))
-    listed = signed.select("node", F.explode("listed").alias("shingle"))
-    lists = _in_lists(listed.where(exponent == 0), ["shingle"]).where("c > 1").unionByName(
-        _in_lists(listed.where(exponent > 0).withColumn("part", F.pmod("node", F.pow(F.lit(2), exponent).cast("bigint"))), ["shingle", "part"])
+    listed = signed.select("node", "n", F.explode("listed").alias("shingle"))
+    lists = cut(
+        _in_lists(listed.where(exponent == 0), ["shingle"])
+        .where("c > 1")
+        .unionByName(_in_lists(listed.where(exponent > 0).withColumn("part", F.pmod("node", F.pow(F.lit(2), exponent).cast("bigint"))), ["shingle", "part"]))
+        .drop("c")
     )
-    lists = cut(lists.select("shingle", "node", "pivot"))
-    sizes = signed.select("node", "n")
-    of_pivot = sizes.withColumnsRenamed({"node": "pivot", "n": "m"})
-    lists = cut(lists.join(sizes, "node").join(of_pivot, "pivot").select("shingle", "node", "n", F.struct(F.col("pivot").alias("node"), F.col("m").alias("n")).alias("pivot")))
-    holders = cut(members.where("n > 0").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("holder")))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("holder"), "text")
+    no_id = F.lit(-(1 << 63))
+    holders = cut(members.where("n > 0").groupBy("node").agg(F.min(F.coalesce("doc_id", no_id)).alias("holder")))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), no_id).alias("holder"), "text")
     once = members.agg(F.count(F.lit(1)) == F.countDistinct("doc_id")).first()[0]
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         """The whole sets of ``nodes``, hashed again from the texts, so that no others are ever written."""
-        wanted = cut(holders.join(small(cut(nodes.distinct())), "node", "left_semi").select("holder").distinct())
+        wanted = cut(holders.join(nodes.distinct(), "node", "left_semi").select("holder").distinct())
         sets = texts.join(small(wanted), "holder", "left_semi").select("text").mapInArrow(_sets(width), "node bigint, shingles array<bigint>")
         return cut(sets if once else sets.dropDuplicates(["node"]))
 
     starred = cut(_stars(lists, percent))
-    links = cut(links.unionByName(_verified(starred, sets_of(_ends(starred)), percent)))
+    links = _small_links(signed).unionByName(_verified(starred, sets_of(_ends(starred)), percent))
     found = cut(components(links))
     mixed = _mixed(lists, found)
+    if mixed.isEmpty():
+        return members, found
     short = cut(_short_pairs(mixed.where(F.col("members") <= SHORT_LIST).drop("members"), starred, percent))
-    blocks = _blocks(mixed.where(F.col("members") > SHORT_LIST).drop("members"))
-    extra = cut(
-        _verified(short, sets_of(_ends(short)), percent).unionByName(
-            blocks.join(sets_of(blocks.select("node")), "node").groupBy("of", "i", "j").applyInArrow(_block_links(percent), "a bigint, b bigint")
-        )
-    )
+    wanted, blocks = _ends(short), None
+    long = mixed.where(F.col("members") > SHORT_LIST)
+    if not long.isEmpty():
+        blocks = _blocks(long, percent)
+        wanted = wanted.unionByName(blocks.select("node"))
+    sets = sets_of(wanted)
+    extra = _verified(short, sets, percent)
+    if blocks is not None:
+        extra = extra.unionByName(blocks.join(sets, "node").groupBy("i", "j").applyInArrow(_block_links(percent), "a bigint, b bigint"))
     return members, components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(extra))
 
 
@@ -373,12 +399,16 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     members, final = _linked(docs, WIDTH, PERCENT, text_key(F.col("text")))
     rows = cut(members.groupBy("doc_id", "key", "node", "n").agg(F.count(F.lit(1)).alias("times")))
     present = rows.where("n > 0")
-    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    found = join_hot(present, _lowest(present, final, own), "node", "key")
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    lowest = present.groupBy("node").agg(own.alias("low")).join(final, "node", "left").groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("low").alias("low"))
     mark = [F.col("doc_id").alias("__halo_doc"), F.col("key").alias("__halo_key")]
-    gone = cut(found.where(~(F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("key") == F.col("low.key")))).select(*mark))
+    first = lowest.select(F.col("low.doc_id").alias("__halo_doc"), F.col("low.key").alias("__halo_key"))
+    named = present.select(*mark)
+    gone = named.join(first, named["__halo_doc"].eqNullSafe(first["__halo_doc"]) & (named["__halo_key"] == first["__halo_key"]), "left_anti")
     repeated = cut(rows.where("times > 1").select(*mark))
     same = docs["doc_id"].cast("bigint").eqNullSafe(F.col("__halo_doc")) & (text_key(docs["text"]) == F.col("__halo_key"))
-    kept = docs.join(small(gone), same, "left_anti")
+    kept = docs.join(small(cut(gone)), same, "left_anti")
+    if repeated.isEmpty():
+        return kept
     repeated = small(repeated)
     return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -19,7 +19,7 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from haloframe.llm.common import cut, small, text_key
+from haloframe.llm.common import cut, text_key
 
 SHARDS = 8
 BUCKETS = 4096
