@@ -3,13 +3,15 @@
 A document's features are hashed indicators of its word 1- and 2-grams and of the 1- to 3-grams of its
 words' shapes (runs of letters, digits and other characters), plus one for a word said twice running.
 Each is scaled by its class log-count ratio, counted over all training rows, and a row has length one.
-A linear hinge-loss model is fitted by dual coordinate descent on a bounded sample of the training
-rows (``FIT_ROWS``); a fifth of the sample is held back to turn margins into probabilities.
+A linear hinge-loss model is fitted by dual coordinate descent, in one task, on a bounded sample of the training
+rows (about ``FIT_ROWS`` of them, with ``FIT_SLOTS`` features in all at most); a fifth of the sample is held back
+to turn margins into probabilities.
 
 Only text is an input of a score.  Nulls: null and empty texts have no features and get the score of a
 zero margin; labels with a null id or class and labels of no document are ignored; contradicting labels
 of a document all count.  Rows sharing an id are each scored.  Without labels of both classes every
-score is 0.5.  Empty tables give no rows.  Texts are used whole; extra columns are carried by ``keep``.
+score is 0.5.  Equal texts have equal scores.  Empty tables give no rows.  Texts of any length are used whole;
+extra columns are carried by ``keep`` and not by ``scores``, and none clashes.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haloframe.llm.common import cut, ensure_small_batches, small
@@ -28,6 +30,7 @@ from haloframe.llm.words import hash_words, windows
 
 BITS = 18
 FIT_ROWS = 6_000
+FIT_SLOTS = 8_000_000
 EPOCHS = 12
 COST = 4.0
 FOLDS = 5
@@ -115,17 +118,39 @@ def calibrate(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return max(float(beta[0]), 1e-3), float(beta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Learns from ``labels`` (``doc_id, quality``) of documents outside fold 0."""
+def log_ratios(counts: np.ndarray) -> np.ndarray:
+    """Per feature the class log-count ratio, from its counts in rows of class 0 and 1, each smoothed by one."""
+    seen = counts.reshape(2, -1) + 1.0
+    return np.log(seen[1] / seen[1].sum()) - np.log(seen[0] / seen[0].sum())
+
+
+def learn(rows: list[np.ndarray], signs: np.ndarray, ratios: np.ndarray) -> Model:
+    """The model of sampled rows (their slots and classes, 1 or -1); each fifth row only calibrates."""
+    values = [ratios[r] / (np.sqrt((ratios[r] ** 2).sum()) or 1.0) for r in rows]
+    kept = np.arange(len(rows)) % 5 == 4
+    costs = COST * np.where(signs > 0, 1.0, (signs > 0).sum() / max(1, (signs < 0).sum()))
+    fitted = np.flatnonzero(~kept)
+    weights, bias = descend([rows[i] for i in fitted], [values[i] for i in fitted], signs[fitted], costs[fitted], EPOCHS)
+    checked = kept if len(set(signs[kept])) == 2 else np.ones(len(rows), bool)
+    margins = np.array([weights[r] @ v + bias for r, v, k in zip(rows, values, checked, strict=True) if k])
+    slope, offset = calibrate(margins, signs[checked])
+    return Model((weights * ratios).astype(np.float32), (ratios**2).astype(np.float32), float(bias), slope, offset)
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_slots: int = FIT_SLOTS) -> Model:
+    """Learns from ``labels`` (``doc_id, quality``) of documents outside fold 0; counts are over all of them."""
     ensure_small_batches(docs.sparkSession)
-    marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(
-        F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 0)
+    marks = cut(
+        labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(
+            F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 0)
+        )
     )
     training = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(small(marks), "doc_id").select("doc_id", "quality", "text")
     known = marks.groupBy("quality").count().collect()
     share = {q: min(1.0, fit_rows / 2 / n) for q, n in map(tuple, known)}
+    none = Model(np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32), 0.0, 1.0, 0.0)
     if len(share) < 2:
-        return Model(np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32), 0.0, 1.0, 0.0)
+        return none
     sampled = {q: int(s * (1 << 20)) for q, s in share.items()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,20 +175,30 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     counted = cut(
         training.select("doc_id", "quality", lot, "text").mapInArrow(count, "block int, counts binary, doc_id bigint, quality int, slots binary")
     )
-    counts = total(counted.where("block IS NOT NULL").select("block", "counts"), 2 << BITS).reshape(2, -1) + 1.0
-    ratios = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    sample = counted.where("block IS NULL").select("doc_id", "quality", "slots").orderBy("doc_id", "quality", "slots").limit(2 * fit_rows).collect()
-    rows = [np.frombuffer(bytes(r[2]), np.int32) for r in sample]
-    values = [ratios[r] / (np.sqrt((ratios[r] ** 2).sum()) or 1.0) for r in rows]
-    signs = np.array([1.0 if r[1] else -1.0 for r in sample])
-    kept = np.arange(len(rows)) % 5 == 4
-    costs = COST * np.where(signs > 0, 1.0, (signs > 0).sum() / max(1, (signs < 0).sum()))
-    fitted = np.flatnonzero(~kept)
-    weights, bias = descend([rows[i] for i in fitted], [values[i] for i in fitted], signs[fitted], costs[fitted], EPOCHS)
-    checked = kept if len(set(signs[kept])) == 2 else np.ones(len(rows), bool)
-    margins = np.array([weights[r] @ v + bias for r, v, k in zip(rows, values, checked, strict=True) if k])
-    slope, offset = calibrate(margins, signs[checked])
-    return Model((weights * ratios).astype(np.float32), (ratios**2).astype(np.float32), float(bias), slope, offset)
+    ratios = log_ratios(total(counted.where("block IS NOT NULL").select("block", "counts"), 2 << BITS))
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, signs = [], []
+        for batch in batches:
+            signs += [1.0 if q else -1.0 for q in batch.column(0).to_pylist()]
+            rows += [np.frombuffer(x.as_buffer(), np.int32).copy() for x in batch.column(1)]
+        if len(set(signs)) == 2:
+            model = learn(rows, np.array(signs), ratios)
+            row = [(model.weights.tobytes(), pa.binary()), (model.norms.tobytes(), pa.binary()), *((x, pa.float64()) for x in (model.bias, model.slope, model.offset))]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in row], names=["weights", "norms", "bias", "slope", "offset"])
+
+    sample = counted.where("block IS NULL").select("doc_id", "quality", "slots")
+    size = F.octet_length("slots").cast("bigint")
+    held = sample.agg(F.sum(size)).first()[0] or 0
+    if held > 4 * fit_slots:  # few long texts in place of many
+        sample = sample.where(F.pmod(F.xxhash64("doc_id", F.lit("size")), F.lit(1 << 20)) < int((1 << 20) * 4 * fit_slots / held))
+    order = ("doc_id", "quality", "slots")
+    first = sample.orderBy(*order).limit(2 * fit_rows).withColumn("upto", F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    found = first.where(F.col("upto") <= 4 * fit_slots).select("quality", "slots").mapInArrow(learned, "weights binary, norms binary, bias double, slope double, offset double").collect()
+    if not found:
+        return none
+    weights, norms, *rest = found[0]
+    return Model(np.frombuffer(bytes(weights), np.float32), np.frombuffer(bytes(norms), np.float32), *rest)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
