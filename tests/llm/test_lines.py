@@ -4,9 +4,9 @@ import random
 import re
 from collections import Counter
 
-import test_llm
+from pyspark.sql import functions as F
 
-from haloframe.llm import bpe, lines
+from haloframe.llm import common, lines
 
 DOCS = "doc_id long, text string"
 MONTHS = "January February March April May June July August September October November December".split()
@@ -54,18 +54,16 @@ def test_rare_form_in_a_large_leaf(spark):
     assert sorted(d for d, t in got.items() if t) == [0, 1000]
 
 
-def _by_hand(rows):
+def by_hand(rows):
     """The rule of line dedup, row by row: the texts of ``(doc_id, text)`` without recurring lines."""
     mask = lambda t: "<*>" if re.search(r"\d", t) else t
     words = lambda x: tuple(re.split(r"[ \t\n\x0b\f\r]+", x))
     own, leaf = {}, {}
     for doc, text in rows:
-        for line in (text or "").split("\n"):
-            if line.strip(" "):
-                own.setdefault(line.strip(" "), []).append(doc)
+        for line in {line.strip(" ") for line in (text or "").split("\n")} - {""}:
+            own.setdefault(line, []).append(doc)
     for x in own:
-        if len(words(x)) >= lines.MIN_TOKENS:
-            leaf.setdefault((len(words(x)), *map(mask, words(x)[: lines.LEAD])), []).append(x)
+        leaf.setdefault((len(words(x)), *map(mask, words(x)[: lines.LEAD])), []).append(x)
     shapes = {}
     for where, variants in leaf.items():
         number = sum(len(own[x]) for x in variants)
@@ -110,10 +108,37 @@ def test_against_brute_force(spark):
         rows.append((doc, "\n".join(out)))
     rows += [(90, None), (91, ""), (92, "\n\n")]
     got = _dedup(spark, rows)
-    assert got == _by_hand(rows) and sum(t != got[d] for d, t in rows) > 40
+    assert got == by_hand(rows) and sum(t != got[d] for d, t in rows) > 40
 
 
-def test_pipeline_by_the_rule_over_all_lines(spark, tmp_path, monkeypatch):
-    """The pipeline's test with this file's rule of line dedup for the one that leaves short lines out."""
-    monkeypatch.setattr(test_llm, "_dedup_by_hand", _by_hand)
-    test_llm.test_pipeline_against_brute_force(spark, tmp_path, bpe.default_paths())
+def test_both_settings_of_keep_first(spark):
+    rows = [(i, f"own{chr(97 + i)}\nUser {i} logged in today\nAll of it") for i in range(7)] + [(None, "All of it\nhere"), (None, "All of it\nhere")]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = {r["text"] for r in lines.dedup(docs).collect()}
+    assert kept == {"ownb", "owna\nUser 0 logged in today", "All of it\nhere", *(f"own{c}" for c in "cdefg")}
+    dropped = {r["text"] for r in lines.dedup(docs, keep_first=False).collect()}
+    assert dropped == {"here", *(f"own{c}" for c in "abcdefg")}
+
+
+def test_templates_decide(spark, monkeypatch):
+    """Lines that differ in their fields go through the tree alone; without it they stay."""
+    rows = [(i, f"Page {i} of {2 * i}\nown{chr(97 + i)}") for i in range(6)]
+    assert sum("Page" in t for t in _dedup(spark, rows).values()) == 1
+    monkeypatch.setattr(lines, "_templates", lambda docs, lines, literal: literal.limit(0).select("raw", F.col("raw").alias("template")))
+    assert sum("Page" in t for t in _dedup(spark, rows).values()) == 6
+
+
+def test_repeats_in_one_document_count_once(spark):
+    """Five documents make a token constant and a template recur, not five lines of one."""
+    rows = [(1, "\n".join(f"Log {k} of it" for k in range(9))), (2, "Log 77 of it"), (3, "own line")]
+    assert _dedup(spark, rows) == dict(rows)
+
+
+def test_hot_keys_without_broadcast(spark, monkeypatch):
+    """The same rows where no side is small enough to be broadcast."""
+    rows = [(i, f"Page {i} of {2 * i}\nAll rights reserved\nown{chr(97 + i)}") for i in range(9)]
+    want = _dedup(spark, rows)
+    for name in ("BROADCAST_ROWS", "BROADCAST_BYTES"):
+        monkeypatch.setattr(common, name, -1)
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", -1)
+    assert _dedup(spark, rows) == want
