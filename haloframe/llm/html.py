@@ -1,15 +1,23 @@
 """Main-text extraction by wrapper induction over the pages of a host.
 
-Pages become trees of elements.  Each page is aligned with its host's reference pages (up to three with
+Pages become trees of elements.  Each page is aligned once with its host's reference pages (up to three with
 a text) by simple tree matching, which maximises matched pairs of nodes under order and
 ancestry.  Over all pages of a host, a block that is matched and says the same in nearly all of them is
-template; varying blocks are content.  What stands in menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and comments is told by element, role, class and id and never content.
-If a page has an article or main element, its text lies in there; headers inside one belong to it.
+template; varying blocks are content, wherever they stand.
+
+Elements and roles that are boilerplate by HTML's own meaning (menus, footers, asides, forms, scripts and so
+on) are never content, nor is an element whose class or id is as a whole a word for it (``HINTS``).  A name
+that only has such a word as a part (``related-work``, ``comment-list``) is a hint: it counts where the
+aligned pages of the host have the element, of the same name, at the same place (``HINT_SHARE``), or on a
+page that marks no content and has no other page to be compared with.  If a page has an article or
+main element, its text lies in there; headers inside one belong to it.
 
 Only counts per host and reference node are shuffled, pre-aggregated in each task; reference pages are
-joined by host.  A page that nearly equals a reference has no say in it.  Nulls: null html has an empty text; pages without a host share one.  Rows sharing a page
-id are each extracted.  Broken markup closes where it ends.  An empty table gives no rows.
+joined by host.  A page that nearly equals a reference, or has no text, has no say in it.  Nulls: null html
+has an empty text; pages without a host (null urls too) share one; a null id is kept.  Rows sharing a page id,
+and repeated rows, are each extracted; of pages that tie for the smallest id the one of the least digest is a
+reference.  Broken markup closes where it ends.  Texts of any length are used whole.  Extra columns are not
+carried along.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,13 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haloframe.llm.common import cut, ensure_small_batches, small
+from haloframe.llm.common import cut, ensure_small_batches, join_side
 from haloframe.llm.urls import host_of
 
 TEMPLATE_PAGES = 5
 TEMPLATE_SHARE = 0.9
+HINT_SHARE = 0.5
 ALIGN_CELLS = 250_000
+#: Characters of parsed references, and numbered shapes and pairs of them, that a task holds.
 PARSED_CHARS = 4_000_000
+HELD_SHAPES = 200_000
+#: The code of a hint on a host whose pages have none to be compared with, and the number under which voters count.
+_ALONE = _VOTERS = -1
 
 # HTML's elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,8 +57,8 @@ SKIP = frozenset(
     "audio video map title".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-# Words that name boilerplate in class and id attributes.
-NAMES = frozenset(
+#: Words that name boilerplate in class and id attributes.
+HINTS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus "
     "footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification popup promo promoted promotion "
     "related replies reply respond share sharing sidebar sidebars skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
@@ -68,42 +81,55 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+)))?""")
+_WORDS = re.compile(r"[^a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("children", "content", "noise", "tag", "text")
+    __slots__ = ("children", "content", "hint", "noise", "own", "tag", "text")
 
-    def __init__(self, tag: str, noise: bool, content: bool):
-        self.tag, self.noise, self.content, self.children, self.text = tag, noise, content, [], []
+    def __init__(self, tag: str, noise: bool, content: bool, hint: str | None = None):
+        self.tag, self.noise, self.content, self.hint, self.children, self.text, self.own = tag, noise, content, hint, [], [], None
 
 
-def _noisy(tag: str, source: str, inside: bool) -> bool:
+def _evidence(tag: str, source: str, inside: bool) -> tuple[bool, str | None]:
+    """Whether an element is boilerplate by kind, role or name, and the name that only hints at it."""
     if tag in SKIP or tag == "header" and not inside:
-        return True
-    for name, *values in _ATTRIBUTE.findall(source):
-        value = "".join(values).lower()
-        if name.lower() == "role" and value in ROLES or name.lower() == "hidden" or name.lower() == "aria-hidden" and value == "true":
-            return True
-        if name.lower() in ("class", "id") and tag not in ("body", "html", "article", "main") and not NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+        return True, None
+    hint = None
+    if len(source) > len(tag) + 3:
+        for name, *values in _ATTRIBUTE.findall(source, len(tag) + 1):
+            name, value = name.lower(), "".join(values).lower()
+            if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+                return True, None
+            if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
+                for token in value.split():
+                    if token in HINTS:
+                        return True, None
+                    if hint is None and not HINTS.isdisjoint(_WORDS.split(token)):
+                        hint = token
+    return False, hint
 
 
 def parse(html: str) -> Node:
-    """The tree of block elements; inline elements lend their text to the block around them."""
+    """The tree of block elements; inline elements lend their text to the block around them.
+
+    Boilerplate elements stand in the text of their parents, but are no children: they take part in no match.
+    """
     root = Node("#root", False, False)
     stack, at = [root], 0
+
+    def said(text: str) -> None:
+        if not stack[-1].noise:
+            stack[-1].text.append(unescape(text) if "&" in text else text)
+
     for m in _TOKEN.finditer(html):
         if m.start() > at:
-            stack[-1].text.append(unescape(html[at : m.start()]))
+            said(html[at : m.start()])
         at = m.end()
         source = m[0]
         if m[1] or source[1] in "!?":
-            if m[1] is None:
-                continue
-            stack[-1].text.append("")
             continue
         tag = _NAME.match(source)[1].lower()
         if source[1] == "/":
@@ -115,31 +141,36 @@ def parse(html: str) -> Node:
                     break
             continue
         if tag == "br":
-            stack[-1].text.append(" ")
+            said(" ")
             continue
         while len(stack) > 1 and (tag in _CLOSES.get(stack[-1].tag, ()) or stack[-1].tag == "p" and tag in _PARAGRAPH_ENDS):
             stack.pop()
         if tag in VOID and tag != "hr":
             continue
-        inside = stack[-1].content or tag in ("article", "main")
-        noise = stack[-1].noise or _noisy(tag, source, stack[-1].content)
-        if tag not in BLOCK and (not noise or stack[-1].noise):
+        above = stack[-1]
+        noise, hint = (True, None) if above.noise else _evidence(tag, source, above.content)
+        if tag not in BLOCK and (not noise or above.noise):
             continue  # inline: its text is its block's
-        node = Node(tag, noise, inside)
-        stack[-1].children.append(node)
-        stack[-1].text.append(node)
+        node = Node(tag, noise, above.content or tag in ("article", "main"), hint)
+        if not above.noise:
+            above.text.append(node)
+            if not noise:
+                above.children.append(node)
         if tag != "hr" and not source.endswith("/>"):
             stack.append(node)
     if at < len(html):
-        stack[-1].text.append(unescape(html[at:]))
+        said(html[at:])
     return root
 
 
 def _own_text(node: Node) -> str:
-    return _SPACE.sub(" ", "".join(x if isinstance(x, str) else "\0" for x in node.text)).strip()
+    if node.own is None:
+        node.own = _SPACE.sub(" ", "".join(x if isinstance(x, str) else "\0" for x in node.text)).strip("\0 \t\n\r\f\v")
+    return node.own
 
 
 def flat(root: Node) -> list[Node]:
+    """All nodes but those of boilerplate, parents first."""
     out, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -148,19 +179,6 @@ def flat(root: Node) -> list[Node]:
     return out
 
 
-def _shapes(root: Node, known: dict, sizes: list[int], parts: list[tuple[str, tuple[int, ...]]]) -> dict[int, int]:
-    """The number of each node's shape: its tag and the shapes of its children."""
-    own: dict[int, int] = {}
-    for node in reversed(flat(root)):
-        part = (node.tag, tuple(own[id(c)] for c in node.children))
-        shape = known.setdefault(part, len(parts))
-        if shape == len(parts):
-            parts.append(part)
-            sizes.append(1 + sum(sizes[c] for c in part[1]))
-        own[id(node)] = shape
-    return own
-
-
 def _trimmed(xs: tuple[int, ...], ys: tuple[int, ...]) -> tuple[int, int]:
     """How many children at the end, then at the start, have equal shapes; a largest match pairs those."""
     most, tail, head = min(len(xs), len(ys)), 0, 0
@@ -217,67 +235,89 @@ def _ordered(xs: tuple[int, ...], ys: tuple[int, ...], gain: dict[tuple[int, int
     return sorted(out)
 
 
-def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Simple tree matching: pairs of a largest top-down, order-preserving match of two trees.
+class Shapes:
+    """Numbers the shapes of trees, and remembers what each two of them gain by a largest match.
 
-    What two nodes can gain depends on their shapes alone, so it is found once for each two shapes.
+    A shape is a tag and the shapes of the children; what two nodes can gain depends on their shapes alone.
     """
-    if a.tag != b.tag:
-        return []
-    sizes: list[int] = []
-    parts: list[tuple[str, tuple[int, ...]]] = []
-    known: dict = {}
-    left, right = _shapes(a, known, sizes, parts), _shapes(b, known, sizes, parts)
-    gain: dict[tuple[int, int], int] = {}
-    places: dict[tuple[int, int], list[tuple[int, int]]] = {}
-
-    def score(pairs, xs: tuple[int, ...], ys: tuple[int, ...]) -> int:
-        return 1 + sum(gain[xs[i], ys[j]] for i, j in pairs)
-
-    todo = [(left[id(a)], right[id(b)], False)]
-    while todo:  # children before parents, on a list of its own: trees may be deeper than the call stack
-        x, y, ready = todo.pop()
-        xs, ys = parts[x][1], parts[y][1]
-        if (x, y) in gain:
-            continue
-        if x == y:
-            gain[x, y] = sizes[x]
-            continue
-        if not ready:
-            head, tail = _trimmed(xs, ys)
-            todo.append((x, y, True))
-            outer = xs[:head] + xs[len(xs) - tail :]
-            todo += [(c, c, False) for c in set(outer)]
-            inner = product(set(xs[head : len(xs) - tail]), set(ys[head : len(ys) - tail]))
-            todo += [(c, d, False) for c, d in inner if parts[c][0] == parts[d][0]]
-            continue
-        places[x, y] = _ordered(xs, ys, gain)
-        gain[x, y] = score(places[x, y], xs, ys)
-    out, stack = [], [(a, b)]
-    while stack:
-        p, q = stack.pop()
-        out.append((p, q))
-        x, y = left[id(p)], right[id(q)]
-        if x == y:
-            stack += zip(p.children, q.children, strict=True)
-        else:
-            stack += [(p.children[i], q.children[j]) for i, j in places[x, y]]
-    return out
+
+    def __init__(self) -> None:
+        self.known: dict[tuple[str, tuple[int, ...]], int] = {}
+        self.parts: list[tuple[str, tuple[int, ...]]] = []
+        self.sizes: list[int] = []
+        self.gain: dict[tuple[int, int], int] = {}
+        self.places: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    def held(self) -> int:
+        return len(self.parts) + len(self.gain)
+
+    def of(self, nodes: list[Node]) -> dict[int, int]:
+        """The shape of each node of a tree, by its identity."""
+        own: dict[int, int] = {}
+        for node in reversed(nodes):
+            part = (node.tag, tuple([own[id(c)] for c in node.children]))
+            shape = self.known.setdefault(part, len(self.parts))
+            if shape == len(self.parts):
+                self.parts.append(part)
+                self.sizes.append(1 + sum(self.sizes[c] for c in part[1]))
+            own[id(node)] = shape
+        return own
+
+    def _compare(self, x: int, y: int) -> None:
+        """Gains of two shapes and of all below them, children before parents, on a list of its own: trees may be deep."""
+        todo = [(x, y, False)]
+        while todo:
+            x, y, ready = todo.pop()
+            if (x, y) in self.gain:
+                continue
+            if x == y:
+                self.gain[x, y] = self.sizes[x]
+                continue
+            xs, ys = self.parts[x][1], self.parts[y][1]
+            if not ready:
+                head, tail = _trimmed(xs, ys)
+                todo.append((x, y, True))
+                todo += [(c, c, False) for c in {*xs[:head], *xs[len(xs) - tail :]}]
+                inner = product(set(xs[head : len(xs) - tail]), set(ys[head : len(ys) - tail]))
+                todo += [(c, d, False) for c, d in inner if self.parts[c][0] == self.parts[d][0]]
+                continue
+            found = self.places[x, y] = _ordered(xs, ys, self.gain)
+            self.gain[x, y] = 1 + sum(self.gain[xs[i], ys[j]] for i, j in found)
+
+    def pairs(self, a: Node, left: dict[int, int], b: Node, right: dict[int, int]) -> list[tuple[Node, Node]]:
+        """Pairs of a largest top-down, order-preserving match of two trees of equal tag."""
+        self._compare(left[id(a)], right[id(b)])
+        out, stack = [], [(a, b)]
+        while stack:
+            p, q = stack.pop()
+            out.append((p, q))
+            x, y = left[id(p)], right[id(q)]
+            if x == y:
+                stack += zip(p.children, q.children, strict=True)
+            else:
+                stack += [(p.children[i], q.children[j]) for i, j in self.places[x, y]]
+        return out
+
+
+def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
+    """Simple tree matching of two trees; none if their tags differ."""
+    shapes = Shapes()
+    return shapes.pairs(a, shapes.of(flat(a)), b, shapes.of(flat(b))) if a.tag == b.tag else []
 
 
 def content_root(nodes: list[Node]) -> bool:
     """Whether the page says where its content is."""
-    return any(n.content and not n.noise for n in nodes)
+    return any(n.content for n in nodes)
 
 
-def blocks(root: Node, nodes: list[Node], template: set[int]) -> list[str]:
-    """The texts of content blocks in page order; ``template`` holds ids of constant nodes."""
-    marked, out, held = content_root(nodes), [], []
+def pieces(root: Node, nodes: list[Node]) -> list[tuple[str, Node, list[Node]]]:
+    """The blocks that may be content, in page order: text, node, and the hinting nodes it stands in."""
+    marked, out, held, hints = content_root(nodes), [], [], []
 
-    def flush() -> None:
+    def flush(node: Node) -> None:
         text = _SPACE.sub(" ", "".join(held)).strip()
         if text:
-            out.append(text)
+            out.append((text, node, list(hints)))
         held.clear()
 
     stack: list = [(root, iter(root.text))]
@@ -286,138 +326,180 @@ def blocks(root: Node, nodes: list[Node], template: set[int]) -> list[str]:
         part = next(parts, None)
         if part is None:
             stack.pop()
-            flush()
+            flush(node)
+            if node.hint:
+                hints.pop()
         elif isinstance(part, str):
-            if not node.noise and (node.content or not marked) and id(node) not in template:
+            if node.content or not marked:
                 held.append(part)
         elif part.tag in BLOCK:
-            flush()
-            stack.append((part, iter(part.text)))
+            flush(node)
+            if not part.noise:
+                stack.append((part, iter(part.text)))
+                if part.hint:
+                    hints.append(part)
     return out
 
 
-def _agreement(root: Node, other_nodes: list[Node], other: Node) -> list[tuple[int, Node, bool]]:
-    """For matched nodes with a text the reference node's number and whether they agree."""
-    number = {id(n): k for k, n in enumerate(other_nodes)}
-    return [(number[id(y)], x, _own_text(x) == _own_text(y)) for x, y in match(root, other) if _own_text(x).strip("\0 ")]
+def blocks(root: Node, nodes: list[Node], template: set[int]) -> list[str]:
+    """The texts of content blocks in page order; ``template`` holds ids of nodes that are none."""
+    return [text for text, node, hints in pieces(root, nodes) if template.isdisjoint(map(id, [node, *hints]))]
+
 
+class _Page:
+    """A parsed page, its nodes and their shapes."""
 
-def _is_copy(nodes: list[Node], pairs: list[tuple[int, Node, bool]], share: float) -> bool:
-    """Whether a page says nearly all that its reference says: then it tells nothing of what is template."""
-    whole = sum(len(_own_text(n)) for n in nodes if not n.noise)
-    return sum(len(_own_text(x)) for _, x, same in pairs if same and not x.noise) > share * whole
+    def __init__(self, html: str, shapes: Shapes):
+        self.root = parse(html)
+        self.nodes = flat(self.root)
+        self.shapes = shapes.of(self.nodes)
+        self.number = {id(n): k for k, n in enumerate(self.nodes)}
+        self.chars = sum(len(_own_text(n)) for n in self.nodes)
 
 
 class _References:
-    """The references seen last, parsed once; so many as have ``PARSED_CHARS`` characters."""
+    """The references seen last, parsed once, and the shapes of all pages of late; bounded, forgotten when full."""
 
     def __init__(self) -> None:
-        self.held: dict[str, tuple[Node, list[Node]]] = {}
-        self.chars = 0
-
-    def __call__(self, html: str) -> tuple[Node, list[Node]]:
-        if html not in self.held:
-            while self.held and self.chars + len(html) > PARSED_CHARS:
-                oldest = next(iter(self.held))
-                self.chars -= len(oldest)
-                del self.held[oldest]
-            root = parse(html)
-            self.held[html] = root, flat(root)
+        self.forget()
+
+    def forget(self) -> None:
+        self.pages: dict[str, _Page] = {}
+        self.shapes, self.chars = Shapes(), 0
+
+    def room(self) -> Shapes:
+        """The shapes for another page; called while no page is in use."""
+        if self.chars > PARSED_CHARS or self.shapes.held() > HELD_SHAPES:
+            self.forget()
+        return self.shapes
+
+    def __call__(self, html: str) -> _Page:
+        if html not in self.pages:
+            self.pages[html] = _Page(html, self.shapes)
             self.chars += len(html)
-        return self.held[html]
+        return self.pages[html]
+
+
+def _code(reference: int, number: int, hint: bool) -> int:
+    return reference << 40 | number << 1 | hint
+
+
+def _compare(html: str, references: list[str], held: _References, share: float, seen: dict) -> tuple[list[str], list[list[int]]]:
+    """A page's blocks with, for each, codes of the reference nodes that would make it template.
+
+    Votes go to ``seen``: by reference and node how often it was matched, said the same, had the same hint.
+    """
+    page = _Page(html, held.room())
+    codes: dict[int, list[int]] = defaultdict(list)
+    for k, reference in enumerate(references):
+        other = held(reference)
+        pairs = held.shapes.pairs(page.root, page.shapes, other.root, other.shapes)
+        found, alike = [], 0
+        for x, y in pairs:
+            text, hint = _own_text(x), x.hint is not None and x.hint == y.hint
+            same = bool(text) and text == _own_text(y)
+            if same:
+                alike += len(text)
+            if text or hint:
+                number = other.number[id(y)]
+                found.append((number, bool(text), same, hint))
+                if same:
+                    codes[id(x)].append(_code(k, number, False))
+                if hint:
+                    codes[~id(x)].append(_code(k, number, True))
+        if page.chars and html != reference and alike <= share * page.chars:
+            seen[k, _VOTERS][0] += 1
+            for number, text, same, hint in found:
+                entry = seen[k, number]
+                entry[0] += text
+                entry[1] += same
+                entry[2] += hint
+    alone = [] if content_root(page.nodes) else [_ALONE]
+    texts, marks = [], []
+    for text, node, hints in pieces(page.root, page.nodes):
+        own = list(codes[id(node)])
+        for h in hints:
+            own += codes[~id(h)] + alone
+        texts.append(text)
+        marks.append(own)
+    return texts, marks
+
+
+_ALIGNED = "page_id bigint, url string, host string, texts array<string>, codes array<array<bigint>>, reference int, number int, matched bigint, equal bigint, hinted bigint"
+
+
+def _aligned(share: float):
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _References()
+        types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())), pa.int32(), pa.int32(), *[pa.int64()] * 3]
+        names = [c.split()[0] for c in _ALIGNED.split(", ")]
+
+        def rows(columns: dict[int, list]) -> pa.RecordBatch:
+            count = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([pa.array(columns[i], t) if i in columns else pa.nulls(count, t) for i, t in enumerate(types)], names=names)
+
+        for batch in batches:
+            votes: dict[str, dict] = defaultdict(lambda: defaultdict(lambda: [0, 0, 0]))
+            hosts = batch.column(2).to_pylist()
+            both = [_compare(html, references or [], held, share, votes[host]) for host, html, references in zip(hosts, *(batch.column(i).to_pylist() for i in (3, 4)), strict=True)]
+            yield rows({0: batch.column(0).to_pylist(), 1: batch.column(1).to_pylist(), 2: hosts, 3: [t for t, _ in both], 4: [c for _, c in both]})
+            cast = [(host, *key, *counts) for host, seen in votes.items() for key, counts in seen.items()]
+            if cast:
+                yield rows(dict(zip((2, 5, 6, 7, 8, 9), map(list, zip(*cast, strict=True)), strict=True)))
+
+    return align
 
 
 def with_reference(pages: DataFrame) -> DataFrame:
-    """``page_id, url, html, host, references``: each page beside its host's reference pages.
+    """``page_id, url, host, html, references``: each page beside its host's reference pages.
 
     Of the pages with a text these are the one of the smallest id and those of the smallest and the largest hash.
     """
-    rows = pages.select(F.col("page_id").cast("bigint"), "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
+    rows = pages.select(F.col("page_id").cast("bigint"), "url", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     digest = F.md5("html")
     read = rows.where(F.col("html").rlike(r">\s*[^<\s]"))
     ends = read.select("host", F.col("page_id").isNull().alias("none"), "page_id", digest.alias("digest")).groupBy("host").agg(
         F.min(F.struct("none", "page_id", "digest"))["digest"].alias("first"), F.min("digest").alias("low"), F.max("digest").alias("high")
     )
-    wanted = ends.select("host", F.explode(F.array_distinct(F.array("first", "low", "high"))).alias("digest"))
-    wanted = small(cut(wanted), 10_000)
-    chosen = read.select("host", "html", digest.alias("digest")).join(wanted, ["host", "digest"], "left_semi")
-    chosen = chosen.select("host", "html").distinct().groupBy("host").agg(F.sort_array(F.collect_list("html")).alias("references"))
-    return rows.join(small(cut(chosen), 500), "host", "left")
+    wanted = cut(ends.select("host", F.explode(F.array_distinct(F.array("first", "low", "high"))).alias("digest")))
+    # A semi-join that keeps pages in place: up to three digests a host, broadcast if they are few bytes.
+    chosen = join_side(read.select("host", "html", digest.alias("digest")), wanted, ["host", "digest"], 128, how="left_semi")
+    chosen = cut(chosen.groupBy("host", "digest").agg(F.first("html").alias("html")).groupBy("host").agg(F.sort_array(F.collect_list("html")).alias("references")))
+    return join_side(rows, chosen, ["host"], F.aggregate("references", F.lit(0), lambda n, x: n + F.octet_length(x)), spread="html")
 
 
-def constants(paired: DataFrame, pages: int = TEMPLATE_PAGES, share: float = TEMPLATE_SHARE) -> DataFrame:
-    """``host, template``: per reference the numbers of nodes that say the same on nearly all pages.
+def template(counts: DataFrame, pages: int = TEMPLATE_PAGES, share: float = TEMPLATE_SHARE) -> DataFrame:
+    """``host, template``: the codes of reference nodes that make a block template.
 
     Nodes must be matched on ``pages`` pages, or on all pages there are beside the reference if those are fewer.
     """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parsed = _References()
-        for batch in batches:
-            seen: dict[tuple[str, int, int], list[int]] = defaultdict(lambda: [0, 0])
-            for host, html, references in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                root = parse(html)
-                nodes = flat(root)
-                for k, reference in enumerate(references):
-                    if html == reference:
-                        continue
-                    other, other_nodes = parsed(reference)
-                    pairs = _agreement(root, other_nodes, other)
-                    if _is_copy(nodes, pairs, share):
-                        continue
-                    seen[(host, k, -1)][0] += 1
-                    for number, _, same in pairs:
-                        entry = seen[(host, k, number)]
-                        entry[0] += 1
-                        entry[1] += same
-            if seen:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([k[0] for k in seen], pa.string()),
-                        pa.array([k[1] for k in seen], pa.int32()),
-                        pa.array([k[2] for k in seen], pa.int32()),
-                        pa.array([v[0] for v in seen.values()], pa.int64()),
-                        pa.array([v[1] for v in seen.values()], pa.int64()),
-                    ],
-                    names=["host", "reference", "number", "matched", "equal"],
-                )
-
-    found = paired.where("references IS NOT NULL").select("host", "html", "references")
-    found = found.mapInArrow(count, "host string, reference int, number int, matched bigint, equal bigint")
-    found = cut(found.groupBy("host", "reference", "number").agg(F.sum("matched").alias("matched"), F.sum("equal").alias("equal")))
+    found = counts.groupBy("host", "reference", "number").agg(*[F.sum(c).alias(c) for c in ("matched", "equal", "hinted")])
+    found = cut(found)
     voters = found.where("number = -1").select("host", "reference", F.col("matched").alias("voters"))
+    code = F.shiftleft(F.col("reference").cast("bigint"), 40).bitwiseOR(F.shiftleft(F.col("number").cast("bigint"), 1))
+    enough = F.least(F.lit(pages), "voters")
+    constant = F.when((F.col("matched") >= enough) & (F.col("equal") >= share * F.col("matched")), code)
+    hinted = F.when((F.col("hinted") >= enough) & (F.col("hinted") >= HINT_SHARE * F.col("voters")), code.bitwiseOR(F.lit(1).cast("bigint")))
     return (
         found.where("number >= 0")
         .join(voters, ["host", "reference"])
-        .where((F.col("matched") >= F.least(F.lit(pages), "voters")) & (F.col("equal") >= share * F.col("matched")))
+        .select("host", F.array_compact(F.array(constant, hinted)).alias("codes"))
         .groupBy("host")
-        .agg(F.collect_set(F.struct("reference", "number")).alias("template"))
+        .agg(F.flatten(F.collect_set("codes")).alias("template"))
     )
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """Per page ``page_id, url, text``: blocks joined by an empty line."""
+def extract(pages: DataFrame, share: float = TEMPLATE_SHARE) -> DataFrame:
+    """Per page ``page_id, url, text``: blocks joined by an empty line.  Pages are parsed and aligned once."""
     ensure_small_batches(pages.sparkSession)
-    paired = with_reference(pages)
-    template = small(cut(constants(paired)), 10_000)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parsed = _References()
-        for batch in batches:
-            texts = []
-            for html, references, numbers in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                root = parse(html)
-                nodes, constant = flat(root), set()
-                wanted = {(x["reference"], x["number"]) for x in numbers or ()}
-                for k in sorted({k for k, _ in wanted}):
-                    other, other_nodes = parsed(references[k])
-                    pairs = _agreement(root, other_nodes, other)
-                    constant |= {id(x) for number, x, same in pairs if same and (k, number) in wanted}
-                texts.append("\n\n".join(blocks(root, nodes, constant)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-    rows = paired.join(template, "host", "left").select("page_id", "url", "html", F.when(F.col("template").isNotNull(), F.col("references")), "template")
-    return rows.mapInArrow(read, "page_id bigint, url string, text string")
+    paired = with_reference(pages).select("page_id", "url", "host", "html", "references")
+    aligned = cut(paired.mapInArrow(_aligned(share), _ALIGNED))
+    constant = cut(template(aligned.where("reference IS NOT NULL").select("host", "reference", "number", "matched", "equal", "hinted"), share=share))
+    rows = aligned.where("reference IS NULL").select("page_id", "url", "host", "texts", "codes")
+    joined = join_side(rows, constant, ["host"], 8 * F.size("template"), spread="page_id")
+    held = F.coalesce("template", F.array(F.lit(_ALONE).cast("bigint")))
+    kept = F.filter(F.arrays_zip("texts", "codes"), lambda p: ~F.arrays_overlap(p["codes"], held))
+    return joined.select("page_id", "url", F.array_join(F.transform(kept, lambda p: p["texts"]), "\n\n").alias("text"))
 
 
 def op8_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -68,3 +68,47 @@ def test_two_pages_are_enough(spark):
     got = _extract(spark, [(i, f"http://t.com/{i}", PAGE(i)) for i in (1, 2)] + [(i, "http://c.com/", f"<p>All of this long story stands on both of the two pages</p><p>{i}</p>") for i in (5, 6)])
     assert got[1] == "Story 1 is told here at length\n\nWords 1 go on" and got[2] == "Story 2 is told here at length\n\nWords 2 go on"
     assert all("All of this long story" in got[i] for i in (5, 6))
+
+
+NAMED = ['section class="related-work"', 'div id="notice-of-motion"', 'div class="social-history"', 'section id="menu-design"', 'div class="comment-theory"']
+
+
+def test_names_do_not_decide_inside_an_article(spark):
+    """A name that only has a boilerplate word as a part, on one page of a host or on its only page."""
+    page = "<body><article><h1>Head {0}</h1><{1}><p>Kept text {0}</p></{2}><p>Last words {0}</p></article></body>".format
+    rows = [(k, f"http://e.com/{k}", page(k, tag, tag.split()[0])) for k, tag in enumerate(NAMED)]
+    rows += [(k + 10, f"http://e{k}.com/", page(k, tag, tag.split()[0])) for k, tag in enumerate(NAMED)]
+    rows += [(20, "http://f.com/", page(20, 'div data-x="a hidden id class=ad b" title="comments"', "div"))]
+    got = _extract(spark, rows)
+    assert all(f"Kept text {i % 10}" in t and f"Last words {i % 10}" in t for i, t in got.items() if i < 20) and "Kept text 20" in got[20]
+
+
+def test_hints_count_where_the_host_repeats_them(spark):
+    """Reader comments in an element of a hinting name, on each page of a host other ones, go by alignment alone."""
+    page = "<body><article><p>Story {0} goes here</p>{1}</article></body>".format
+    block = '<div class="comment-list"><p>Reader {0} says so</p></div>'.format
+    rows = [(i, f"http://h.com/{i}", page(i, block(i))) for i in range(9)] + [(20, "http://one.com/1", page(20, block(20)))]
+    got = _extract(spark, rows)
+    assert all(got[i] == f"Story {i} goes here" for i in range(9)) and "Reader 20" in got[20]
+
+
+def test_ablation_of_templates(spark, monkeypatch):
+    """Induced templates change what is extracted, from pages with and without an article element."""
+    body = "<p>Only {0} here</p><p>Also told by {0}</p><ul><li>Subscribe to our paper today</li></ul>".format
+    rows = [(i, f"http://a.com/{i}", f"<body><article>{body(i)}</article></body>") for i in range(7)]
+    rows += [(i, f"http://b.com/{i}", f"<body><div>{body(i)}</div></body>") for i in range(10, 17)]
+    got = _extract(spark, rows)
+    assert all(t == f"Only {i} here\n\nAlso told by {i}" for i, t in got.items())
+    plain = html.template
+    monkeypatch.setattr(html, "template", lambda counts, **how: plain(counts.limit(0), **how))
+    assert all("Subscribe" in t for t in _extract(spark, rows).values())
+
+
+def test_shapes_are_held_across_pages():
+    """Gains remembered from other pages give matches as large as fresh ones."""
+    dice, shapes = random.Random(9), html.Shapes()
+    for _ in range(150):
+        a, b = _tree(dice, 3), _tree(dice, 3)
+        a.tag = b.tag = "body"
+        pairs = shapes.pairs(a, shapes.of(html.flat(a)), b, shapes.of(html.flat(b)))
+        assert len(pairs) == _best(a, b)
