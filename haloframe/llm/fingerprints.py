@@ -1,11 +1,12 @@
 """Order MinHash fingerprints of texts; DataFrame functions only.
 
 k-mers are ``WORDS`` words long and numbered by their occurrence, so that each stands once.  A hash
-permutes them and deals them into ``BINS`` bins; each bin selects its ``TUPLE`` smallest, keeps them in
-the order of the text and hashes the tuple.  The fingerprint lists the bins' hashes.  Two texts'
-likeness is the share of equal bins, among those that either uses.
+puts all k-mers of a text in order on a circle; each of ``BINS`` places on it, evenly spaced, selects the first
+``TUPLE`` k-mers from there on, keeps them in the order of the text and hashes the tuple.  So every tuple is drawn
+from all k-mers, by an order of its own (the same one, turned), whatever the text's length.  The fingerprint lists
+the tuples' hashes.  Two texts' likeness is the share of equal ones.
 
-Nulls: a null text is empty.  A text without words has no bins; two such are alike (1.0), one such and
+Nulls: a null text is empty.  A text without words has no tuples; two such are alike (1.0), one such and
 another text are not (0.0).  Texts of any length are used whole.  A null id has no next document: its
 edited text has lost its last quarter and its likeness to the next is null.  Rows sharing an id have
 the same next document, which is the first text (in text order) of the next larger id.
@@ -32,7 +33,7 @@ def _let(value: Column, use) -> Column:
 
 
 def signature(text: Column, words: int = WORDS, size: int = TUPLE) -> Column:
-    """The array of bin hashes; the top bits of each hold its bin."""
+    """The array of tuple hashes; the top bits of each hold its place on the circle."""
     low = (1 << _POSITION_BITS) - 1
     kmer_hash = lambda x: F.shiftright(x, _POSITION_BITS)
     bin_of = lambda x: F.shiftright(x, _POSITION_BITS + _HASH_BITS - _BIN_BITS)
@@ -74,21 +75,24 @@ def signature(text: Column, words: int = WORDS, size: int = TUPLE) -> Column:
         return _let(F.filter(s, again), renumber)
 
     def tuples(s: Column) -> Column:
+        # The first of each bin are all that a place can select, its own bin or bins further on being empty.
         chosen = F.filter(s, lambda x, j: (j < size) | (bin_of(x) != bin_of(F.get(s, j - size))))
 
         def hashed(q: Column) -> Column:
-            starts = F.filter(q, lambda x, j: (j == 0) | (bin_of(x) != bin_of(F.get(q, j - 1))))
+            circle = F.concat(q, F.slice(q, 1, size - 1))
 
-            def one(x: Column) -> Column:
-                mates = F.filter(q, lambda y: bin_of(y) == bin_of(x))
+            def one(b: Column) -> Column:
+                start = F.size(F.filter(q, lambda x: bin_of(x) < b)) % F.size(q)
+                mates = F.slice(circle, start + 1, F.least(F.size(q), F.lit(size)))
                 in_text = F.sort_array(
                     F.transform(mates, lambda y: F.shiftleft(y.bitwiseAND(F.lit(low)), _HASH_BITS).bitwiseOR(kmer_hash(y)))
                 )
                 order = F.transform(in_text, lambda y: y.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
                 mask = F.lit((1 << (63 - _BIN_BITS)) - 1)
-                return F.shiftleft(bin_of(x), 63 - _BIN_BITS).bitwiseOR(F.xxhash64(order).bitwiseAND(mask))
+                return F.shiftleft(b, 63 - _BIN_BITS).bitwiseOR(F.xxhash64(order).bitwiseAND(mask))
 
-            return F.transform(starts, one)
+            places = F.sequence(F.lit(0).cast("bigint"), F.lit(BINS - 1).cast("bigint"))
+            return F.transform(F.when(F.size(q) > 0, places).otherwise(F.array().cast("array<bigint>")), one)
 
         return _let(chosen, hashed)
 
@@ -96,7 +100,7 @@ def signature(text: Column, words: int = WORDS, size: int = TUPLE) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of bins with equal hashes, among the bins that either signature uses."""
+    """Share of places with equal hashes, among the places that either signature has."""
     bins = lambda s: F.transform(s, lambda x: F.shiftright(x, 63 - _BIN_BITS))
     used = F.size(F.array_union(bins(a), bins(b)))
     return F.when(used == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(used, F.lit(1)))
