@@ -1,12 +1,13 @@
 """Best-fit packing of tokenised documents into fixed-length sequences.
 
 ``pieces`` tokenises (no shuffle), ``place`` packs by bounded-space online best-fit.  Only narrow
-rows (no ids, no text) are shuffled for packing; many packers work side by side, each over a hash
+rows (no ids, no text) are shuffled for packing, unless the ids are asked for; many packers work side by side, each over a hash
 share of the pieces, so no packer sees more than ``share`` pieces whatever the corpus size.
 
 Nulls: a null text is an empty one and makes one piece holding only the end id; a null ``doc_id`` is
 kept and packed like any other.  Repeated rows are packed once each.  An empty table gives no rows.
-Texts of any length are encoded whole.  Extra columns of the input are not carried along.
+Texts of any length are encoded whole; a special token's string in a text gets that token's id, as the plain
+tokenizer gives it.  Extra columns of the input are not carried along.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str, str] | N
         for batch in batches:
             rows, held = [], 0
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.concatenate([bpe.encode(text.as_py() or "", paths), end])
+                ids = np.concatenate([bpe.encode(text.as_py() or "", paths, special=True), end])
                 starts = cut_points(len(ids), capacity)
                 for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
                     rows.append((doc_id.as_py(), k, a, b - a, ids[a:b].tobytes()))
@@ -103,8 +104,8 @@ class OpenBins:
         return bin_id, self.capacity - free
 
 
-def place(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, share: int = SHARE) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to rows ``doc_id, piece, start, length, ids_crc32``."""
+def place(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, share: int = SHARE, with_ids: bool = False) -> DataFrame:
+    """Adds ``sequence_id`` and ``offset`` to rows ``doc_id, piece, start, length, ids_crc32``, and ``ids`` if asked for."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -117,20 +118,23 @@ def place(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
                 names=[*batch.schema.names, "sequence_id", "offset"],
             )
 
-    rows = cut(parts.select("doc_id", "piece", "start", "length", "ids_crc32"))
+    rows = cut(parts.select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids))
     packers = max(1, -(-rows.count() // share))
     order = F.xxhash64("doc_id", "piece", "ids_crc32")
-    return rows.repartition(packers, order).sortWithinPartitions(order).mapInArrow(packed, _PLACED)
+    schema = _PLACED.replace("sequence_id", "ids binary, sequence_id") if with_ids else _PLACED
+    return rows.repartition(packers, order).sortWithinPartitions(order).mapInArrow(packed, schema)
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
     return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """All documents packed; the ids leave the tokenising tasks only as their checksum."""
-    return place(pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+def packed(docs: DataFrame, with_ids: bool = False) -> DataFrame:
+    """All documents packed; the ids leave the tokenising tasks only as their checksum, or with ``with_ids`` themselves."""
+    parts = pieces(docs).withColumn("ids_crc32", F.crc32("ids"))
+    return place(parts if with_ids else parts.drop("ids"), with_ids=with_ids)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packed(docs)
+    """Every piece with its place and its ``ids`` (little-endian unsigned 32-bit), ready to be read sequence by sequence."""
+    return packed(docs, with_ids=True)
