@@ -37,10 +37,11 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id""",
     "op4_url_filter": r"""
 WITH RECURSIVE parts AS (
-  SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+  SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), hosts AS (
   SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '(\?[^#]*)', 1) AS query FROM parts
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) AS query,
+         regexp_extract(url, '^([^:]*)://', 1) AS scheme FROM parts
 ), rules(verdict, rule_host, rule_path) AS (
   VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
 ), best AS (
@@ -48,17 +49,34 @@ WITH RECURSIVE parts AS (
          arg_max(verdict, length(rule_host || rule_path)) AS verdict
   FROM hosts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
   GROUP BY ALL
-), edges AS (
-  SELECT DISTINCT host || path || query AS a,
-         regexp_replace(regexp_extract(html, '<link[^>]*rel="canonical"[^>]*href="([^"]*)"', 1), '^[a-z]*://|#.*$', '', 'g') AS b
-  FROM hosts WHERE html LIKE '%rel="canonical"%'
-), links AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+), tags AS (
+  SELECT host, path, query, scheme, regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0) AS canonical,
+         regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0) AS refresh
+  FROM hosts WHERE host <> '' AND (contains(lower(html), 'canonical') OR contains(lower(html), 'refresh'))
+), hrefs AS (
+  SELECT host, path, query, scheme, replace(regexp_extract(canonical, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), '&amp;', '&') AS link FROM tags
+  UNION ALL SELECT host, path, query, scheme, replace(regexp_extract(refresh, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1), '&amp;', '&') FROM tags
+), targets AS (
+  SELECT host || path || query AS a, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN scheme || ':' || link
+         WHEN starts_with(link, '/') THEN scheme || '://' || host || link WHEN starts_with(link, '?') THEN scheme || '://' || host || path || link
+         WHEN starts_with(link, '#') THEN scheme || '://' || host || path || query || link
+         ELSE scheme || '://' || host || CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*/)?') ELSE '/' END || link END AS link
+  FROM hrefs WHERE link <> ''
+), rests AS (SELECT a, substr(link, strpos(link, '://') + 3) AS rest FROM targets),
+edges AS (
+  SELECT DISTINCT a, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+         || regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) || regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) AS b
+  FROM rests WHERE regexp_extract(rest, '^[^/?#]*') <> ''
+), links AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
-tainted AS (SELECT DISTINCT reach.a AS node FROM reach JOIN hosts ON hosts.host || hosts.path || hosts.query = reach.b
-            JOIN best USING (page_id) WHERE best.verdict = 'block')
+nodes AS (SELECT DISTINCT a AS node, regexp_extract(a, '^[^/?#]*') AS host, regexp_extract(a, '^[^/?#]*([^?#]*)', 1) AS path FROM links),
+blocked AS (
+  SELECT node FROM nodes JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY node HAVING arg_max(verdict, length(rule_host || rule_path)) = 'block'
+), tainted AS (SELECT a AS node FROM reach WHERE b IN (SELECT node FROM blocked) UNION SELECT node FROM blocked)
 SELECT h.page_id, h.host, h.path, b.rule,
        coalesce(b.verdict, CASE WHEN h.host || h.path || h.query IN (SELECT node FROM tainted) THEN 'block' ELSE 'allow' END) AS verdict
-FROM hosts h LEFT JOIN best b USING (page_id)""",
+FROM hosts h LEFT JOIN (SELECT DISTINCT host, path, rule, verdict FROM best) b USING (host, path)""",
     "op10_jaccard_join": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -1,13 +1,17 @@
 """URL filtering by host and path rules, with decisions carried over redirects; DataFrame functions only.
 
-A page's own rule decides first: the longest rule whose host is the page's or a parent domain of it
-and whose path starts the page's path.  Pages without a rule take the method's verdict: pages and
+A page's own rule decides first: the longest rule (host and path together; of two as long, the one that sorts
+last) whose host is the page's or a parent domain of it and whose path starts the page's path.  Pages without a rule take the method's verdict: pages and
 link targets are nodes (host, path and query), redirect (``meta refresh``) and canonical links are
 edges, and a connected component that holds a blocked node blocks its members.  An explicit allow
 of a page's own rule always stays.  What is left is allowed.
 
+A relative link is resolved against the page's url as far as ``//``, ``/``, ``?`` and ``#`` at its start or its
+folder go; ``..`` is not followed.
+
 Nulls: a null url, or one without ``://``, has an empty host and path, fits no rule, is no node and is
-allowed; null html has no links.  Repeated rows are each judged.  An empty table gives no rows.
+allowed; null html has no links; a null id is kept.  Repeated rows are each judged.  Html of any length is read
+whole.  Extra columns are not carried along.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haloframe.llm.common import components, cut, small
+from haloframe.llm.common import components, cut, join_side
 
 #: (verdict, host, path)
 RULES = (
@@ -40,10 +44,13 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(_after_scheme(url), F.lit("")), r"^[^/?#]*([^?#]*)", 1)
 
 
+def query_of(url: Column) -> Column:
+    return F.regexp_extract(F.coalesce(_after_scheme(url), F.lit("")), r"^[^/?#]*[^?#]*(\?[^#]*)", 1)
+
+
 def node_of(url: Column) -> Column:
     """Host, path and query; null for what is no absolute url."""
-    query = F.regexp_extract(F.coalesce(_after_scheme(url), F.lit("")), r"^[^/?#]*[^?#]*(\?[^#]*)", 1)
-    return F.when(host_of(url) != "", F.concat(host_of(url), path_of(url), query))
+    return F.when(host_of(url) != "", F.concat(host_of(url), path_of(url), query_of(url)))
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
@@ -55,51 +62,55 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def _absolute(link: Column, url: Column) -> Column:
-    scheme = F.regexp_extract(url, r"^([^:]*)://", 1)
-    return (
-        F.when(link.contains("://"), link)
-        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), link))
-        .when(link != "", F.concat(scheme, F.lit("://"), host_of(url), F.regexp_extract(path_of(url), r"^(.*/)?", 0), link))
-    )
-
-
 def links_of(pages: DataFrame) -> DataFrame:
-    """Edges ``(a, b)`` between nodes: each page and the targets of its redirect and canonical links."""
+    """Edges ``(a, b)`` between nodes: each page and the targets of its redirect and canonical links.
+
+    Every step names its columns, so that no expression is worked out twice.
+    """
     canonical = F.regexp_extract("html", r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
     refresh = F.regexp_extract("html", r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
-    target = F.regexp_extract(canonical, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    moved = F.regexp_extract(refresh, r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)""", 1)
     likely = F.coalesce(F.lower("html").contains("canonical") | F.lower("html").contains("refresh"), F.lit(False))
-    unescape = lambda c: F.replace(c, F.lit("&amp;"), F.lit("&"))
-    return (
-        pages.where(likely)
-        .select("url", F.explode(F.array(target, moved)).alias("link"))
-        .select(node_of(F.col("url")).alias("a"), node_of(_absolute(unescape(F.col("link")), F.col("url"))).alias("b"))
-        .where("a IS NOT NULL AND b IS NOT NULL")
-        .distinct()
+    target = F.regexp_extract("canonical", r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
+    moved = F.regexp_extract("refresh", r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)""", 1)
+    url, link = F.col("url"), F.replace("link", F.lit("&amp;"), F.lit("&"))
+    tags = pages.where(likely).select("url", canonical.alias("canonical"), refresh.alias("refresh"))
+    links = tags.select("url", F.explode(F.array(target, moved)).alias("link")).where("link <> ''").select("url", link.alias("link"))
+    parts = links.select("link", F.regexp_extract("url", "^([^:]*)://", 1).alias("scheme"), host_of(url).alias("host"), path_of(url).alias("path"), query_of(url).alias("query"))
+    known = parts.where("host <> ''")
+    site = F.concat(F.col("scheme"), F.lit("://"), F.col("host"))
+    folder = F.when(F.col("path").contains("/"), F.regexp_extract("path", "^(.*/)?", 0)).otherwise("/")
+    start = lambda x: F.col("link").startswith(x)
+    absolute = (
+        F.when(F.col("link").contains("://"), F.col("link"))
+        .when(start("//"), F.concat("scheme", F.lit(":"), "link"))
+        .when(start("/"), F.concat(site, "link"))
+        .when(start("?"), F.concat(site, "path", "link"))
+        .when(start("#"), F.concat(site, "path", "query", "link"))
+        .otherwise(F.concat(site, folder, "link"))
     )
+    ends = known.select(F.concat("host", "path", "query").alias("a"), absolute.alias("link"))
+    return ends.select("a", node_of(F.col("link")).alias("b")).where("b IS NOT NULL").distinct()
 
 
 def judge(pages: DataFrame, edges: DataFrame, rules=RULES) -> DataFrame:
     """Per page ``page_id, host, path, rule, verdict``; ``edges`` as ``links_of`` makes them."""
+    url = F.col("url")
+    named = pages.select(F.col("page_id").cast("bigint"), host_of(url).alias("host"), path_of(url).alias("path"), query_of(url).alias("query"))
+    judged = named.withColumn("own", rule_of(F.col("host"), F.col("path"), rules))
+    found = ["page_id", "host", "path", F.col("own.rule").alias("rule")]
+    edges = cut(edges)
+    if edges.isEmpty():
+        return judged.select(*found, F.coalesce("own.verdict", F.lit("allow")).alias("verdict"))
     members = cut(components(edges))
-    own = rule_of(host_of(F.concat(F.lit("://"), F.col("node"))), path_of(F.concat(F.lit("://"), F.col("node"))), rules)
-    blocked = members.where(own["verdict"] == "block").select("component").distinct()
-    tainted = members.join(blocked, "component").select("node", F.lit(True).alias("tainted"))
-    judged = pages.select(
-        F.col("page_id").cast("bigint"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node")
-    ).withColumn("own", rule_of(F.col("host"), F.col("path"), rules))
-    return judged.join(small(tainted), "node", "left").select(
-        "page_id",
-        "host",
-        "path",
-        F.col("own.rule").alias("rule"),
-        F.coalesce("own.verdict", F.when(F.col("tainted"), "block").otherwise("allow")).alias("verdict"),
-    )
+    at = F.concat(F.lit("://"), F.col("node"))
+    placed = members.select("component", host_of(at).alias("host"), path_of(at).alias("path"))
+    blocked = placed.where(rule_of(F.col("host"), F.col("path"), rules)["verdict"] == "block").select("component").distinct()
+    tainted = cut(members.join(blocked, "component", "left_semi").select("node", F.lit(True).alias("tainted")))
+    node = F.when(F.col("host") != "", F.concat("host", "path", "query"))
+    joined = join_side(judged.withColumn("node", node), tainted, ["node"], F.octet_length("node"), spread="page_id")
+    return joined.select(*found, F.coalesce("own.verdict", F.when(F.col("tainted"), "block").otherwise("allow")).alias("verdict"))
 
 
 def op4_url_filter(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    return judge(pages, cut(links_of(pages)))
+    return judge(pages, links_of(pages))
