@@ -9,8 +9,9 @@ Template: ``[INST]text[/INST]`` for a user, ``text</s>`` for an assistant and
 character of a control string and doubles backslashes; it is undone by ``unescape``.
 
 Nulls: a null role or text is empty, a null turn comes first, a null ``conv_id`` is a conversation of
-its own.  Turns that tie are ordered by role, then text; repeated rows are repeated turns.  An empty
-table gives no rows.  Extra columns are ignored.
+its own.  Turns that tie are ordered by role, then text; repeated rows are repeated turns.  Texts of any
+length are encoded whole; a special token's string in one is ordinary text.  An empty table gives no rows.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ INST, END_INST, END, ROLE, END_ROLE = range(FIRST_RESERVED, FIRST_RESERVED + len
 
 _CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
 _SEGMENTS = "conv_id bigint, turn bigint, role string, text string, formatted string, ids binary, mask binary"
-_READ = "conv_id bigint, turn bigint, role string, text string, loss_text string, is_loss boolean, formatted_chars bigint"
+_READ = "conv_id bigint, turn bigint, role string, text string, loss_text string, formatted_chars bigint"
 _DIGEST = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
 
 
@@ -144,10 +145,9 @@ def read_back(formatted: DataFrame, paths: tuple[str, str] | None = None) -> Dat
                     pa.array(roles, pa.string()),
                     pa.array(texts, pa.string()),
                     pa.array(losses, pa.string()),
-                    pa.array([r == "assistant" for r in roles], pa.bool_()),
                     pa.array(chars, pa.int64()),
                 ],
-                names=["conv_id", "turn", "role", "text", "loss_text", "is_loss", "formatted_chars"],
+                names=["conv_id", "turn", "role", "text", "loss_text", "formatted_chars"],
             )
 
     return formatted.select("conv_id", "turn", "ids", "mask", "formatted").mapInArrow(read, _READ)
