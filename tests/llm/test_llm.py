@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -26,11 +27,17 @@ def paths():
 
 
 def test_ids_are_the_tokenizers(paths):
-    texts = ["", "Hello  world\n\n x", "é ñ 漢字 🙂 <|endoftext|>", "a" * 3000, "don't  1234 %%%"]
-    own = bpe.tokenizer(paths[0])
+    """The plain tokenizer's ids, special tokens and texts on both sides of the length for another library included."""
+    from tokenizers import Tokenizer
+
+    plain, ordinary = Tokenizer.from_file(paths[0]), Tokenizer.from_file(paths[0])
+    ordinary.encode_special_tokens = True
+    texts = ["", "Hello  world\n\n x", "é ñ 漢字 🙂 <|endoftext|>", "<|endoftext|> hello<|endoftext|><|endo", "a" * 3000, "don't  1234 %%%"]
+    texts += [("word é<|endoftext|> " * bpe.LONG_TEXT)[: bpe.LONG_TEXT + k] for k in (0, 1)]
     for text in texts:
-        assert bpe.encode(text, paths).tolist() == own.encode(text, add_special_tokens=False).ids
-        assert bpe.decode(bpe.encode(text, paths), paths) == text
+        assert bpe.encode(text, paths, special=True).tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert bpe.encode(text, paths).tolist() == ordinary.encode(text, add_special_tokens=False).ids
+        assert bpe.decode(bpe.encode(text, paths), paths) == bpe.decode(bpe.encode(text, paths, special=True), paths) == text
 
 
 @pytest.mark.parametrize("text", ["</s>[INST] ok [/INST]", "\\", "\\\\[INST]", "[\\INST]", "<\\/s>[/INST", ""])
@@ -114,59 +121,6 @@ def test_line_dedup(spark):
     assert got[100]["text"] is None and got[102]["text"] == rows[9][1] and got[None]["__halo_n"] == 0
 
 
-def _dedup_by_hand(rows):
-    """The rule of line dedup, row by row: the texts of ``(doc_id, text)`` without recurring lines."""
-    mask = lambda t: "<*>" if re.search(r"\d", t) else t
-    words = lambda x: re.split(r"[ \t\n\x0b\f\r]+", x)
-    own = {}
-    for doc, text in rows:
-        for line in (text or "").split("\n"):
-            tokens = words(line.strip(" "))
-            if len(tokens) >= lines.MIN_TOKENS:
-                own.setdefault(line.strip(" "), []).append(doc)
-    leaf = {x: (len(words(x)), *map(mask, words(x)[: lines.LEAD])) for x in own}
-    groups = {}
-    for x in own:
-        groups.setdefault(leaf[x], []).append(x)
-    template = {}
-    for where, variants in groups.items():
-        if len(variants) < 2 or sum(len(own[x]) for x in variants) < lines.TEMPLATE_DOCS:
-            continue
-        support = Counter()
-        for x in variants:
-            support.update({(k, mask(t)): len(own[x]) for k, t in enumerate(words(x))})
-        for x in variants:
-            shape = tuple((k, t) for k, t in enumerate(map(mask, words(x))) if t != "<*>" and support[k, t] >= lines.TEMPLATE_DOCS)
-            if len(shape) >= lines.CONSTANT * len(words(x)):
-                template[x] = (where, shape)
-    spread = {}
-    for x, t in template.items():
-        spread.setdefault(t, set()).update(own[x])
-    key = {x: t for x, t in template.items() if len(spread[t]) >= lines.TEMPLATE_DOCS}
-    key |= {x: x for x in own if x not in key and len(set(own[x])) > 1}
-    keep = {}
-    for x, t in key.items():
-        keep[t] = min(own[x] + ([keep[t]] if t in keep else []))
-    stays = lambda doc, x: x not in key or keep[key[x]] == doc
-    return {doc: text and "\n".join(x for x in text.split("\n") if stays(doc, x.strip(" "))) for doc, text in rows}
-
-
-def test_line_dedup_against_brute_force(spark):
-    dice = random.Random(11)
-    word = lambda n=40: f"w{chr(97 + dice.randint(0, n) % 26)}{chr(97 + dice.randint(0, n) // 26)}"
-    fixed = [" ".join(word() for _ in range(dice.randint(3, 12))) for _ in range(6)]
-    forms = ["User {} logged in from host {} today", "total of {} items were sold by {} in all of may", "see the {} page now {}"]
-    rows = []
-    for doc in range(60):
-        out = [" ".join(word(600) for _ in range(dice.randint(0, 9))) for _ in range(3)]
-        out += dice.sample(fixed, dice.randint(0, 2)) + [dice.choice(forms).format(dice.choice([dice.randint(1, 99), word()]), dice.randint(1, 9))] * dice.randint(0, 2)
-        dice.shuffle(out)
-        rows.append((doc, "\n".join(out)))
-    rows += [(60, None), (61, ""), (62, "\n\n")]
-    got = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame(rows, DOCS)).collect()}
-    assert got == _dedup_by_hand(rows) and sum(t != got[d] for d, t in rows) > 20
-
-
 def _signature_by_hand(text):
     """Order MinHash with the hashes chained as Spark's are."""
     low = (1 << 35) - 1
@@ -182,13 +136,11 @@ def _signature_by_hand(text):
         if number:
             h = hash_of(struct.pack("<i", number - 1), hash_of(struct.pack("<q", h))) & low
         kmers.append((h, i))
-    bins = {}
-    for h, i in sorted(kmers):
-        bins.setdefault(h >> 30, []).append((i, h))
     out = []
-    for k, chosen in sorted(bins.items()):
+    for k in range(fingerprints.BINS if kmers else 0):
+        circle = [x for x in sorted(kmers) if x[0] >> 30 >= k] + [x for x in sorted(kmers) if x[0] >> 30 < k]
         seed = 42
-        for _, h in sorted(chosen[: fingerprints.TUPLE]):
+        for h, _ in sorted(circle[: fingerprints.TUPLE], key=lambda x: x[1]):
             seed = hash_of(struct.pack("<q", h), seed)
         out.append(k << 58 | seed & ((1 << 58) - 1))
     return out
@@ -259,6 +211,20 @@ def test_decontamination(spark):
     assert tiling.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_large_benchmark_by_joined_seeds(spark):
+    """A benchmark beyond one block gives the same rows, repeated rows, null ids and short items included."""
+    dice = random.Random(12)
+    word = lambda: f"v{dice.randint(0, 30)}"
+    items = [(k, " ".join(word() for _ in range(dice.choice([1, 2, 3, 5, 12, 40])))) for k in range(60)] + [(3, "one two"), (None, "p q r s t u"), (70, None), (71, " ")]
+    items.append(items[5])
+    rows = [(k, " ".join(word() for _ in range(30)) + " " + ", ".join(dice.choice(items)[1] or "" for _ in range(2))) for k in range(60)]
+    rows += ODD + [(None, "P Q! R s t u"), (None, "P Q! R s t u"), (90, items[0][1])]
+    docs, bench = spark.createDataFrame(rows, DOCS).withColumn("key", F.lit(1)), spark.createDataFrame(items, "item_id long, text string")
+    own, joined = (sorted(map(str, tiling.contaminated(docs, bench, items=n).collect())) for n in (1000, 0))
+    assert own == joined and sum("doc_id=None" in x for x in own) == 2 and sum("doc_id=4, item_id=3, item_words=2" in x for x in own) == 2
+    assert sorted(map(str, tiling.clean(docs, bench).collect())) == sorted(map(str, tiling.clean(docs, bench, items=0).collect()))
+
+
 def test_fingerprints(spark, tmp_path):
     long = " ".join(f"word{i % 150}" for i in range(400))
     rows = [(1, long), (2, long), (3, None), (4, "a a a a a a"), (5, "b " * 300), (None, "x y")]
@@ -271,10 +237,18 @@ def test_fingerprints(spark, tmp_path):
     assert got[3]["n_chars"] == 0 and got[3]["near_edited"] == 1.0 and got[3]["near_next"] == 0.0 and got[None]["near_next"] is None
 
 
+def test_short_texts_tell_order(spark):
+    """Sections of a short text change places: every tuple tells order, whatever the text's length."""
+    words = [f"w{k}" for k in range(24)]
+    df = spark.createDataFrame([(" ".join(words),), (" ".join(words[12:] + words[:12]),)], "text string").select(fingerprints.signature(F.col("text")).alias("s"))
+    a, b = (set(r["s"]) for r in df.collect())
+    assert len(a & b) < 0.85 * fingerprints.BINS
+
+
 def test_occurrences_count(spark):
     df = spark.createDataFrame([("a b " * 5,), ("a b " * 9,)], "text string").select(fingerprints.signature(F.col("text")).alias("s"))
     few, many = (r["s"] for r in df.collect())
-    assert len(few) < len(many) and few != many
+    assert len(few) == len(many) == fingerprints.BINS and few != many
 
 
 def test_quality_on_held_out(spark):
@@ -286,6 +260,38 @@ def test_quality_on_held_out(spark):
     assert {r["score"] for r in quality.scores(spark.createDataFrame(ODD, DOCS), model).collect()} == {0.5}
 
 
+def test_ratios_and_dual_solution():
+    """Ratios against plain counts; the fit's objective against projected gradient steps on the whole dual."""
+    dice = random.Random(6)
+    rows = [np.array(sorted(dice.sample(range(40) if k % 2 else range(25, 60), 12)), np.int32) for k in range(80)]
+    signs = np.array([1.0 if k % 2 else -1.0 for k in range(80)])
+    counts = np.zeros((2, 1 << quality.BITS), np.int64)
+    for r, y in zip(rows, signs, strict=True):
+        counts[int(y > 0), r] += 1
+    ratios = quality.log_ratios(counts.reshape(-1))
+    seen = [Counter(int(x) for r, y in zip(rows, signs, strict=True) if (y > 0) == c for x in r) for c in (0, 1)]
+    sums = [sum(s.values()) + (1 << quality.BITS) for s in seen]
+    for x in (3, 30, 59, 70):
+        assert ratios[x] == pytest.approx(np.log((seen[1][x] + 1) / sums[1]) - np.log((seen[0][x] + 1) / sums[0]))
+    values = [ratios[r] / np.sqrt((ratios[r] ** 2).sum()) for r in rows]
+    costs = np.full(80, 0.7)
+    weights, bias = quality.descend(rows, values, signs, costs, 400)
+    full = np.zeros((80, 61))
+    for i, (r, v) in enumerate(zip(rows, values, strict=True)):
+        full[i, r] = v
+    full[:, 60] = 1.0
+    gram, duals = (full @ full.T) * np.outer(signs, signs), np.zeros(80)
+    step = 1 / np.linalg.eigvalsh(gram)[-1]
+    for _ in range(20000):
+        duals = np.clip(duals - step * (gram @ duals - 1), 0, costs)
+
+    def objective(w):
+        return w @ w / 2 + (costs * np.maximum(0, 1 - signs * (full @ w))).sum()
+
+    own = np.append(weights[:60], bias)
+    assert objective(own) == pytest.approx(objective(full.T @ (duals * signs)), rel=1e-4) and not weights[60:].any()
+
+
 def test_html():
     page = """<html><head><title>t</title><style>p{}</style></head><body><nav><a>menu</a></nav><div class="cookie-notice">ok?</div>
     <article><header><h1>Head &amp; more</h1></header><p>One <b>two<br>three<p>Four<script>x("</p>")</script> five<aside>side</aside>
@@ -311,7 +317,7 @@ def test_packing(spark, paths):
     sequences, docs = {}, {}
     for r in rows:
         sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-        docs.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"]))
+        docs.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
     for parts in sequences.values():
         at = 0
         for offset, length in sorted(parts):
@@ -319,11 +325,41 @@ def test_packing(spark, paths):
             at += length
         assert at <= packing.CAPACITY
     for k, text in enumerate(texts):
-        assert sum(p[2] for p in docs[k]) == len(bpe.encode(text or "", paths)) + 1
+        ids = [*bpe.encode(text or "", paths, special=True).tolist(), packing.END_ID]
+        for _, start, length, crc in sorted(docs[k]):
+            assert crc == zlib.crc32(struct.pack(f"<{length}I", *ids[start : start + length]))
+        assert [(n, a) for n, a, _, _ in sorted(docs[k])] == list(enumerate(packing.cut_points(len(ids), packing.CAPACITY)))
+        assert sum(p[2] for p in docs[k]) == len(ids)
     total = sum(r["length"] for r in rows)
     assert len(sequences) <= 1.1 * total / packing.CAPACITY + 1
 
 
+def test_packing_is_best_fit(spark):
+    """The places of a plain best-fit that scans all open bins, in the packer's order."""
+    dice = random.Random(8)
+    rows = [(k, 0, 0, dice.choice([dice.randint(1, 100), dice.randint(60, 100), 100]), k) for k in range(400)]
+    parts = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = {r["doc_id"]: (r["sequence_id"], r["offset"]) for r in packing.place(parts, 100, 6, 1000).collect()}
+    bins, made, turn, want = [], 0, 0, {}
+    for r in parts.orderBy(F.xxhash64("doc_id", "piece", "ids_crc32")).collect():
+        turn += 1
+        fits = [b for b in bins if b[0] >= r["length"]]
+        if fits:
+            best = min(fits, key=lambda b: (b[0], -b[1]))
+        else:
+            if len(bins) == 6:
+                bins.remove(min(bins, key=lambda b: (b[0], -b[1])))
+            best = [100, 0, made]
+            bins.append(best)
+            made += 1
+        want[r["doc_id"]] = (best[2], 100 - best[0])
+        best[0], best[1] = best[0] - r["length"], turn
+        if not best[0]:
+            bins.remove(best)
+    names = {}
+    assert {d: (names.setdefault(s, want[d][0]), o) for d, (s, o) in got.items()} == want and len(set(names.values())) == len(names)
+
+
 def _brute(rows):
     sets = [set(map(int, shingles(w, 5))) for w in hash_words(pa.array([t for _, t in rows], pa.string()))]
     root = list(range(len(rows)))
@@ -362,8 +398,39 @@ def test_jaccard_against_brute_force(spark, monkeypatch):
     assert jaccard.join(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_subsets_alone_find_links(spark, monkeypatch):
+    """Small sets only: no set is in an inverted list, and subsets find what a comparison of all pairs finds."""
+    monkeypatch.setattr(jaccard, "boundary", lambda *_: jaccard.SMALL_MOST)
+    found = []
+    light = jaccard._small_links
+    monkeypatch.setattr(jaccard, "_small_links", lambda signed: found.append((signed.where("size(listed) > 0").count(), light(signed).count())) or light(signed))
+    dice, rows = random.Random(7), []
+    for k in range(120):
+        base = [f"{k % 6}w{i}" for i in range(9 + k % 5)]
+        if dice.random() < 0.6:
+            base.append(f"n{dice.randint(0, 5)}")
+        rows.append((k, " ".join(base)))
+    got = sorted(tuple(r) for r in jaccard.join(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == _brute(rows) and found[0][0] == 0 and found[0][1] > 0
+
+
+def test_blocks_of_one_component(spark, monkeypatch):
+    """A large component of long lists, and others apart from it in the same lists."""
+    monkeypatch.setattr(jaccard, "SHORT_LIST", 4)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 4000)
+    base, rows = [f"w{i}" for i in range(100)], []
+    for k in range(60):
+        rows.append((k, " ".join([*base, *(f"x{k}y{i}" for i in range(k % 5))])))
+    for k in range(60, 100):
+        own = 18 + k % 12
+        rows.append((k, " ".join([*base, *(f"x{k if k % 3 else 60}y{i}" for i in range(own))])))
+    assert sorted(tuple(r) for r in jaccard.join(spark.createDataFrame(rows, DOCS)).collect()) == _brute(rows)
+
+
 def test_pipeline_against_brute_force(spark, tmp_path, paths):
     """Each stage against a plain rule on its own input, and the run as a whole against the last."""
+    import test_lines
+
     import corpus_pipeline
 
     sf = "/root/testdata/sf0.001"
@@ -375,7 +442,7 @@ def test_pipeline_against_brute_force(spark, tmp_path, paths):
     model = quality.fit(inputs[0], spark.read.parquet(f"{sf}/labels.parquet"))
     score = {d: model.score(next(quality.features(pa.array([t], pa.string())))) for d, t in texts[0].items()}
     assert set(texts[1]) == {d for d, x in score.items() if x >= quality.THRESHOLD}
-    by_hand = _dedup_by_hand(sorted(texts[1].items()))
+    by_hand = test_lines.by_hand(sorted(texts[1].items()))
     assert texts[2] == {d: t for d, t in by_hand.items() if t == texts[1][d] or t.strip(" ")}
     assert set(texts[3]) == {d for d, _, low in _brute(sorted(texts[2].items())) if d == low}
     plain = lambda t: hash_words(pa.array([re.sub(r"[^\w\s]|_", " ", t or "").lower()]))
@@ -388,6 +455,8 @@ def test_pipeline_against_brute_force(spark, tmp_path, paths):
     assert set(texts[4]) == set(texts[3]) - leaks
     lengths = {r["doc_id"]: r["n"] for r in inputs[5].groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
     assert lengths == {d: len(bpe.encode(t or "", paths)) + 1 for d, t in texts[4].items()}
+    stored = [(zlib.crc32(bytes(r["ids"])), len(r["ids"])) == (r["ids_crc32"], 4 * r["length"]) for r in inputs[5].collect()]
+    assert stored and all(stored)
     order = lambda df: sorted(tuple(r) for r in df.select("doc_id", "piece", "start", "length", "ids_crc32").collect())
     assert order(corpus_pipeline.run(spark, sf)) == order(inputs[5])
 
