@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from haloframe.plans.session import shared_folder
+
 
 def decide(rows: DataFrame, cost: float) -> DataFrame:
     """``run, iteration`` of the decisions over a stream of ``run, iteration, u``.
@@ -35,8 +36,7 @@ def decide(rows: DataFrame, cost: float) -> DataFrame:
 def replay(rows: DataFrame, cost: float) -> DataFrame:
     """``rows`` written to the shared folder, streamed from there through ``decide``, and the decisions read again."""
     spark = rows.sparkSession
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{named or tempfile.mkdtemp(prefix='haloframe-')}/live-{uuid4()}"
+    folder = f"{shared_folder(spark)}/live-{uuid4()}"
     own = rows.select("run", "iteration", "u")
     own.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(own.schema).parquet(f"{folder}/in")
