@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from haloframe.llm import jaccard, lines, packing, quality, tiling
@@ -21,12 +22,25 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, each written as Parquet in the shared folder and read again."""
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The stages in order, each written as Parquet in the shared folder and read again.
+
+    Given the ``folder`` of a run that broke off, it goes on behind the last stage that was finished there.  Folders are
+    left for whoever named them, or the checkpoint folder, to clear.
+    """
     ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid4()}"
+    folder = folder or f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid4()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        if not _finished(spark, f"{folder}/{name}-finished"):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{name}")
+            spark.range(1).write.mode("overwrite").parquet(f"{folder}/{name}-finished")
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs
+
+
+def _finished(spark: SparkSession, mark: str) -> bool:
+    try:
+        return not spark.read.parquet(mark).isEmpty()
+    except AnalysisException:  # there is no such path
+        return False
