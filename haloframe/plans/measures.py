@@ -454,3 +454,18 @@ def metric_series(spark, d):
         F.when(last, F.sum("max_it").over(frame)).alias("flbperf"), F.when(last, F.sum("sum_it").over(frame)).alias("fseqtime"),
     )
     return rounded(wide, ["iteration"], _TWELVE).unpivot("iteration", _TWELVE, "metric", "value").where("value IS NOT NULL")
+
+
+@query(f"WITH {T}, w AS (SELECT iteration, max_it, sum_it / 8.0::DOUBLE AS avg_it, max_it - sum_it / 8.0::DOUBLE AS imbalance_time FROM s) {sql_rounded('iteration', 'max_it avg_it imbalance_time', 'w', 6)}")
+def iter_stats_ranks(spark, d):
+    """Eight ranks, four of them without any work: the mean is over all of them."""
+    return rounded(metrics.iteration_stats(traces.from_events(spark, d), ranks=8), ["iteration"], ["max_it", "avg_it", "imbalance_time"], 6)
+
+
+@query(f"WITH {T} SELECT 'time' AS metric, iteration, printf('%.3f', max_it) AS line FROM s UNION ALL SELECT 'interactions', iteration, printf('%.3f', count(*)::DOUBLE) FROM e GROUP BY iteration")
+def series_text(spark, d):
+    """The lines of two series' text files."""
+    own = stats(spark, d).select(F.lit("time").alias("metric"), "iteration", F.col("max_it").alias("value"))
+    bucket = F.expr(f"timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts) div {traces.BUCKET_SECONDS}").alias("iteration")
+    seen = spark.read.parquet(f"{d}/events.parquet").groupBy(bucket).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return sinks.series_lines(own.unionByName(seen.select(F.lit("interactions").alias("metric"), "iteration", "value")), 3)

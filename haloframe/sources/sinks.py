@@ -25,6 +25,11 @@ def frame_lines(particles: DataFrame, frame: str = "frame", part: str = "part",
     return header.unionByName(rows)
 
 
+def series_lines(metrics: DataFrame, precision: int = 6) -> DataFrame:
+    """``metric, iteration, line`` of ``iteration, metric, value``: the text of each value."""
+    return metrics.select("metric", "iteration", formatted([F.col("value")], precision=precision).alias("line"))
+
+
 def write_series(metrics: DataFrame, path: str) -> None:
     """A folder of text files for each metric of ``iteration, metric, value``, a value a line, in order of iteration."""
     ranged = metrics.repartitionByRange("metric", "iteration").sortWithinPartitions("metric", "iteration")
