@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents into fixed-length sequences.
 
 ``pieces`` tokenises (no shuffle), ``place`` packs by bounded-space online best-fit.  Only narrow
-rows (no ids, no text) are shuffled for packing, unless the ids are asked for; many packers work side by side, each over a hash
+rows (no ids, no text) are shuffled for packing; many packers work side by side, each over a hash
 share of the pieces, so no packer sees more than ``share`` pieces whatever the corpus size.
 
 Nulls: a null text is an empty one and makes one piece holding only the end id; a null ``doc_id`` is
@@ -104,8 +104,8 @@ class OpenBins:
         return bin_id, self.capacity - free
 
 
-def place(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, share: int = SHARE, with_ids: bool = False) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to rows ``doc_id, piece, start, length, ids_crc32``, and ``ids`` if asked for."""
+def place(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, share: int = SHARE, numbered: bool = False) -> DataFrame:
+    """Adds ``sequence_id`` and ``offset`` to rows ``doc_id, piece, start, length, ids_crc32``, and ``row`` if they are ``numbered``."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -118,10 +118,10 @@ def place(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
                 names=[*batch.schema.names, "sequence_id", "offset"],
             )
 
-    rows = cut(parts.select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids))
+    rows = cut(parts.select("doc_id", "piece", "start", "length", "ids_crc32", *["row"] * numbered))
     packers = max(1, -(-rows.count() // share))
     order = F.xxhash64("doc_id", "piece", "ids_crc32")
-    schema = _PLACED.replace("sequence_id", "ids binary, sequence_id") if with_ids else _PLACED
+    schema = _PLACED.replace("sequence_id", "row bigint, sequence_id") if numbered else _PLACED
     return rows.repartition(packers, order).sortWithinPartitions(order).mapInArrow(packed, schema)
 
 
@@ -129,12 +129,16 @@ def op9_packing(spark, sf_dir: str) -> DataFrame:
     return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def packed(docs: DataFrame, with_ids: bool = False) -> DataFrame:
-    """All documents packed; the ids leave the tokenising tasks only as their checksum, or with ``with_ids`` themselves."""
-    parts = pieces(docs).withColumn("ids_crc32", F.crc32("ids"))
-    return place(parts if with_ids else parts.drop("ids"), with_ids=with_ids)
+def packed(docs: DataFrame) -> DataFrame:
+    """All documents packed; the ids leave the tokenising tasks only as their checksum."""
+    return place(pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece with its place and its ``ids`` (little-endian unsigned 32-bit), ready to be read sequence by sequence."""
-    return packed(docs, with_ids=True)
+    """Every piece with its place and its ``ids`` (little-endian unsigned 32-bit), ready to be read sequence by sequence.
+
+    Pieces are numbered and packed without their ids, which then join their places by number.
+    """
+    parts = cut(pieces(docs).withColumn("ids_crc32", F.crc32("ids")).withColumn("row", F.monotonically_increasing_id()))
+    placed = place(parts.drop("ids"), numbered=True)
+    return placed.join(parts.select("row", "ids"), "row").drop("row")
