@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from haloframe.llm import chat, fingerprints, html, jaccard, lines, packing, quality, sharding, tiling, urls
+from haloframe.llm import chat, fingerprints, html, jaccard, lines, packing, quality, ranking, runs, sharding, tiling, urls
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_html_extraction": html.op8_html_extraction,
     "op9_packing": packing.op9_packing,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "op11_ranked_search": ranking.op11_ranked_search,
+    "op13_periodic_runs": runs.op13_periodic_runs,
 }
 
 _ESCAPED = r"replace({0}, '\', '\\')"
@@ -93,4 +95,22 @@ reach(x, y) AS (SELECT node, node FROM nodes UNION SELECT reach.x, links.y FROM
 low AS (SELECT x AS node, min(y) AS component_id FROM reach GROUP BY x)
 SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, CASE WHEN len(sets.s) = 0 THEN doc_id ELSE component_id END AS component_id
 FROM sets LEFT JOIN nodes ON list_sort(sets.s) = nodes.s LEFT JOIN low USING (node)""",
+    "op11_ranked_search": r"""
+WITH found AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), docs AS (SELECT doc_id, row, len(terms)::BIGINT AS n, terms FROM found WHERE len(terms) > 0),
+whole AS (SELECT count(*)::BIGINT AS N_, sum(n)::BIGINT AS L_ FROM docs),
+words AS (SELECT doc_id, row, n, unnest(terms) AS term FROM docs),
+counts AS (SELECT doc_id, row, n, term, count(*)::BIGINT AS tf FROM words GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(N_) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counts, whole GROUP BY term),
+added AS (
+  SELECT doc_id, row, c.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * N_) // L_))) AS a
+  FROM counts c JOIN weights USING (term) CROSS JOIN whole
+), items AS (
+  SELECT item_id, row_number() OVER () AS item, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), scores AS (SELECT item_id, item, doc_id, row, sum(a)::BIGINT AS score FROM items JOIN added USING (term) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10""",
 }
