@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from haloframe.llm import chat, fingerprints, html, jaccard, lines, packing, quality, ranking, runs, sharding, tiling, urls
+from haloframe.llm import chat, fingerprints, html, jaccard, lines, packing, private, quality, ranking, runs, sharding, tiling, urls
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
     "op11_ranked_search": ranking.op11_ranked_search,
+    "op12_private_data": private.op12_private_data,
     "op13_periodic_runs": runs.op13_periodic_runs,
 }
 

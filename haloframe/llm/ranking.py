@@ -188,7 +188,7 @@ class Best:
         return int(self.scores[-1]) if len(self.scores) == self.top else 0
 
 
-def best_of_tasks(counted: DataFrame, queries: list[Query], corpus: Corpus, top: int = TOP) -> DataFrame:
+def best_of_tasks(counted: DataFrame, queries: list[Query], corpus: Corpus, top: int = TOP, lot_postings: int = LOT) -> DataFrame:
     """``(query, item_id, doc_id, score)``: the best ``top`` documents of each query in each task."""
     shared = counted.sparkSession.sparkContext.broadcast((queries, corpus))
 
@@ -199,7 +199,7 @@ def best_of_tasks(counted: DataFrame, queries: list[Query], corpus: Corpus, top:
                 part = batch.slice(at, 256)
                 held.append(part)
                 postings_held += part.column(2).value_lengths().to_numpy().sum()
-                if postings_held >= LOT:
+                if postings_held >= lot_postings:
                     yield pa.Table.from_batches(held)
                     held, postings_held = [], 0
         if held:
@@ -238,20 +238,20 @@ def ranked(hits: DataFrame, top: int = TOP) -> DataFrame:
     return some.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= top).select("item_id", "rank", "doc_id", "score")
 
 
-def search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, top: int = TOP, block_bytes: int = BLOCK_BYTES, lot_postings: int = LOT) -> DataFrame:
     """``(item_id, rank, doc_id, score)``: for each row of ``items`` the best documents, of all rows of ``docs``."""
     spark = docs.sparkSession
     ensure_small_batches(spark)
     items = items.select(F.col("item_id").cast("bigint"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, found = -(-size // BLOCK_BYTES), spark.createDataFrame([], "item_id bigint, rank int, doc_id bigint, score bigint")
+    blocks, found = -(-size // block_bytes), spark.createDataFrame([], "item_id bigint, rank int, doc_id bigint, score bigint")
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         known, queries = query_block([tuple(r) for r in rows])
         counted = cut(postings(docs, known))
         corpus = statistics(counted, len(known))
         if corpus.documents:
-            found = found.unionByName(ranked(best_of_tasks(counted, queries, corpus, top), top))
+            found = found.unionByName(ranked(best_of_tasks(counted, queries, corpus, top, lot_postings), top))
     return found
 
 
