@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from haloframe.operators.halos import near_boxes
 from haloframe.plans.session import cut
 from haloframe.sources.particles import POSITION
 
@@ -81,7 +82,7 @@ def domains(parted: DataFrame) -> DataFrame:
 
 
 def ghosts(parted: DataFrame, rc: float) -> DataFrame:
-    """``gid, part, to``: particles within ``rc`` of another part's box; boxes are one row a part."""
+    """``gid, part, to``: particles within ``rc`` of another part's box, by an index of the boxes."""
     boxes = domains(parted).withColumnRenamed("part", "to")
-    near = [(F.col(d) + rc >= F.col(f"{d}lo")) & (F.col(d) - rc <= F.col(f"{d}hi")) for d in POSITION]
-    return parted.join(F.broadcast(boxes), near[0] & near[1] & near[2] & (F.col("part") != F.col("to"))).select("gid", "part", "to")
+    near = near_boxes(parted.select("gid", "part", *POSITION), boxes, rc)
+    return near.where(F.col("part") != F.col("to")).select("gid", "part", "to")

@@ -91,13 +91,14 @@ def neighbour_pairs(receivers: DataFrame, sources: DataFrame, dims=POSITION) ->
     return around.join(there, keys).where("gid <> gid_s")
 
 
-def force_sums(receivers: DataFrame, sources: DataFrame, eps: float, sig: float, dims=POSITION, unary: dict[str, Column] | None = None) -> DataFrame:
+def force_sums(receivers: DataFrame, sources: DataFrame, eps: float, sig: float, dims=POSITION, unary: dict[str, Column] | None = None, pairs_of=neighbour_pairs) -> DataFrame:
     """Per receiver ``gid`` the summed force ``f<dim>``, on top of the ``unary`` one, and its interactions, itself counted.
 
     Only ids, positions and cells are copied to the neighbour cells.  Every receiver adds a row of its own to the
-    sums, so those without neighbours stay without a second join.
+    sums, so those without neighbours stay without a second join.  ``pairs_of`` is the join (``stencil.split_pairs`` where
+    a few cells hold much of all rows).
     """
-    pairs = neighbour_pairs(receivers.select("gid", *dims, *[f"c{d}" for d in dims]), sources, dims)
+    pairs = pairs_of(receivers.select("gid", *dims, *[f"c{d}" for d in dims]), sources, dims)
     r2 = reduce(lambda a, b: a + b, [(F.col(d) - F.col(f"{d}_s")) * (F.col(d) - F.col(f"{d}_s")) for d in dims])
     weighed = pairs.withColumn("k", lj_coefficient(r2, eps, sig))
     one = F.lit(1).cast("bigint").alias("interactions")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haloframe.functions import vectors as V
-from haloframe.operators import metrics, partitions, physics, search, spatial
+from haloframe.operators import metrics, partitions, physics, search, spatial, stencil
 from haloframe.sources import particles as sources
 from haloframe.sources import traces
 from haloframe.sources.particles import POSITION
@@ -138,9 +138,7 @@ for _dims in ("xy", "xyz"):
 
     @query(f"WITH {P} SELECT count(*) AS pairs, count(*) + (SELECT count(*) FROM p) AS interactions FROM c a JOIN c b ON {_near(_dims)}", f"pair_count_{len(_dims)}d")
     def _pair_count(spark, d, dims=tuple(_dims)):
-        own = celled(spark, d)
-        pairs = spatial.neighbour_pairs(own, own, dims).agg(F.count(F.lit(1)).alias("pairs"))
-        return pairs.crossJoin(own.agg(F.count(F.lit(1)).alias("n"))).select("pairs", (F.col("pairs") + F.col("n")).alias("interactions"))
+        return stencil.pair_count(celled(spark, d), dims)
 
     @query(
         f"WITH {P}, {_forces(_dims, 1.0, f'c a JOIN c b ON {_near(_dims)}')} SELECT gid, "
@@ -312,9 +310,8 @@ def neighbor_ranks(spark, d):
 
 @query(f"WITH {_GRID}, n AS (SELECT a.gid, count(b.gid) AS k FROM c a LEFT JOIN c b ON {_near('xyz')} GROUP BY a.gid) SELECT part, (count(*) + sum(k))::BIGINT AS interactions FROM a JOIN n USING (gid) GROUP BY part")
 def part_interactions(spark, d):
-    own = celled(spark, d)
-    forced = spatial.force_sums(own, own, 1.0, SIG).select("gid", "interactions")
-    return _parted(spark, d).join(forced, "gid").groupBy("part").agg(F.sum("interactions").alias("interactions"))
+    own = celled(spark, d).withColumn("part", partitions.by_grid(RC, PARTS))
+    return stencil.part_interactions(own).select("part", "interactions")
 
 
 @query(f"WITH {_GRID}, n AS (SELECT part, count(*) AS k FROM a GROUP BY part) SELECT round(sum(k) / 4.0 / max(k), 6) + 0.0 AS efficiency FROM n")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from haloframe.functions import vectors as V
-from haloframe.operators import metrics, partitions, physics, spatial
+from haloframe.operators import metrics, partitions, physics, spatial, stencil
 from haloframe.plans import catalogue as C
 from haloframe.plans.catalogue import COST, DT, FRAME, PARTS, RC, SIG, P, T, celled, particles, r, rounded, sql_rounded, stats
 from haloframe.sources import particles as sources
@@ -258,8 +258,7 @@ c AS (SELECT *, floor(x / 0.03125::DOUBLE)::BIGINT AS cx, floor(y / 0.03125::DOU
 
 @query(f"WITH {_PO}, o(u) AS (VALUES (-1), (0), (1)), a AS (SELECT gid, cx + i.u AS cx, cy + j.u AS cy, cz + k.u AS cz FROM c, o i, o j, o k) SELECT count(*) AS pairs FROM a JOIN c USING (cx, cy, cz) WHERE a.gid <> c.gid")
 def orders_pair_count(spark, d):
-    own = spatial.with_cells(sources.from_orders(spark, d), 0.03125).select("gid", *POSITION, "cx", "cy", "cz")
-    return spatial.neighbour_pairs(own, own).agg(F.count(F.lit(1)).alias("pairs"))
+    return stencil.pair_count(spatial.with_cells(sources.from_orders(spark, d), 0.03125)).select("pairs")
 
 
 # Row numbers, parts
