@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from haloframe.plans.session import cut
 from haloframe.sources.particles import POSITION
 
-#: A cell is crowded if it gets more than one in so many of the copies that the join makes.
+#: A cell is crowded if it makes more than one in so many of all pairs.
 SHARE = 500
 
 
@@ -63,10 +63,10 @@ def pair_count(celled: DataFrame, dims=POSITION) -> DataFrame:
 
 
 def crowded(receivers: DataFrame, sources: DataFrame, dims=POSITION, share: int = SHARE) -> DataFrame:
-    """``c<dim>, salts``: the cells that are to be split, and into how many.
+    """``c<dim>, side``: the cells that are to be split, and into how many rows and columns.
 
-    The copies of receivers and the sources of a cell are counted by the stencil.  All cells together get at most ``3**N + 1``
-    times the rows, so fewer than ``(3**N + 1) * share`` of them hold more than one in ``share`` rows, however many rows there are.
+    The copies of receivers and the sources of a cell are counted by the stencil; their product is the cell's pairs.  Fewer than
+    ``share`` cells make more than one in ``share`` of all pairs, however many rows there are.
     """
     cells = [f"c{d}" for d in dims]
     met = histogram(receivers, dims).select(*cells, F.col("n").alias("receivers"), F.lit(0).cast("bigint").alias("sources"))
@@ -75,24 +75,26 @@ def crowded(receivers: DataFrame, sources: DataFrame, dims=POSITION, share: int
         spread = both.select("*", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("shift"))
         spread = spread.select(*[(F.col(k) + F.col("shift")).alias(k) if k == c else k for k in cells], "receivers", F.when(F.col("shift") == 0, F.col("sources")).otherwise(0).alias("sources"))
         both = spread.groupBy(*cells).agg(F.sum("receivers").alias("receivers"), F.sum("sources").alias("sources"))
-    load = cut(both.where("sources > 0").select(*cells, (F.col("receivers") + F.col("sources")).alias("load")))
-    rows = load.agg(F.coalesce(F.sum("load"), F.lit(0))).first()[0]
-    return load.where(F.col("load") * share > rows).select(*cells, F.ceil(F.col("load") * share / F.lit(float(max(1, rows)))).cast("int").alias("salts"))
+    work = cut(both.where("sources > 0").select(*cells, (F.col("receivers").cast("double") * F.col("sources")).alias("work")))
+    pairs = max(1.0, work.agg(F.sum("work")).first()[0] or 0.0)
+    return work.where(F.col("work") * share > pairs).select(*cells, F.ceil(F.sqrt(F.col("work") * share / F.lit(pairs))).cast("int").alias("side"))
 
 
 def split_pairs(receivers: DataFrame, sources: DataFrame, dims=POSITION, share: int = SHARE) -> DataFrame:
-    """The pairs of ``spatial.neighbour_pairs``, and ``salt``, with the rows of crowded cells dealt out.
+    """The pairs of ``spatial.neighbour_pairs`` with the rows of crowded cells dealt out.
 
-    A crowded cell's receivers go to salts by a hash of their id, and only its sources are copied to each of them, so no join
-    key has many more receivers than one in ``share`` of all copies.
+    A crowded cell becomes a square of ``side`` by ``side`` keys: its receivers are dealt to the rows and its sources to the columns by
+    hashes of their ids, and each is copied along its row or column there only.  So a pair meets once, and no key makes many more pairs
+    than one in ``share`` of all.
     """
     cells = [f"c{d}" for d in dims]
     hot = F.broadcast(crowded(receivers, sources, dims, share))
     near = receivers
     for c in cells:
         near = near.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
-    salts = F.coalesce("salts", F.lit(1))
-    near = near.join(hot, cells, "left").withColumn("salt", F.pmod(F.xxhash64("gid"), salts).cast("int")).drop("salts")
-    there = sources.select("gid", *dims, *cells).withColumnsRenamed({c: f"{c}_s" for c in ("gid", *dims)})
-    there = there.join(hot, cells, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-    return near.join(there, [*cells, "salt"]).where("gid <> gid_s")
+    side = F.coalesce("side", F.lit(1))
+    dealt, copied = F.pmod(F.xxhash64("gid"), side).cast("int"), F.explode(F.sequence(F.lit(0), side - 1))
+    near = near.join(hot, cells, "left").withColumn("salt", dealt).withColumn("salt_s", copied).drop("side")
+    there = sources.select("gid", *dims, *cells).join(hot, cells, "left").withColumn("salt_s", dealt).withColumn("salt", copied).drop("side")
+    there = there.withColumnsRenamed({c: f"{c}_s" for c in ("gid", *dims)})
+    return near.join(there, [*cells, "salt", "salt_s"]).drop("salt", "salt_s").where("gid <> gid_s")
