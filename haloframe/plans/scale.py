@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from haloframe.operators import metrics, partitions, resets, spatial, stencil
 from haloframe.operators.scan import blocked, scan
-from haloframe.plans.catalogue import FRAME, RC, SIG, P, celled, r, rounded, sql_rounded
+from haloframe.plans.catalogue import FRAME, RC, SIG, P, celled, particles, rounded, sql_rounded
 from haloframe.plans.catalogue import _forces as forces_sql
 from haloframe.plans.catalogue import _near as near_sql
 from haloframe.plans.measures import _PO as PO
+from haloframe.plans.session import shared_folder
+from haloframe.sources import files, traces
 from haloframe.sources import particles as sources
-from haloframe.sources import traces
 from haloframe.sources.particles import POSITION
+from haloframe.streaming import late
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -136,3 +140,64 @@ def lagged_by_scan(stats):
     rows = blocked(stats, ["run"], ["iteration"])
     before = scan(rows, ["run"], ["iteration"], {"last_max": ("last", F.col("max_it")), "last_sum": ("last", F.col("sum_it"))}, inclusive=False)
     return before.select("run", "iteration", (F.coalesce("last_max", F.lit(0.0)) - F.coalesce("last_sum", F.lit(0.0)) / F.lit(float(traces.RANKS))).alias("u"))
+
+
+# Event time
+
+
+@query(
+    f"""WITH RECURSIVE {TR}, m AS (SELECT s.run, s.iteration, s.max_it, s.min_it, s.sum_it, l.u, row_number() OVER (PARTITION BY s.run ORDER BY s.iteration) AS n FROM s JOIN l USING (run, iteration)),
+f AS (SELECT run, 0::BIGINT AS n, 0.0::DOUBLE AS cum, 0.0::DOUBLE AS since, false AS dec FROM (SELECT DISTINCT run FROM m) UNION ALL
+SELECT run, n, CASE WHEN cum >= 700.0 THEN 0.0::DOUBLE ELSE cum END, CASE WHEN cum >= 700.0 THEN max_it ELSE since + max_it END, cum >= 700.0
+FROM (SELECT m.run, m.n, f.cum + m.u AS cum, f.since, m.max_it FROM f JOIN m ON m.run = f.run AND m.n = f.n + 1) q)
+SELECT run, iteration, round(max_it, 4) + 0.0 AS max_it, round(min_it, 4) + 0.0 AS min_it, round(sum_it, 4) + 0.0 AS sum_it, round(since, 4) + 0.0 AS lb_interval_time, dec AS decision FROM f JOIN m USING (run, n)"""
+)
+def event_time_decisions(spark, d):
+    """Three runs' events, late and shuffled within the watermark, through windows and timers."""
+    seconds = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    rows = spark.read.parquet(f"{d}/events.parquet").select(
+        F.expr(f"(user_id div 4) % {RUNS}").alias("run"), (F.col("user_id") % traces.RANKS).cast("int").alias("rank"), F.timestamp_seconds(seconds).alias("ts"), "value"
+    )
+    return rounded(late.replay(rows, 700.0), ["run", "iteration", "decision"], ["max_it", "min_it", "sum_it", "lb_interval_time"])
+
+
+# Files as data sources
+
+
+@query(
+    "SELECT CASE WHEN l_linenumber % 7 <> 0 THEN l_quantity END AS x, l_extendedprice AS y, CASE WHEN l_linenumber % 5 <> 0 THEN l_discount END AS z, "
+    "l_linenumber % 7 = 0 AS malformed, count(*) AS n FROM lineitem WHERE l_extendedprice >= 20000 GROUP BY ALL"
+)
+def particle_files(spark, d):
+    """Lines written from a table, some too short, too long or malformed, read back in ranges with a filter in the reader."""
+    fields = [F.col(c).cast("string") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+    first = F.when(F.col("l_linenumber") % 7 == 0, F.lit("n/a")).otherwise(fields[0])
+    line = F.when(F.col("l_linenumber") % 5 == 0, F.concat_ws(",", first, fields[1])).otherwise(F.concat_ws(",", first, *fields[1:]))
+    folder = f"{shared_folder(spark)}/lines-{uuid4()}"
+    spark.read.parquet(f"{d}/lineitem.parquet").select(line.alias("value")).write.text(folder)
+    files.register(spark)
+    rows = spark.read.format("particles").option("splitBytes", 1 << 18).load(folder).where("y >= 20000")
+    return rows.groupBy("x", "y", "z", F.col("malformed").isNotNull().alias("malformed")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {P}, a AS (SELECT *, ((((cx + cy + cz) % 4) + 4) % 4)::INT AS part, (gid % 5)::INT AS frame FROM c) {sql_rounded('frame', 'x y z', 'a', 9)}")
+def written_frames(spark, d):
+    """Particle frames committed in two phases and read back."""
+    parted = particles(spark, d).select((F.col("gid") % 5).cast("int").alias("frame"), *POSITION, partitions.by_grid(RC, 4).alias("part"))
+    folder = f"{shared_folder(spark)}/frames-{uuid4()}"
+    files.register(spark)
+    parted.write.format("frames").mode("append").save(folder)
+    return rounded(spark.read.format("particles").option("header", "true").load(folder), ["frame"], [*POSITION], 9)
+
+
+@query(f"WITH {TR} SELECT run, row_number() OVER (PARTITION BY run ORDER BY iteration)::BIGINT AS line, round(max_it, 6) + 0.0 AS time FROM s")
+def written_series(spark, d):
+    """Each run's series of times as text, in order over its part files, read back with line numbers."""
+    own = run_stats(spark, d).select(F.concat(F.lit("time-"), F.col("run")).alias("metric"), "iteration", F.round("max_it", 6).alias("value"))
+    folder = f"{shared_folder(spark)}/series-{uuid4()}"
+    files.register(spark)
+    own.repartitionByRange("metric", "iteration").sortWithinPartitions("metric", "iteration").select("metric", "value").write.format("frames").option("kind", "series").mode("append").save(folder)
+    read = spark.read.text(folder).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+    own = read.select(F.regexp_extract("file", r"metric=time-(\d+)", 1).cast("bigint").alias("run"), F.struct(F.regexp_extract("file", r"part-(\d+)", 1).cast("int"), "at", "id").alias("place"), F.col("value").cast("double").alias("time"))
+    rows = blocked(own, ["run"], ["place"])
+    return scan(rows, ["run"], ["place"], {"line": ("count", F.lit(1))}).select("run", "line", "time")
