@@ -6,12 +6,13 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
-from haloframe.operators import metrics, partitions, resets, spatial, stencil
+from haloframe.operators import curves, metrics, partitions, resets, spatial, stencil
 from haloframe.operators.scan import blocked, scan
 from haloframe.plans.catalogue import FRAME, RC, SIG, P, celled, particles, rounded, sql_rounded
 from haloframe.plans.catalogue import _forces as forces_sql
 from haloframe.plans.catalogue import _near as near_sql
 from haloframe.plans.measures import _PO as PO
+from haloframe.plans.measures import _draw, _u
 from haloframe.plans.session import shared_folder
 from haloframe.sources import files, traces
 from haloframe.sources import particles as sources
@@ -201,3 +202,104 @@ def written_series(spark, d):
     own = read.select(F.regexp_extract("file", r"metric=time-(\d+)", 1).cast("bigint").alias("run"), F.struct(F.regexp_extract("file", r"part-(\d+)", 1).cast("int"), "at", "id").alias("place"), F.col("value").cast("double").alias("time"))
     rows = blocked(own, ["run"], ["place"])
     return scan(rows, ["run"], ["place"], {"line": ("count", F.lit(1))}).select("run", "line", "time")
+
+
+# Parts of equal load along a curve
+
+
+def _hilbert_sql(cells: str, name: str, bits: int, origin: int) -> str:
+    """CTEs that end in ``name``: the rows of ``cells`` (distinct ``cx, cy, cz``) with their ``code``."""
+    low = "((1::BIGINT << k) - 1)"
+    swapped = lambda q: f"CASE WHEN ({q} >> k) & 1 = 1 THEN xor(x, {low}) ELSE xor(x, xor(x, {q}) & {low}) END AS x, CASE WHEN ({q} >> k) & 1 = 1 THEN {q} ELSE xor({q}, xor(x, {q}) & {low}) END AS {q}"
+    start = ", ".join(f"least(greatest(c{q} + {origin}, 0), {2**bits - 1}) AS {q}" for q in "xyz")
+    digits = " + ".join(f"(((g{q} >> {b}) & 1) << {3 * b + 2 - i})" for b in range(bits) for i, q in enumerate("xyz"))
+    terms = [f"(((z >> {k}) & 1) * {2**k - 1})" for k in range(1, bits)]
+    turn = terms[0]
+    for term in terms[1:]:
+        turn = f"xor({turn}, {term})"
+    return f"""{name}_r AS (SELECT cx, cy, cz, {bits - 1} AS k, {start} FROM {cells} UNION ALL
+SELECT cx, cy, cz, k - 1, x, y, z FROM (SELECT cx, cy, cz, k, y, {swapped("z")} FROM (SELECT cx, cy, cz, k, z, {swapped("y")} FROM
+ (SELECT cx, cy, cz, k, CASE WHEN (x >> k) & 1 = 1 THEN xor(x, {low}) ELSE x END AS x, y, z FROM {name}_r WHERE k >= 1) q1) q2) q3),
+{name}_g AS (SELECT cx, cy, cz, x, xor(y, x) AS y, xor(z, xor(y, x)) AS z FROM {name}_r WHERE k = 0),
+{name}_t AS (SELECT cx, cy, cz, xor(x, {turn}) AS gx, xor(y, {turn}) AS gy, xor(z, {turn}) AS gz FROM {name}_g),
+{name} AS (SELECT cx, cy, cz, {digits} AS code FROM {name}_t)"""
+
+
+_STENCIL = "h AS (SELECT cx, cy, cz, count(*) AS n FROM c GROUP BY ALL), o(u) AS (VALUES (-1), (0), (1)), sp AS (SELECT cx + i.u AS cx, cy + j.u AS cy, cz + k.u AS cz, n FROM h, o i, o j, o k), tt AS (SELECT cx, cy, cz, sum(n)::BIGINT AS total FROM sp GROUP BY ALL), w AS (SELECT cx, cy, cz, n * total AS load FROM h JOIN tt USING (cx, cy, cz))"
+BITS, ORIGIN = 5, 16
+_HILBERT = f"""{P}, {_STENCIL}, {_hilbert_sql("w", "hc", BITS, ORIGIN)},
+b AS (SELECT w.*, code, sum(load) OVER (ORDER BY code) - load AS before, sum(load) OVER () AS whole FROM w JOIN hc USING (cx, cy, cz)),
+pt AS (SELECT *, least(before * 7 // whole, 6)::INT AS part FROM b)"""
+
+
+def _loads(spark, d):
+    own = celled(spark, d)
+    return own, stencil.cell_interactions(own).select("cx", "cy", "cz", F.col("interactions").alias("load"))
+
+
+@query(f"WITH RECURSIVE {P}, {_STENCIL}, {_hilbert_sql('w', 'hc', BITS, ORIGIN)} SELECT cx, cy, cz, code::BIGINT AS code FROM hc")
+def hilbert_cells(spark, d):
+    return curves.coded_cells(_loads(spark, d)[1], ORIGIN, BITS).select("cx", "cy", "cz", "code")
+
+
+@query(f"WITH RECURSIVE {_HILBERT} SELECT gid, part FROM c JOIN pt USING (cx, cy, cz)")
+def part_hilbert(spark, d):
+    """Seven parts of equal interactions."""
+    return curves.by_hilbert(*_loads(spark, d), 7, ORIGIN, BITS).select("gid", "part")
+
+
+@query(f"WITH RECURSIVE {_HILBERT} SELECT part, sum(load)::BIGINT AS load, count(*) AS cells FROM pt GROUP BY part")
+def hilbert_loads(spark, d):
+    loads = curves.coded_cells(_loads(spark, d)[1], ORIGIN, BITS)
+    return curves.equal_loads(loads, 7).groupBy("part").agg(F.sum("load").alias("load"), F.count(F.lit(1)).alias("cells"))
+
+
+FRAMES, STRIDE, SEGMENT_PARTS = 6, 0.5, 4
+
+
+@query(
+    f"""WITH RECURSIVE {P}, fr AS (SELECT k::INT AS frame, {", ".join(f"floor(({q} + v{q} * (k * {STRIDE}::DOUBLE)) / 0.1::DOUBLE)::BIGINT AS c{q}" for q in "xyz")} FROM p, range({FRAMES}) AS g(k)),
+u AS (SELECT DISTINCT cx, cy, cz FROM fr), {_hilbert_sql("u", "hc", 6, 32)},
+hf AS (SELECT frame, code, count(*) AS n FROM fr JOIN hc USING (cx, cy, cz) GROUP BY ALL),
+mk AS (SELECT frame AS lb_frame, code, least((sum(n) OVER (PARTITION BY frame ORDER BY code) - n) * {SEGMENT_PARTS} // sum(n) OVER (PARTITION BY frame), {SEGMENT_PARTS - 1}) AS part FROM hf),
+st AS (SELECT lb_frame, part, min(code) AS code FROM mk GROUP BY ALL),
+lk AS (SELECT st.lb_frame, hf.frame, hf.code, any_value(hf.n) AS n, coalesce(max(st.part) FILTER (st.code <= hf.code), 0) AS part FROM hf JOIN st ON st.lb_frame <= hf.frame GROUP BY st.lb_frame, hf.frame, hf.code),
+pa AS (SELECT lb_frame, frame, part, sum(n) AS n FROM lk GROUP BY ALL)
+SELECT lb_frame, frame, max(n)::BIGINT AS cost FROM pa GROUP BY ALL"""
+)
+def measured_segments(spark, d):
+    """The largest part of each frame under the partition made at each earlier one, particles drifting freely."""
+    moved = spatial.with_cells(curves.drifted(particles(spark, d), FRAMES, STRIDE), RC)
+    cells = stencil.histogram(moved, keys=("frame",))
+    coded = curves.coded_cells(cells, 32, 6).groupBy("frame", "code").agg(F.sum("n").alias("n"))
+    return curves.segment_loads(coded, SEGMENT_PARTS)
+
+
+# Points beyond a ball
+
+
+def _beyond_sql(dims: int) -> str:
+    if dims == 2:
+        return f"q AS (SELECT gid, sqrt(1 - 2 * ln({_u('0')})) AS r FROM g)"
+    # Newton steps on the logarithm of the chance to be beyond, from the plane's answer; the error function by its series.
+    erfc = "(1 - 1.1283791670955126::DOUBLE * sqrt((1 + 2 * t) / 2) * list_sum(list_transform(range(0, 140), lambda n: exp(n * ln((1 + 2 * t) / 2) - (1 + 2 * t) / 2 - lgamma(n + 1.5) + lgamma(1.5)))))"
+    flat = "sqrt((1 + 2 * t) * 2 / pi()) * exp(-(1 + 2 * t) / 2)"
+    return f"""s0 AS (SELECT 0.0::DOUBLE AS t), b0 AS (SELECT {erfc} + {flat} AS whole FROM s0),
+nw AS (SELECT gid, 0 AS k, -ln({_u("0")}) AS t, ln(whole) + ln({_u("0")}) AS goal FROM g, b0 UNION ALL
+SELECT gid, k + 1, greatest(0.0, t + (ln(b) - goal) * b / f), goal FROM (SELECT *, {erfc} + {flat} AS b, {flat} AS f FROM nw WHERE k < 12) q),
+q AS (SELECT gid, sqrt(1 + 2 * t) AS r FROM nw WHERE k = 12)"""
+
+
+for _dims in (2, 3):
+    _turn, _rise = f"2 * pi() * {_u('1')}", f"(2 * {_u('2')} - 1)"
+    _at = {"x": f"r * cos({_turn})", "y": f"r * sin({_turn})"} if _dims == 2 else {"x": f"r * sqrt(1 - {_rise} * {_rise}) * cos({_turn})", "y": f"r * sqrt(1 - {_rise} * {_rise}) * sin({_turn})", "z": f"r * {_rise}"}
+
+    @query(
+        f"WITH RECURSIVE g AS (SELECT vec_id AS gid FROM embeddings), {_beyond_sql(_dims)} SELECT gid, "
+        + ", ".join(f"round({c} + {m}, 5) + 0.0 AS {n}" for (n, c), m in zip(_at.items(), (1, 2, 3), strict=False))
+        + " FROM q",
+        f"gen_beyond_{_dims}d",
+    )
+    def _beyond(spark, d, dims=_dims):
+        ids = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("gid"))
+        return rounded(sources.beyond_ball(ids, 2.0, (1.0, 2.0, 3.0)[:dims], _draw), ["gid"], list(POSITION[:dims]), 5)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,3 +82,58 @@ def outside_ball(ids: DataFrame, size: float, centre: tuple[float, ...] = (0.0,
     chosen = drawn.select("gid", outside.alias("p"), F.element_at("made", -1).alias("q"))
     longer = F.lit(size / 2 * 1.000001) / F.sqrt(square(F.col("q")))
     return chosen.select("gid", *[(F.coalesce(F.col("p")[c], F.col("q")[c] * longer) + m).alias(c) for c, m in zip(names, centre, strict=True)])
+
+
+#: Knots for each unit of -log(u), and units: draws are no less than 2**-53.
+KNOTS, UNITS = 64, 38
+
+
+@lru_cache(maxsize=1)
+def _radii() -> tuple[np.ndarray, np.ndarray]:
+    """``(r**2 - 1) / 2`` and its slope at each knot ``z``, for the radius that a normal point of space, being beyond 1, exceeds with chance ``exp(-z)``."""
+    beyond = lambda t: math.erfc(math.sqrt((1 + 2 * t) / 2)) + math.sqrt((1 + 2 * t) * 2 / math.pi) * math.exp(-(1 + 2 * t) / 2)
+    density = lambda t: math.sqrt(2 * (1 + 2 * t) / math.pi) * math.exp(-(1 + 2 * t) / 2)
+    at, slopes, t = [], [], 0.0
+    for k in range(KNOTS * UNITS + 2):
+        goal = math.log(beyond(0.0)) - k / KNOTS
+        for _ in range(60):
+            step = (math.log(beyond(t)) - goal) * beyond(t) / density(t)
+            t += step
+            if abs(step) < 1e-15 * (1 + t):
+                break
+        at.append(t)
+        slopes.append(beyond(t) / density(t) / KNOTS)
+    return np.array(at), np.array(slopes)
+
+
+def radius_beyond(u: Column, dims: int) -> Column:
+    """The distance of a standard normal point of the plane or of space, given that it is beyond 1; ``u`` is uniform in (0, 1).
+
+    In the plane the square is exponential behind 1.  In space its distribution is inverted at evenly spaced knots and
+    between them by cubics of the same slopes, to ten digits.
+    """
+    z = -F.log(u)
+    if dims == 2:
+        return F.sqrt(1 + 2 * z)
+    at, slopes = map(F.lit, _radii())
+    k = F.least(F.floor(z * KNOTS), F.lit(KNOTS * UNITS)).cast("int")
+    s = z * KNOTS - k
+    value = (1 + 2 * s) * (1 - s) * (1 - s) * F.get(at, k) + s * (1 - s) * (1 - s) * F.get(slopes, k) + s * s * (3 - 2 * s) * F.get(at, k + 1) + s * s * (s - 1) * F.get(slopes, k + 1)
+    return F.sqrt(1 + 2 * value)
+
+
+def beyond_ball(ids: DataFrame, size: float, centre: tuple[float, ...] = (0.0, 0.0, 0.0), draw=None) -> DataFrame:
+    """A point for each ``gid``, normal about ``centre`` with deviation ``size / 2`` and outside the ball of that radius.
+
+    The distance is drawn by inversion and the direction uniformly, so every row has its point at once: what ``outside_ball``
+    finds by trying, without a number of tries.
+    """
+    draw, names = draw or hashed(), POSITION[: len(centre)]
+    r, turn = radius_beyond(draw(0), len(centre)) * (size / 2), 2 * F.pi() * draw(1)
+    if len(centre) == 2:
+        at = (r * F.cos(turn), r * F.sin(turn))
+    else:
+        rise = 2 * draw(2) - 1
+        flat = F.sqrt(1 - rise * rise)
+        at = (r * flat * F.cos(turn), r * flat * F.sin(turn), r * rise)
+    return ids.select("gid", *[(c + m).alias(n) for c, m, n in zip(at, centre, names, strict=True)])
