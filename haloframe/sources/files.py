@@ -183,6 +183,9 @@ class FrameWriter(api.DataSourceWriter):
         self.kind = options.get("kind", "frame")
         self.dims = tuple(options.get("dims", "x,y,z").split(","))
         self.job = f"_job-{uuid4()}"
+        # Made here alone: a task that is still running when the job is given up finds no folder and so leaves nothing.
+        system, root = opened(self.root)
+        system.create_dir(f"{root}/{self.job}", recursive=True)
 
     def _text(self, row) -> str:
         if self.kind == "series":
@@ -201,7 +204,7 @@ class FrameWriter(api.DataSourceWriter):
                 if group not in streams:
                     name = f"{key}={group}/part-{number:05d}"
                     folder = f"{root}/{self.job}/{key}={group}"
-                    system.create_dir(folder, recursive=True)
+                    system.create_dir(folder, recursive=False)
                     files[f"{folder}/part-{number:05d}-{attempt}"] = name
                     streams[group] = system.open_output_stream(f"{folder}/part-{number:05d}-{attempt}")
                     if self.kind == "frame":

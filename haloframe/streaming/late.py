@@ -5,9 +5,10 @@ rows may come as late as the watermark's delay, in any order.  A second state fo
 timer at an iteration's end closes it, in order of iterations, and only then is it decided whether to rebalance.  The state of a
 run holds its open iterations and three numbers.
 
-Results: a row for each closed iteration of a run.  A row later than the watermark's delay is dropped, as if it had never been: its iteration keeps
-the value it was closed with, and one that has lost all its rows is missing.  Iterations whose end the watermark has not passed
-are still open and not in the result.  Rows without a time or a run are left out.
+Results: a row for each closed iteration of a run.  A row that is later than the delay counts as long as its window has not been
+closed (that is done in the batch after the one that moved the watermark); behind that it is dropped, as if it had never been: its iteration
+keeps the values it was closed with, and one that has lost all its rows is missing.  Iterations whose end the watermark has not
+passed are still open and not in the result.  Rows without a time or a run are left out.
 """
 
 from __future__ import annotations
