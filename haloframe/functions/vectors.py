@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -117,9 +116,20 @@ def quadratic_roots(a: Column, b: Column, c: Column) -> Column:
 
 @F.arrow_udf(ArrayType(DoubleType()))
 def _running(values: pa.Array, init: pa.Array) -> pa.Array:
-    plus = lambda s, x: None if s is None or x is None else s + x
-    rows = zip(values.to_pylist(), init.to_pylist(), strict=True)
-    return pa.array([None if v is None else list(accumulate(v, plus, initial=i)) for v, i in rows], pa.list_(pa.float64()))
+    """All lists of one length are added up at once; sums of one list never reach another."""
+    none = np.asarray(values.is_null())
+    sizes = values.value_lengths().fill_null(0).to_numpy()
+    flat, starts = values.flatten(), np.cumsum(sizes) - sizes
+    known, gone = flat.fill_null(0.0).to_numpy(), np.asarray(flat.is_null())
+    first, lost = init.fill_null(0.0).to_numpy(), np.asarray(init.is_null())
+    ends = np.concatenate([[0], np.cumsum(np.where(none, 0, sizes + 1))])
+    sums, masks = np.empty(ends[-1]), np.empty(ends[-1], bool)
+    for size in np.unique(sizes):
+        rows = np.flatnonzero((sizes == size) & ~none)
+        own, at = starts[rows, None] + np.arange(size), ends[rows, None] + np.arange(size + 1)
+        sums[at] = np.cumsum(np.column_stack([first[rows], known[own]]), axis=1)
+        masks[at] = np.logical_or.accumulate(np.column_stack([lost[rows], gone[own]]), axis=1)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sums, mask=masks), mask=pa.array(none))
 
 
 def scan_left(values: Column, init: Column) -> Column:

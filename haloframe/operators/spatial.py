@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haloframe.functions.vectors import lj_coefficient
+from haloframe.operators.scan import blocked, scan
 from haloframe.sources.particles import POSITION
 
 
@@ -112,14 +113,7 @@ def pair_forces(receivers: DataFrame, sources: DataFrame, eps: float, sig: float
     return receivers.drop(*[f"c{d}" for d in dims]).join(force_sums(receivers, sources, eps, sig, dims, unary), "gid")
 
 
-def local_ids(rows: DataFrame, part: str = "part", key: str = "gid", width: int = 1 << 16) -> DataFrame:
-    """Adds ``lid``: each part's rows numbered from 0 in order of a whole-numbered ``key``.
-
-    Rows are numbered within ranges of ``width`` keys; only the ranges' counts are summed over a whole part.
-    """
-    ranged = rows.withColumn("range", F.floor(F.col(key) / F.lit(width)))
-    counts = ranged.groupBy(part, "range").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(part).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(part, "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy(part, "range").orderBy(key)
-    return ranged.withColumn("place", F.row_number().over(within) - 1).join(starts, [part, "range"]).withColumn("lid", F.col("start") + F.col("place")).drop("range", "place", "start")
+def local_ids(rows: DataFrame, part: str = "part", key: str = "gid") -> DataFrame:
+    """Adds ``lid``: each part's rows numbered from 0 in order of ``key``, by a count over blocks of them, whatever the keys' density."""
+    counted = scan(blocked(rows, [part], [key]), [part], [key], {"lid": ("count", F.lit(1))})
+    return counted.withColumn("lid", F.col("lid") - 1).drop("block")

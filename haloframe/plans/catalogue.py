@@ -151,12 +151,6 @@ for _dims in ("xy", "xyz"):
         return rounded(spatial.force_sums(own, own, 1.0, SIG, dims), ["gid", "interactions"], [f"f{q}" for q in dims])
 
 
-@query(f"WITH {P} SELECT a.gid AS gid_a, b.gid AS gid_b FROM c a JOIN c b ON {_near('xyz')} WHERE a.gid < 50")
-def pair_list_small(spark, d):
-    own = celled(spark, d)
-    return spatial.neighbour_pairs(own.where("gid < 50"), own).select(F.col("gid").alias("gid_a"), F.col("gid_s").alias("gid_b"))
-
-
 @query(f"WITH {P} SELECT a.gid AS gid_a, b.gid AS gid_b FROM c a JOIN c b ON {_near('xyz')}")
 def pair_list(spark, d):
     own = celled(spark, d)
@@ -512,12 +506,6 @@ def vec_ops(spark, d):
     )
 
 
-@query(f"WITH {P} SELECT gid, CASE WHEN y * y - 4 * x * z >= 0 THEN 2 ELSE 0 END AS roots, CASE WHEN y * y - 4 * x * z >= 0 THEN round((-y + sqrt(y * y - 4 * x * z)) / (2 * x), 4) + 0.0 END AS first FROM p WHERE abs(x) > 0.01")
-def quadratic(spark, d):
-    roots = V.quadratic_roots(F.col("x"), F.col("y"), F.col("z"))
-    return particles(spark, d).where("abs(x) > 0.01").select("gid", F.size(roots).alias("roots"), r(F.get(roots, F.lit(0))).alias("first"))
-
-
 @query(
     f"WITH {P}, q AS (SELECT gid, x, y, z, y * y - 4 * x * z AS d FROM p) SELECT gid, "
     "CASE WHEN x = 0 THEN CASE WHEN y = 0 THEN 0 ELSE 1 END WHEN d >= 0 THEN 2 ELSE 0 END AS roots, "
@@ -536,13 +524,6 @@ def sph2cart(spark, d):
     )
 
 
-@query("SELECT vec_id AS gid, round(list_sum(embedding[1:8]::DOUBLE[]), 4) + 0.0 AS last, 9 AS size FROM embeddings")
-def scan_left(spark, d):
-    own = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("gid"), F.slice("embedding", 1, 8).cast("array<double>").alias("v"))
-    scanned = own.select("gid", V.scan_left(F.col("v"), F.lit(0.0)).alias("s"))
-    return scanned.select("gid", r(F.element_at("s", -1)).alias("last"), F.size("s").alias("size"))
-
-
 @query("SELECT vec_id AS gid, round(list_sum(embedding::DOUBLE[]), 4) + 0.0 AS last, len(embedding) + 1 AS size FROM embeddings")
 def scan_left_whole(spark, d):
     own = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("gid"), V.scan_left(F.col("embedding"), F.lit(0.0)).alias("s"))
@@ -555,13 +536,6 @@ def slice_(spark, d):
     return own.select("gid", F.size("v").cast("bigint").alias("size"), r(F.aggregate("v", F.lit(0.0), lambda s, x: s + x)).alias("total"))
 
 
-@query("SELECT vec_id AS gid, round(list_sum(list_transform(list_zip(embedding[1:4], embedding[5:8]), lambda q: q[1]::DOUBLE * q[2])), 4) + 0.0 AS total FROM embeddings")
-def zip_unzip(spark, d):
-    own = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("gid"), F.slice("embedding", 1, 4).alias("a"), F.slice("embedding", 5, 4).alias("b"))
-    zipped = own.select("gid", F.arrays_zip("a", "b").alias("ab"))
-    return zipped.select("gid", r(V.dot(F.transform("ab", lambda q: q["a"].cast("double")), F.transform("ab", lambda q: q["b"].cast("double")))).alias("total"))
-
-
 @query("SELECT vec_id AS gid, round(list_sum(list_transform(list_zip(embedding, list_reverse(embedding)), lambda q: q[1]::DOUBLE * q[2])), 4) + 0.0 AS total FROM embeddings")
 def zip_unzip_whole(spark, d):
     own = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("gid"), F.col("embedding").alias("a"), F.reverse("embedding").alias("b"))
@@ -569,12 +543,6 @@ def zip_unzip_whole(spark, d):
     return zipped.select("gid", r(V.dot(F.transform("ab", lambda q: q["a"].cast("double")), F.transform("ab", lambda q: q["b"].cast("double")))).alias("total"))
 
 
-@query("SELECT vec_id AS gid, len(flatten([embedding[1:3], embedding[4:9]])) AS size FROM embeddings")
-def flatten(spark, d):
-    own = spark.read.parquet(f"{d}/embeddings.parquet")
-    return own.select(F.col("vec_id").alias("gid"), F.size(F.flatten(F.array(F.slice("embedding", 1, 3), F.slice("embedding", 4, 6)))).cast("bigint").alias("size"))
-
-
 @query("SELECT p_partkey, string_split(p_name, ' ')[1] AS head, array_to_string(string_split(p_name, ' '), ',') AS joined FROM part")
 def split_join(spark, d):
     parts = F.split("p_name", " ")

@@ -267,7 +267,7 @@ def orders_pair_count(spark, d):
 @query(f"WITH {_GRID} SELECT gid, part, row_number() OVER (PARTITION BY part ORDER BY gid) - 1 AS lid FROM a")
 def local_ids(spark, d):
     own = particles(spark, d).select("gid", partitions.by_grid(RC, PARTS).alias("part"), *POSITION)
-    return spatial.local_ids(own, width=64).select("gid", "part", "lid")
+    return spatial.local_ids(own).select("gid", "part", "lid")
 
 
 @query(f"{C._MOVES}, e AS (SELECT src AS part, sum(n)::BIGINT AS exports FROM x GROUP BY src), k AS (SELECT part, count(*) AS n FROM a GROUP BY part) SELECT part, n, coalesce(exports, 0) AS exports FROM k LEFT JOIN e USING (part)")
@@ -278,12 +278,12 @@ def part_counts(spark, d):
     return own.join(leaving, "part", "left").select("part", "n", F.coalesce("exports", F.lit(0)).alias("exports"))
 
 
-@query(f"WITH {_GRID}, n AS (SELECT part, count(*) AS k FROM a GROUP BY part) SELECT sum(k)::BIGINT AS total, max(k) AS largest, count(*) AS parts, round(sum(k) / 4.0::DOUBLE / max(k), 6) + 0.0 AS efficiency, true AS balanced FROM n")
+@query(f"WITH {_GRID}, n AS (SELECT part, count(*) AS k FROM a GROUP BY part) SELECT sum(k)::BIGINT AS total, max(k) AS largest, count(*) AS parts, round(sum(k) / 4.0::DOUBLE / max(k), 6) + 0.0 AS efficiency, max(k) <= 1.1::DOUBLE * sum(k) / 4 AS balanced FROM n")
 def initial_partition(spark, d):
-    """What a run starts from: rows, the largest part, and the efficiency of the counts."""
+    """What a run starts from: rows, the largest part, the efficiency of the counts, and whether no part is a tenth over its share."""
     counts = particles(spark, d).groupBy(partitions.by_grid(RC, PARTS).alias("part")).agg(F.count(F.lit(1)).alias("k"))
     efficiency = r(F.sum("k") / F.lit(float(PARTS)) / F.max("k"), 6).alias("efficiency")
-    return counts.agg(F.sum("k").alias("total"), F.max("k").alias("largest"), F.count(F.lit(1)).alias("parts"), efficiency).withColumn("balanced", F.lit(True))
+    return counts.agg(F.sum("k").alias("total"), F.max("k").alias("largest"), F.count(F.lit(1)).alias("parts"), efficiency, (F.max("k") <= F.lit(1.1) * F.sum("k") / PARTS).alias("balanced"))
 
 
 @query(f"SELECT max(neighbours) AS most FROM ({C.ORACLES['neighbor_ranks']})")
@@ -340,9 +340,9 @@ def zip_unequal(spark, d):
     return own.select("gid", F.posexplode("ab").alias("place", "q")).select("gid", F.col("place").cast("bigint").alias("place"), "q.a", "q.b")
 
 
-@query(f"WITH {_E}, f AS (SELECT gid, flatten([v[1:3], v[10:12], []]) AS w FROM e) SELECT gid, unnest(range(6)) AS place, unnest(w) AS value FROM f")
+@query(f"WITH {_E}, f AS (SELECT gid, flatten([v[1:9], [], v[10:]]) AS w FROM e) SELECT gid, unnest(range(len(w))) AS place, unnest(w) AS value FROM f")
 def flatten_whole(spark, d):
-    lists = F.flatten(F.array(F.slice("v", 1, 3), F.slice("v", 10, 3), F.array().cast("array<double>")))
+    lists = F.flatten(F.array(F.slice("v", 1, 9), F.array().cast("array<double>"), F.slice("v", F.lit(10), F.size("v"))))
     return embeddings(spark, d).select("gid", F.posexplode(lists).alias("place", "value")).withColumn("place", F.col("place").cast("bigint"))
 
 
