@@ -6,11 +6,13 @@ ancestry.  Over all pages of a host, a block that is matched and says the same i
 template; varying blocks are content, wherever they stand.
 
 Elements and roles that are boilerplate by HTML's own meaning (menus, footers, asides, forms, scripts and so
-on) are never content, nor is an element whose class or id is as a whole a word for it (``HINTS``).  A name
-that only has such a word as a part (``related-work``, ``comment-list``) is a hint: it counts where the
-aligned pages of the host have the element, of the same name, at the same place (``HINT_SHARE``), or on a
-page that marks no content and has no other page to be compared with.  If a page has an article or
-main element, its text lies in there; headers inside one belong to it.
+on) are never content, nor are reader comments, in elements marked as such (``COMMENTS``); of articles so marked, nested and later ones
+go.  If a page has an article or main element, its text lies in there; headers inside one belong to it.  In there a constant block is
+template only if it was so on ``TEMPLATE_PAGES`` pages, and only before the first or behind the last varying block (a heading: only
+behind it), so that headings and quotations amid a text stay whatever the host repeats.  A class or id with a word for boilerplate
+(``HINTS``) is a hint: it counts where the aligned pages of the host have the element, of the same name, at the same place
+(``HINT_SHARE``; within an article again on ``TEMPLATE_PAGES`` pages).  Only on a page that marks no content such a word alone
+decides, as a part of a name if the host has no other page.
 
 Only counts per host and reference node are shuffled, pre-aggregated in each task; reference pages are
 joined by host.  A page that nearly equals a reference, or has no text, has no say in it.  Nulls: null html
@@ -30,7 +32,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haloframe.llm.common import cut, ensure_small_batches, join_side
@@ -45,6 +47,8 @@ PARSED_CHARS = 4_000_000
 HELD_SHAPES = 200_000
 #: The code of a hint on a host whose pages have none to be compared with, and the number under which voters count.
 _ALONE = _VOTERS = -1
+#: The code of a whole word for boilerplate on a page that marks no content; it always counts.
+_NAMED = -2
 
 # HTML's elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,6 +60,7 @@ SKIP = frozenset(
     "head script style noscript template iframe object svg canvas nav footer aside form button select option textarea dialog menu "
     "audio video map title".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words that name boilerplate in class and id attributes.
 HINTS = frozenset(
@@ -63,6 +68,8 @@ HINTS = frozenset(
     "footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification popup promo promoted promotion "
     "related replies reply respond share sharing sidebar sidebars skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: Words that mark reader comments in class and id attributes.
+COMMENTS = frozenset("comment comments disqus".split())
 # An open element of a key is closed by a start tag of its set.
 _PARAGRAPH_ENDS = BLOCK - {"html", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "title", "dd", "dt", "li"} | {"li", "dd", "dt", "td", "th", "tr"}
 _CLOSES = {
@@ -87,29 +94,36 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("children", "content", "hint", "noise", "own", "tag", "text")
+    __slots__ = ("children", "content", "hint", "named", "noise", "own", "tag", "text")
 
-    def __init__(self, tag: str, noise: bool, content: bool, hint: str | None = None):
-        self.tag, self.noise, self.content, self.hint, self.children, self.text, self.own = tag, noise, content, hint, [], [], None
+    def __init__(self, tag: str, noise: bool, content: bool, hint: str | None = None, named: bool = False):
+        self.tag, self.noise, self.content, self.hint, self.named, self.children, self.text, self.own = tag, noise, content, hint, named, [], [], None
 
 
-def _evidence(tag: str, source: str, inside: bool) -> tuple[bool, str | None]:
-    """Whether an element is boilerplate by kind, role or name, and the name that only hints at it."""
+def _evidence(tag: str, source: str, inside: bool, later: bool) -> tuple[bool, str | None, bool]:
+    """Whether an element is boilerplate by kind, role or as a comment, the name that hints at it, and whether that is a word for it as a whole.
+
+    ``inside``: it stands in marked content; ``later``: some came before it.
+    """
     if tag in SKIP or tag == "header" and not inside:
-        return True, None
-    hint = None
+        return True, None, False
+    hint, named = None, False
     if len(source) > len(tag) + 3:
         for name, *values in _ATTRIBUTE.findall(source, len(tag) + 1):
             name, value = name.lower(), "".join(values).lower()
             if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-                return True, None
-            if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
-                for token in value.split():
-                    if token in HINTS:
-                        return True, None
-                    if hint is None and not HINTS.isdisjoint(_WORDS.split(token)):
+                return True, None, False
+            tokens = value.split() if name in ("class", "id") else ()
+            if not COMMENTS.isdisjoint(tokens) or name == "itemprop" and value == "comment" or name == "itemtype" and value.endswith("schema.org/comment"):
+                if inside or later or tag not in ("body", "html", "article", "main"):
+                    return True, None, False
+            if tag not in ("body", "html", "article", "main"):
+                for token in tokens:
+                    if token in HINTS and not named:
+                        hint, named = token, True
+                    elif hint is None and not HINTS.isdisjoint(_WORDS.split(token)):
                         hint = token
-    return False, hint
+    return False, hint, named
 
 
 def parse(html: str) -> Node:
@@ -118,7 +132,7 @@ def parse(html: str) -> Node:
     Boilerplate elements stand in the text of their parents, but are no children: they take part in no match.
     """
     root = Node("#root", False, False)
-    stack, at = [root], 0
+    stack, at, later = [root], 0, False
 
     def said(text: str) -> None:
         if not stack[-1].noise:
@@ -148,10 +162,11 @@ def parse(html: str) -> Node:
         if tag in VOID and tag != "hr":
             continue
         above = stack[-1]
-        noise, hint = (True, None) if above.noise else _evidence(tag, source, above.content)
+        noise, hint, named = (True, None, False) if above.noise else _evidence(tag, source, above.content, later)
         if tag not in BLOCK and (not noise or above.noise):
             continue  # inline: its text is its block's
-        node = Node(tag, noise, above.content or tag in ("article", "main"), hint)
+        node = Node(tag, noise, above.content or tag in ("article", "main"), hint, named)
+        later = later or node.content and not noise
         if not above.noise:
             above.text.append(node)
             if not noise:
@@ -380,12 +395,14 @@ class _References:
         return self.pages[html]
 
 
-def _code(reference: int, number: int, hint: bool) -> int:
-    return reference << 40 | number << 1 | hint
+def _code(reference: int, number: int, hint: bool, strict: bool) -> int:
+    """Of a reference's node, as a constant block or as a hint; ``strict``: if seen on ``TEMPLATE_PAGES`` pages."""
+    return reference << 40 | number << 2 | strict << 1 | hint
 
 
-def _compare(html: str, references: list[str], held: _References, share: float, seen: dict) -> tuple[list[str], list[list[int]]]:
-    """A page's blocks with, for each, codes of the reference nodes that would make it template.
+def _compare(html: str, references: list[str], held: _References, share: float, seen: dict) -> list[tuple[str, list[int], list[int], bool, bool]]:
+    """A page's blocks, each with the codes of the reference nodes that would make it template as a constant and by its name,
+    whether it stands in marked content, and whether it is a heading.
 
     Votes go to ``seen``: by reference and node how often it was matched, said the same, had the same hint.
     """
@@ -404,9 +421,9 @@ def _compare(html: str, references: list[str], held: _References, share: float,
                 number = other.number[id(y)]
                 found.append((number, bool(text), same, hint))
                 if same:
-                    codes[id(x)].append(_code(k, number, False))
+                    codes[id(x)].append(_code(k, number, False, x.content))
                 if hint:
-                    codes[~id(x)].append(_code(k, number, True))
+                    codes[~id(x)].append(_code(k, number, True, x.content))
         if page.chars and html != reference and alike <= share * page.chars:
             seen[k, _VOTERS][0] += 1
             for number, text, same, hint in found:
@@ -414,24 +431,20 @@ def _compare(html: str, references: list[str], held: _References, share: float,
                 entry[0] += text
                 entry[1] += same
                 entry[2] += hint
-    alone = [] if content_root(page.nodes) else [_ALONE]
-    texts, marks = [], []
+    marked, out = content_root(page.nodes), []
     for text, node, hints in pieces(page.root, page.nodes):
-        own = list(codes[id(node)])
-        for h in hints:
-            own += codes[~id(h)] + alone
-        texts.append(text)
-        marks.append(own)
-    return texts, marks
+        named = [code for h in hints for code in (*codes[~id(h)], *(() if marked else (_NAMED if h.named else _ALONE,)))]
+        out.append((text, codes[id(node)], named, node.content, node.tag in HEADINGS))
+    return out
 
 
-_ALIGNED = "page_id bigint, url string, host string, texts array<string>, codes array<array<bigint>>, reference int, number int, matched bigint, equal bigint, hinted bigint"
+_ALIGNED = "page_id bigint, url string, host string, texts array<string>, codes array<array<bigint>>, named array<array<bigint>>, inside array<boolean>, heading array<boolean>, reference int, number int, matched bigint, equal bigint, hinted bigint"
 
 
 def _aligned(share: float):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _References()
-        types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())), pa.int32(), pa.int32(), *[pa.int64()] * 3]
+        types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), *[pa.list_(pa.list_(pa.int64()))] * 2, *[pa.list_(pa.bool_())] * 2, pa.int32(), pa.int32(), *[pa.int64()] * 3]
         names = [c.split()[0] for c in _ALIGNED.split(", ")]
 
         def rows(columns: dict[int, list]) -> pa.RecordBatch:
@@ -442,10 +455,10 @@ def _aligned(share: float):
             votes: dict[str, dict] = defaultdict(lambda: defaultdict(lambda: [0, 0, 0]))
             hosts = batch.column(2).to_pylist()
             both = [_compare(html, references or [], held, share, votes[host]) for host, html, references in zip(hosts, *(batch.column(i).to_pylist() for i in (3, 4)), strict=True)]
-            yield rows({0: batch.column(0).to_pylist(), 1: batch.column(1).to_pylist(), 2: hosts, 3: [t for t, _ in both], 4: [c for _, c in both]})
+            yield rows({0: batch.column(0).to_pylist(), 1: batch.column(1).to_pylist(), 2: hosts, **{3 + k: [[block[k] for block in page] for page in both] for k in range(5)}})
             cast = [(host, *key, *counts) for host, seen in votes.items() for key, counts in seen.items()]
             if cast:
-                yield rows(dict(zip((2, 5, 6, 7, 8, 9), map(list, zip(*cast, strict=True)), strict=True)))
+                yield rows(dict(zip((2, 8, 9, 10, 11, 12), map(list, zip(*cast, strict=True)), strict=True)))
 
     return align
 
@@ -471,35 +484,56 @@ def with_reference(pages: DataFrame) -> DataFrame:
 def template(counts: DataFrame, pages: int = TEMPLATE_PAGES, share: float = TEMPLATE_SHARE) -> DataFrame:
     """``host, template``: the codes of reference nodes that make a block template.
 
-    Nodes must be matched on ``pages`` pages, or on all pages there are beside the reference if those are fewer.
+    Nodes must be matched on ``pages`` pages, or on all pages there are beside the reference if those are fewer; a strict code wants the former.
     """
     found = counts.groupBy("host", "reference", "number").agg(*[F.sum(c).alias(c) for c in ("matched", "equal", "hinted")])
     found = cut(found)
     voters = found.where("number = -1").select("host", "reference", F.col("matched").alias("voters"))
-    code = F.shiftleft(F.col("reference").cast("bigint"), 40).bitwiseOR(F.shiftleft(F.col("number").cast("bigint"), 1))
-    enough = F.least(F.lit(pages), "voters")
-    constant = F.when((F.col("matched") >= enough) & (F.col("equal") >= share * F.col("matched")), code)
-    hinted = F.when((F.col("hinted") >= enough) & (F.col("hinted") >= HINT_SHARE * F.col("voters")), code.bitwiseOR(F.lit(1).cast("bigint")))
+    code = F.shiftleft(F.col("reference").cast("bigint"), 40).bitwiseOR(F.shiftleft(F.col("number").cast("bigint"), 2))
+    made = []
+    for strict, enough in ((0, F.least(F.lit(pages), "voters")), (2, F.lit(pages))):
+        made.append(F.when((F.col("matched") >= enough) & (F.col("equal") >= share * F.col("matched")), code + strict))
+        made.append(F.when((F.col("hinted") >= enough) & (F.col("hinted") >= HINT_SHARE * F.col("voters")), code + strict + 1))
     return (
         found.where("number >= 0")
         .join(voters, ["host", "reference"])
-        .select("host", F.array_compact(F.array(constant, hinted)).alias("codes"))
+        .select("host", F.array_compact(F.array(*made)).alias("codes"))
         .groupBy("host")
         .agg(F.flatten(F.collect_set("codes")).alias("template"))
     )
 
 
+def kept_texts(template: Column) -> Column:
+    """The texts of the blocks that ``template`` (a page's array of codes) leaves, of columns ``texts, codes, named, inside, heading``."""
+    blocks = F.arrays_zip("texts", "codes", "named", "inside", "heading")
+    judged = F.transform(
+        blocks,
+        lambda p: F.struct(p["texts"].alias("text"), F.arrays_overlap(p["codes"], template).alias("constant"), F.arrays_overlap(p["named"], template).alias("named"), p["inside"].alias("inside"), p["heading"].alias("heading")),
+    )
+
+    def chosen(all_: Column) -> Column:
+        varying = F.transform(all_, lambda p, i: F.when(~p["constant"] & ~p["named"], i))
+
+        def of(ends: Column) -> Column:
+            first, last = ends["first"], ends["last"]
+            stays = lambda p, i: p["inside"] & (first.isNull() | (i < last) & ((i > first) | p["heading"]))
+            return F.transform(F.filter(all_, lambda p, i: ~p["named"] & (~p["constant"] | stays(p, i))), lambda p: p["text"])
+
+        return F.transform(F.array(F.struct(F.array_min(varying).alias("first"), F.array_max(varying).alias("last"))), of)[0]
+
+    return F.transform(F.array(judged), chosen)[0]
+
+
 def extract(pages: DataFrame, share: float = TEMPLATE_SHARE) -> DataFrame:
     """Per page ``page_id, url, text``: blocks joined by an empty line.  Pages are parsed and aligned once."""
     ensure_small_batches(pages.sparkSession)
     paired = with_reference(pages).select("page_id", "url", "host", "html", "references")
     aligned = cut(paired.mapInArrow(_aligned(share), _ALIGNED))
     constant = cut(template(aligned.where("reference IS NOT NULL").select("host", "reference", "number", "matched", "equal", "hinted"), share=share))
-    rows = aligned.where("reference IS NULL").select("page_id", "url", "host", "texts", "codes")
+    rows = aligned.where("reference IS NULL").select("page_id", "url", "host", "texts", "codes", "named", "inside", "heading")
     joined = join_side(rows, constant, ["host"], 8 * F.size("template"), spread="page_id")
-    held = F.coalesce("template", F.array(F.lit(_ALONE).cast("bigint")))
-    kept = F.filter(F.arrays_zip("texts", "codes"), lambda p: ~F.arrays_overlap(p["codes"], held))
-    return joined.select("page_id", "url", F.array_join(F.transform(kept, lambda p: p["texts"]), "\n\n").alias("text"))
+    held = F.concat(F.coalesce("template", F.array(F.lit(_ALONE).cast("bigint"))), F.array(F.lit(_NAMED).cast("bigint")))
+    return joined.withColumn("held", held).select("page_id", "url", F.array_join(kept_texts(F.col("held")), "\n\n").alias("text"))
 
 
 def op8_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -112,3 +112,47 @@ def test_shapes_are_held_across_pages():
         a.tag = b.tag = "body"
         pairs = shapes.pairs(a, shapes.of(html.flat(a)), b, shapes.of(html.flat(b)))
         assert len(pairs) == _best(a, b)
+
+
+QUOTE = "<p>The same words, quoted on both pages, belong to the story</p>"
+
+
+def test_blocks_that_a_host_repeats_amid_its_articles_stay(spark):
+    """A quotation on both pages of a host, and the headings of eight recipes."""
+    story = "<body><article><h1>Title {0}</h1><p>Before {0}</p>{1}<p>Behind {0}</p></article></body>".format
+    recipe = "<body><main><h1>Dish {0}</h1><h2>Ingredients</h2><ul><li>{0} eggs</li></ul><h2>Method</h2><p>Boil for {0} hours</p><p>Follow our kitchen</p></main></body>".format
+    got = _extract(spark, [(i, f"http://q.com/{i}", story(i, QUOTE)) for i in (1, 2)] + [(i, f"http://r.com/{i}", recipe(i)) for i in range(10, 18)])
+    assert all("quoted on both pages" in got[i] for i in (1, 2))
+    assert all(got[i] == f"Dish {i}\n\nIngredients\n\n{i} eggs\n\nMethod\n\nBoil for {i} hours" for i in range(10, 18))
+
+
+TEN = ['div class="social"', 'div id="notice"', 'div id="header"', 'div class="share"', 'div class="ad"', 'div id="reply"', 'div class="modal"', 'div class="widget"', 'section id="promotion"', 'div class="story banner"']
+
+
+def test_a_name_alone_deletes_nothing_in_an_article(spark):
+    page = "<body><article><h1>Head {0}</h1><{1}><p>Kept text {0}</p></{2}><p>Last words {0}</p></article></body>".format
+    rows = [(k, f"http://{host}.com/{k}", page(k, tag, tag.split()[0])) for k, tag in enumerate(TEN) for host in ("t", f"t{k}")]
+    rows += [(k + 20, f"http://u{k // 2}.com/{k}", page(k + 20, 'div class="story banner"', "div")) for k in range(2)]
+    texts = [(r["page_id"], r["text"]) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert len(texts) == 22 and all(t == f"Head {k}\n\nKept text {k}\n\nLast words {k}" for k, t in texts)
+
+
+def test_names_decide_where_nothing_marks_content(spark):
+    page = "<body><div class='ad'><p>Buy {0}</p></div><div><p>Story {0}</p></div></body>".format
+    got = _extract(spark, [(i, f"http://m{i % 2}.com/{i}", page(i)) for i in range(3)])
+    assert all(t == f"Story {i}" for i, t in got.items())
+
+
+def test_comment_articles_go(spark):
+    comment = ['<article class="comment"><p>First!</p></article>', '<div class="comments"><p>First!</p></div>', '<article itemprop="comment"><p>First!</p></article>', '<article itemtype="https://schema.org/Comment"><p>First!</p></article>']
+    rows = [(k, f"http://c{k}.com/", f"<body><article><p>Story {k}</p>{c}</article></body>") for k, c in enumerate(comment)]
+    rows += [(k + 10, f"http://c{k}.org/", f"<body><article><p>Story {k + 10}</p></article>{c}</body>") for k, c in enumerate(comment)]
+    rows += [(20, "http://d.com/", '<body><article class="comment"><p>Story 20</p></article></body>')]
+    assert all(t == f"Story {i}" for i, t in _extract(spark, rows).items())
+
+
+def test_alignment_decides_within_articles(spark):
+    """A notice and a closing line that a host repeats around its texts go, in pages that markup does not tell apart."""
+    page = "<body><article><p>You are reading our archive</p><h1>Head {0}</h1><p>Text {0}</p><p>All rights stay with us</p><h4>More</h4></article></body>".format
+    got = _extract(spark, [(i, f"http://w.com/{i}", page(i)) for i in range(9)] + [(20 + i, f"http://x.com/{i}", page(20 + i)) for i in range(3)])
+    assert all(got[i] == f"Head {i}\n\nText {i}" for i in range(9)) and all("archive" in got[i] and "rights" in got[i] for i in range(20, 23))
