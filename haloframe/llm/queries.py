@@ -52,24 +52,34 @@ WITH RECURSIVE parts AS (
          arg_max(verdict, length(rule_host || rule_path)) AS verdict
   FROM hosts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
   GROUP BY ALL
-), tags AS (
-  SELECT host, path, query, scheme, regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0) AS canonical,
-         regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0) AS refresh
+), said AS (
+  SELECT host, path, query, scheme, regexp_replace(html, '(?s)<!--.*?(-->|\z)', '', 'g') AS html
   FROM hosts WHERE host <> '' AND (contains(lower(html), 'canonical') OR contains(lower(html), 'refresh'))
+), tags AS (
+  SELECT host, path, query, scheme, unnest(regexp_extract_all(html, '(?is)<(link|meta)\s("[^"]*"|''[^'']*''|[^"''>])*>')) AS tag FROM said
+), read AS (
+  SELECT host, path, query, scheme, lower(tag[2:5]) AS kind, list_transform(regexp_extract_all(tag, '(?s)[\s"'']([^\s"''<>/=]+)\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), lambda x: lower(x)) AS names,
+         list_transform(regexp_extract_all(tag, '(?s)[\s"'']([^\s"''<>/=]+)\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 2), lambda x: regexp_replace(x, '^["'']|["'']$', '', 'g')) AS vals FROM tags
 ), hrefs AS (
-  SELECT host, path, query, scheme, replace(regexp_extract(canonical, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), '&amp;', '&') AS link FROM tags
-  UNION ALL SELECT host, path, query, scheme, replace(regexp_extract(refresh, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1), '&amp;', '&') FROM tags
+  SELECT host, path, query, scheme, replace(CASE
+         WHEN kind = 'link' AND list_contains(string_split_regex(lower(vals[list_position(names, 'rel')]), '\s+'), 'canonical') THEN regexp_replace(vals[list_position(names, 'href')], '^\s+|\s+$', '', 'g')
+         WHEN kind = 'meta' AND trim(lower(vals[list_position(names, 'http-equiv')])) = 'refresh' THEN regexp_extract(vals[list_position(names, 'content')], '(?is)\burl\s*=\s*["'']?\s*([^"''\s]+)', 1)
+         END, '&amp;', '&') AS link FROM read
 ), targets AS (
-  SELECT host || path || query AS a, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN scheme || ':' || link
+  SELECT host || path || query AS a, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN starts_with(link, '//') THEN scheme || ':' || link
          WHEN starts_with(link, '/') THEN scheme || '://' || host || link WHEN starts_with(link, '?') THEN scheme || '://' || host || path || link
          WHEN starts_with(link, '#') THEN scheme || '://' || host || path || query || link
          ELSE scheme || '://' || host || CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*/)?') ELSE '/' END || link END AS link
   FROM hrefs WHERE link <> ''
 ), rests AS (SELECT a, substr(link, strpos(link, '://') + 3) AS rest FROM targets),
-edges AS (
-  SELECT DISTINCT a, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-         || regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) || regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) AS b
-  FROM rests WHERE regexp_extract(rest, '^[^/?#]*') <> ''
+ends AS (
+  SELECT a, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) AS query FROM rests WHERE regexp_extract(rest, '^[^/?#]*') <> ''
+), edges AS (
+  SELECT DISTINCT a, host || CASE WHEN contains(path, '/.') THEN '/' || array_to_string(list_concat(list_reduce(
+           list_concat([[]::VARCHAR[]], list_transform(string_split(path, '/')[2:], lambda x: [x])),
+           lambda h, x: CASE x[1] WHEN '..' THEN h[:len(h) - 1] WHEN '.' THEN h ELSE list_concat(h, x) END),
+         CASE WHEN string_split(path, '/')[-1] IN ('.', '..') THEN [''] ELSE [] END), '/') ELSE path END || query AS b FROM ends
 ), links AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
 nodes AS (SELECT DISTINCT a AS node, regexp_extract(a, '^[^/?#]*') AS host, regexp_extract(a, '^[^/?#]*([^?#]*)', 1) AS path FROM links),

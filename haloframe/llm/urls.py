@@ -6,8 +6,9 @@ link targets are nodes (host, path and query), redirect (``meta refresh``) and c
 edges, and a connected component that holds a blocked node blocks its members.  An explicit allow
 of a page's own rule always stays.  What is left is allowed.
 
-A relative link is resolved against the page's url as far as ``//``, ``/``, ``?`` and ``#`` at its start or its
-folder go; ``..`` is not followed.
+All canonical and refresh links of a page count, but for those within comments.  Tags are read attribute by attribute, ``rel`` as a
+list of words.  A relative link is resolved against the page's url (``//``, ``/``, ``?``, ``#`` at its start, or its folder), and
+``.`` and ``..`` are followed in every target's path.  Of character references only ``&amp;`` is decoded; ``base`` elements are not read.
 
 Nulls: a null url, or one without ``://``, has an empty host and path, fits no rule, is no node and is
 allowed; null html has no links; a null id is kept.  Repeated rows are each judged.  Html of any length is read
@@ -62,34 +63,62 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
+#: A comment; a tag of a link or a meta element; an attribute with its value.  Without backtracking, so that long tags do not recurse.
+COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+TAG = r"""(?is)<(?:link|meta)\s(?:"[^"]*"|'[^']*'|[^"'>])*+>"""
+ATTRIBUTE = r"""(?s)[\s"']([^\s"'<>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def _value(attributes: Column, name: str) -> Column:
+    """The first value of an attribute of that name, without its quotes."""
+    own = F.filter(attributes, lambda p: F.lower(p["names"]) == name)
+    return F.regexp_replace(F.get(own, F.lit(0))["values"], r"""^["']|["']$""", "")
+
+
+def without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` followed."""
+    parts = F.slice(F.split(path, "/"), 2, F.size(F.split(path, "/")))
+    last = F.element_at(F.split(path, "/"), -1)
+    up = lambda held: F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda held, x: F.when(x == "..", up(held)).when(x == ".", held).otherwise(F.concat(held, F.array(x))))
+    whole = F.concat(kept, F.when(last.isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
+    return F.when(path.contains("/."), F.concat(F.lit("/"), F.array_join(whole, "/"))).otherwise(path)
+
+
 def links_of(pages: DataFrame) -> DataFrame:
     """Edges ``(a, b)`` between nodes: each page and the targets of its redirect and canonical links.
 
     Every step names its columns, so that no expression is worked out twice.
     """
-    canonical = F.regexp_extract("html", r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
-    refresh = F.regexp_extract("html", r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
     likely = F.coalesce(F.lower("html").contains("canonical") | F.lower("html").contains("refresh"), F.lit(False))
-    target = F.regexp_extract("canonical", r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    moved = F.regexp_extract("refresh", r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)""", 1)
-    url, link = F.col("url"), F.replace("link", F.lit("&amp;"), F.lit("&"))
-    tags = pages.where(likely).select("url", canonical.alias("canonical"), refresh.alias("refresh"))
-    links = tags.select("url", F.explode(F.array(target, moved)).alias("link")).where("link <> ''").select("url", link.alias("link"))
+    said = pages.where(likely).select("url", F.regexp_replace("html", COMMENT, "").alias("html"))
+    tags = said.select("url", F.explode(F.regexp_extract_all("html", F.lit(TAG), F.lit(0))).alias("tag"))
+    names, values = (F.regexp_extract_all("tag", F.lit(ATTRIBUTE), F.lit(k)).alias(n) for k, n in ((1, "names"), (2, "values")))
+    read = tags.select("url", F.lower(F.substring("tag", 2, 4)).alias("kind"), names, values).select("url", "kind", F.arrays_zip("names", "values").alias("all"))
+    own = read.select("url", "kind", *[_value(F.col("all"), n).alias(c) for n, c in (("rel", "rel"), ("href", "href"), ("http-equiv", "equiv"), ("content", "content"))])
+    canonical = (F.col("kind") == "link") & F.array_contains(F.split(F.lower("rel"), r"\s+"), "canonical")
+    refresh = (F.col("kind") == "meta") & (F.trim(F.lower("equiv")) == "refresh")
+    moved = F.regexp_extract("content", r"""(?is)\burl\s*=\s*["']?\s*([^"'\s]+)""", 1)
+    found = own.select("url", F.when(canonical, F.regexp_replace("href", r"^\s+|\s+$", "")).when(refresh, moved).alias("link")).where("link <> ''")
+    url = F.col("url")
+    links = found.select("url", F.replace("link", F.lit("&amp;"), F.lit("&")).alias("link"))
     parts = links.select("link", F.regexp_extract("url", "^([^:]*)://", 1).alias("scheme"), host_of(url).alias("host"), path_of(url).alias("path"), query_of(url).alias("query"))
     known = parts.where("host <> ''")
     site = F.concat(F.col("scheme"), F.lit("://"), F.col("host"))
     folder = F.when(F.col("path").contains("/"), F.regexp_extract("path", "^(.*/)?", 0)).otherwise("/")
     start = lambda x: F.col("link").startswith(x)
     absolute = (
-        F.when(F.col("link").contains("://"), F.col("link"))
+        F.when(F.col("link").rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("link"))
         .when(start("//"), F.concat("scheme", F.lit(":"), "link"))
         .when(start("/"), F.concat(site, "link"))
         .when(start("?"), F.concat(site, "path", "link"))
         .when(start("#"), F.concat(site, "path", "query", "link"))
         .otherwise(F.concat(site, folder, "link"))
     )
+    link = F.col("link")
     ends = known.select(F.concat("host", "path", "query").alias("a"), absolute.alias("link"))
-    return ends.select("a", node_of(F.col("link")).alias("b")).where("b IS NOT NULL").distinct()
+    split = ends.select("a", host_of(link).alias("host"), path_of(link).alias("path"), query_of(link).alias("query")).where("host <> ''")
+    return split.select("a", F.concat("host", without_dots(F.col("path")), "query").alias("b")).distinct()
 
 
 def judge(pages: DataFrame, edges: DataFrame, rules=RULES) -> DataFrame:
