@@ -25,6 +25,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     """The stages in order, each written as Parquet in the shared folder and read again.
 
+    Null texts are empty, rows with a null id are documents like others, and repeated rows are one group of copies; each stage's module says what
+    it makes of them.  Columns besides those of ``documents`` are carried up to the last stage.  An empty table gives no pieces.
+
     Given the ``folder`` of a run that broke off, it goes on behind the last stage that was finished there.  Folders are
     left for whoever named them, or the checkpoint folder, to clear.
     """

@@ -9,7 +9,8 @@ the tuples' hashes.  Two texts' likeness is the share of equal ones.
 Nulls: a null text is empty.  A text without words has no tuples; two such are alike (1.0), one such and
 another text are not (0.0).  Texts of any length are used whole.  A null id has no next document: its
 edited text has lost its last quarter and its likeness to the next is null.  Rows sharing an id have
-the same next document, which is the first text (in text order) of the next larger id.
+the same next document, which is the first text (in text order) of the next larger id.  Repeated rows give equal rows each.
+Columns besides ``doc_id`` and ``text`` are not read, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations

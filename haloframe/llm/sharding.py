@@ -10,6 +10,7 @@ for many capacities at once; as soon as few enough prefix sums lie where cuts ca
 Nulls: a null text has size 1 and checksum 0 and is equal to other null texts only; null ids are
 placed like others.  Repeated rows each get a slot.  With fewer groups than shards, shards stay
 empty; an empty table gives no rows.  One group larger than a fair share makes the largest shard.
+Texts of any length are measured and hashed whole.  Columns besides ``doc_id`` and ``text`` are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -61,7 +61,8 @@ def test_sharding(spark, tmp_path, long_docs):
 def test_decontamination(spark, long_docs):
     bench = _wide(spark.createDataFrame([(1, LONG[0][:400]), (2, LONG[1][-3000:]), (2, LONG[1][-3000:])], "item_id long, text string"))
     got = sorted((r["doc_id"], r["item_id"]) for r in tiling.contaminated(_wide(long_docs), bench).collect())
-    assert got == [(k, i) for k in (1, 2, 3, 4) for i in ((1,) if k in (1, 4) else (1, 2, 2))] or {g for g in got} >= {(1, 1), (2, 2), (3, 2), (4, 1)}
+    # Words repeat after 69,811, so the shorter text holds the end of the longer one too; an item row that is given twice counts twice.
+    assert got == [(k, i) for k in (1, 2, 3, 4) for i in (1, 2, 2)]
     assert tiling.contaminated(long_docs.limit(0), bench).count() == 0
     assert {r["doc_id"] for r in tiling.clean(long_docs, bench).collect()} == {5, 6, None}
 
