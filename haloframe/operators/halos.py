@@ -47,12 +47,12 @@ def near_boxes(particles: DataFrame, boxes: DataFrame, halo: float, dims=POSITIO
     """
     keys = ["level", *[f"k{d}" for d in dims]]
     index = cut(file_boxes(boxes, halo, dims))
-    levels = [row["level"] for row in index.select("level").distinct().collect()]  # at most MOST_LEVELS
+    filed = {row["level"]: row["count"] for row in index.groupBy("level").count().collect()}  # at most MOST_LEVELS rows
     edge = F.lit(halo) * F.pow(F.lit(2.0), "level")
-    looked = particles.where(reduce(Column.__and__, [F.col(d).isNotNull() for d in dims])).withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    looked = particles.where(reduce(Column.__and__, [F.col(d).isNotNull() for d in dims])).withColumn("level", F.explode(F.array(*map(F.lit, filed)).cast("array<int>")))
     looked = looked.withColumns({f"k{d}": F.floor(F.col(d) / edge) for d in dims})
     near = [(F.col(d) + halo >= F.col(f"{d}lo")) & (F.col(d) - halo <= F.col(f"{d}hi")) for d in dims]
-    if index.count() <= most:
+    if sum(filed.values()) <= most:
         joined = looked.join(F.broadcast(index), keys)
     else:
         counts = cut(looked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))

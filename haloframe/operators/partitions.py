@@ -52,7 +52,7 @@ def quantiles(rows: DataFrame, dim: str, shares: list[float], part: str = "part"
 
 def by_stripes(particles: DataFrame, parts: int, dim: str = "x") -> DataFrame:
     """``part`` by quantiles of one coordinate; the quantiles are one row."""
-    ends = quantiles(particles.withColumn("whole", F.lit(0)), dim, [k / parts for k in range(1, parts)], "whole").select("ends")
+    ends = cut(quantiles(particles.withColumn("whole", F.lit(0)), dim, [k / parts for k in range(1, parts)], "whole").select("ends"))  # used wherever the parts are
     return particles.crossJoin(F.broadcast(ends)).withColumn("part", F.size(F.filter("ends", lambda q: q < F.col(dim)))).drop("ends")
 
 

@@ -50,11 +50,11 @@ def chain(pointers: DataFrame) -> DataFrame:
     jumps = cut(pointers.where("iteration IS NOT NULL AND next IS NOT NULL"))
     reached = cut(pointers.where("iteration IS NULL AND next IS NOT NULL").select("run", F.col("next").alias("iteration")))
     while True:
-        further = reached.join(jumps, ["run", "iteration"]).select("run", F.col("next").alias("iteration"))
-        more = cut(reached.unionByName(further))
-        if more.count() == reached.count():  # places reached are distinct: pointers lead upwards, each round twice as far
+        # Places reached are distinct: pointers lead upwards, each round twice as far.
+        further = cut(reached.join(jumps, ["run", "iteration"]).select("run", F.col("next").alias("iteration")))
+        if further.isEmpty():
             return reached
-        reached = more
+        reached = cut(reached.unionByName(further))
         ahead = jumps.select("run", F.col("iteration").alias("next"), F.col("next").alias("beyond"))
         jumps = cut(jumps.join(ahead, ["run", "next"]).select("run", "iteration", F.col("beyond").alias("next")))
 
