@@ -28,6 +28,8 @@ DELAY = "1 day"
 #: 2024-01-01 00:00:00 UTC, where iteration 0 begins.
 EPOCH = 1704067200
 CLOSED = "run bigint, iteration bigint, max_it double, min_it double, sum_it double, lb_interval_time double, decision boolean"
+#: State stores of each operator of a stream, which keeps their number for life; each holds its share of the runs.
+STORES = 4
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -87,10 +89,11 @@ def decide(rows: DataFrame, cost: float, delay: str = DELAY, ranks: int = RANKS,
     )
 
 
-def run_stream(spark: SparkSession, folder: str, schema: str, cost: float, delay: str = DELAY) -> DataFrame:
+def run_stream(spark: SparkSession, folder: str, schema: str, cost: float, delay: str = DELAY, stores: int = STORES) -> DataFrame:
     """The files of ``folder``, in order of their age, through ``decide`` to their end; each is a batch."""
-    session = spark.newSession()  # the state store is a setting of the stream's session alone
+    session = spark.newSession()  # what stores there are is a setting of the stream's session alone
     session.conf.set(_STORE, _ROCKSDB)
+    session.conf.set("spark.sql.shuffle.partitions", stores)
     out = f"{shared_folder(spark)}/late-{uuid4()}"
     stream = session.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
     writer = decide(stream, cost, delay).writeStream.format("parquet").option("path", f"{out}/closed").option("checkpointLocation", f"{out}/log")
@@ -116,10 +119,10 @@ def arrive(rows: DataFrame, folder: str, batches: int, late: int) -> None:
     last.write.mode("append").parquet(folder)
 
 
-def replay(rows: DataFrame, cost: float, batches: int = 6, late: int = 80_000, delay: str = DELAY) -> DataFrame:
+def replay(rows: DataFrame, cost: float, batches: int = 6, late: int = 80_000, delay: str = DELAY, stores: int = STORES) -> DataFrame:
     """``CLOSED`` of ``run, rank, ts, value`` (runs from 0), which arrive late and out of order, but within ``delay``."""
     spark = rows.sparkSession
     folder = f"{shared_folder(spark)}/arrived-{uuid4()}"
     arrive(rows, folder, batches, late)
     schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
-    return run_stream(spark, folder, schema, cost, delay).where("run >= 0")
+    return run_stream(spark, folder, schema, cost, delay, stores).where("run >= 0")
