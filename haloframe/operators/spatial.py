@@ -1,7 +1,8 @@
 """Cells, bounding boxes and the neighbour self-join.
 
 The join replicates each receiver to its 3**N neighbour cells and joins on the cell key: an equi-join
-that Spark shuffles or broadcasts, never a product.  Skewed cells are left to adaptive skew handling.
+that Spark shuffles or broadcasts, never a product.  Skewed cells are left to adaptive skew handling; forces and the pair
+list go by ``blocks`` instead.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haloframe.functions.vectors import lj_coefficient
+from haloframe.operators.blocks import force_parts
 from haloframe.operators.scan import blocked, scan
 from haloframe.sources.particles import POSITION
 
@@ -92,18 +93,14 @@ def neighbour_pairs(receivers: DataFrame, sources: DataFrame, dims=POSITION) ->
     return around.join(there, keys).where("gid <> gid_s")
 
 
-def force_sums(receivers: DataFrame, sources: DataFrame, eps: float, sig: float, dims=POSITION, unary: dict[str, Column] | None = None, pairs_of=neighbour_pairs) -> DataFrame:
+def force_sums(receivers: DataFrame, sources: DataFrame, eps: float, sig: float, dims=POSITION, unary: dict[str, Column] | None = None) -> DataFrame:
     """Per receiver ``gid`` the summed force ``f<dim>``, on top of the ``unary`` one, and its interactions, itself counted.
 
-    Only ids, positions and cells are copied to the neighbour cells.  Every receiver adds a row of its own to the
-    sums, so those without neighbours stay without a second join.  ``pairs_of`` is the join (``stencil.split_pairs`` where
-    a few cells hold much of all rows).
+    Pairs are made and summed by blocks (``blocks.force_parts``), so no row is made for one.  Every receiver adds a row of its own to
+    the sums, so those without neighbours stay without a second join.
     """
-    pairs = pairs_of(receivers.select("gid", *dims, *[f"c{d}" for d in dims]), sources, dims)
-    r2 = reduce(lambda a, b: a + b, [(F.col(d) - F.col(f"{d}_s")) * (F.col(d) - F.col(f"{d}_s")) for d in dims])
-    weighed = pairs.withColumn("k", lj_coefficient(r2, eps, sig))
+    each = force_parts(receivers, sources, eps, sig, dims)
     one = F.lit(1).cast("bigint").alias("interactions")
-    each = weighed.select("gid", *[(F.col("k") * (F.col(d) - F.col(f"{d}_s"))).alias(f"f{d}") for d in dims], one)
     own = receivers.select("gid", *[(unary[d] if unary else F.lit(0.0)).alias(f"f{d}") for d in dims], one)
     return each.unionByName(own).groupBy("gid").agg(*[F.sum(f"f{d}").alias(f"f{d}") for d in dims], F.sum("interactions").alias("interactions"))
 

@@ -64,9 +64,9 @@ def orders_part_interactions(spark, d):
     + ", coalesce(n, 0) + 1 AS interactions FROM p LEFT JOIN f USING (gid)"
 )
 def lj_force_split(spark, d):
-    """Pair forces with the crowded cells of the join dealt out."""
+    """Pair forces with crowded cells dealt out, as every force query does it: by blocks."""
     own = celled(spark, d).select("gid", *POSITION, "cx", "cy", "cz")
-    return rounded(spatial.force_sums(own, own, 1.0, SIG, pairs_of=stencil.split_pairs), ["gid", "interactions"], ["fx", "fy", "fz"])
+    return rounded(spatial.force_sums(own, own, 1.0, SIG), ["gid", "interactions"], ["fx", "fy", "fz"])
 
 
 # Halos of many parts
