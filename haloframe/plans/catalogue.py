@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haloframe.functions import vectors as V
-from haloframe.operators import metrics, partitions, physics, search, spatial, stencil
+from haloframe.operators import blocks, metrics, partitions, physics, search, spatial, stencil
 from haloframe.sources import particles as sources
 from haloframe.sources import traces
 from haloframe.sources.particles import POSITION
@@ -154,7 +154,7 @@ for _dims in ("xy", "xyz"):
 @query(f"WITH {P} SELECT a.gid AS gid_a, b.gid AS gid_b FROM c a JOIN c b ON {_near('xyz')}")
 def pair_list(spark, d):
     own = celled(spark, d)
-    return spatial.neighbour_pairs(own, own).select(F.col("gid").alias("gid_a"), F.col("gid_s").alias("gid_b"))
+    return blocks.id_pairs(own, own).select(F.col("gid").alias("gid_a"), F.col("gid_s").alias("gid_b"))
 
 
 # Time stepping
