@@ -10,10 +10,12 @@ import io
 import posixpath
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from uuid import uuid4
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import SparkSession
@@ -24,6 +26,10 @@ from haloframe.sources.sinks import HEADERS
 
 SPLIT_BYTES = 64 << 20
 BATCH_LINES = 8_192
+READ_BYTES = 1 << 20
+LEAST_TASKS, TASK_BYTES = 64, 64 << 20
+#: Numbers that Arrow reads as Python does.
+PLAIN = r"^-?[0-9]{1,300}(\.[0-9]{1,300})?([eE][+-]?[0-9]{1,2})?$"
 _FRAME = re.compile(r"frame=(-?[0-9]+)")
 
 
@@ -38,6 +44,7 @@ class Range(api.InputPartition):
     frame: int | None
     start: int
     end: int
+    more: tuple[Range, ...] = ()  # further ranges that the same task reads
 
 
 def _pushed(test: api.Filter, columns: tuple[str, ...]) -> bool:
@@ -99,26 +106,31 @@ class LineReader(api.DataSourceReader):
             frame = int(m[1]) if (m := _FRAME.search(name)) else None
             if all(_fits(frame, test) for column, test in self.tests if column == "frame"):
                 ranges += [Range(prefix + file.path, frame, at, min(at + self.split, file.size)) for at in range(0, file.size, self.split)]
-        return ranges or [Range("", None, 0, 0)]
+        # Starting a task costs far more than a short range: beyond LEAST_TASKS of them, one reads several, TASK_BYTES in all.
+        each = max(1, min(len(ranges) // LEAST_TASKS, TASK_BYTES // self.split))
+        return [replace(ranges[k], more=tuple(ranges[k + 1 : k + each])) for k in range(0, len(ranges), each)] or [Range("", None, 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
+        for own in (partition, *partition.more):
+            if own.path:
+                yield from self._read(own)
+
+    def _read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         own = [(self.dims.index(column), test) for column, test in self.tests if column != "frame"]
         names = [*self.dims, "malformed", "frame"]
-        kinds = [pa.float64()] * len(self.dims) + [pa.string(), pa.int32()]
-        held: list[tuple] = []
-        for line in self._lines(partition):
-            row, bad = parse(line, len(self.dims))
-            if all(_fits(row[k], test) for k, test in own):
-                held.append((*row, line if bad else None, partition.frame))
-            if len(held) >= BATCH_LINES:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
-                held = []
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
-
-    def _lines(self, partition: Range) -> Iterator[str]:
+        for lines in self._lines(partition):
+            values, bad = parsed(lines, len(self.dims))
+            kept = np.ones(len(lines), bool)
+            for k, test in own:
+                kept &= _fitting(values[k], test)
+            frames = pa.array(np.full(len(lines), partition.frame or 0, np.int32), mask=np.full(len(lines), partition.frame is None))
+            malformed = pc.if_else(pa.array(bad), lines, pa.scalar(None, pa.string()))
+            whole = pa.RecordBatch.from_arrays([*values, malformed, frames], names=names).filter(pa.array(kept))
+            for at in range(0, len(whole), BATCH_LINES):
+                yield whole.slice(at, BATCH_LINES)
+
+    def _lines(self, partition: Range) -> Iterator[pa.StringArray]:
+        """The lines that begin in a range, some ``READ_BYTES`` at a time."""
         system, path = opened(partition.path)
         with system.open_input_file(path) as raw, io.BufferedReader(raw, 1 << 20) as file:
             at = partition.start
@@ -126,10 +138,48 @@ class LineReader(api.DataSourceReader):
                 file.seek(at - 1)
                 at += len(file.readline()) - 1
             file.seek(at)
-            while at < partition.end and (line := file.readline()):
-                first, at = at == 0, at + len(line)
-                if not (first and self.header):
-                    yield line.rstrip(b"\r\n").decode("utf-8", "replace")
+            if not at and self.header:
+                at += len(file.readline())
+            while at < partition.end and (text := file.read(min(READ_BYTES, partition.end - at))):
+                if not text.endswith(b"\n"):
+                    text += file.readline()
+                at += len(text)
+                lines = pa.array(text.decode("utf-8", "replace").removesuffix("\n").split("\n"), pa.string())
+                yield pc.utf8_rtrim(lines, "\r")
+
+
+def _fitting(values: pa.DoubleArray, test: api.Filter) -> np.ndarray:
+    """``_fits`` of each value."""
+    known, v = np.asarray(values.is_valid()), values.fill_null(0.0).to_numpy()
+    if isinstance(test, api.IsNotNull):
+        return known
+    if isinstance(test, api.In):
+        return known & np.isin(v, list(test.value))
+    if isinstance(test, api.EqualTo):
+        return known & (v == test.value)
+    if isinstance(test, api.GreaterThan):
+        return known & ((v > test.value) | np.isnan(v))
+    if isinstance(test, api.GreaterThanOrEqual):
+        return known & ((v >= test.value) | np.isnan(v))
+    return known & (v < test.value if isinstance(test, api.LessThan) else v <= test.value)
+
+
+def parsed(lines: pa.StringArray, fields: int) -> tuple[list[pa.DoubleArray], np.ndarray]:
+    """``parse`` of many lines: plain numbers are read at once, only lines with another field go through ``parse``."""
+    parts = pc.split_pattern(lines, ",", max_splits=fields)
+    sizes, starts, texts = parts.value_lengths().to_numpy(), parts.offsets.to_numpy()[:-1], parts.values
+    values, odd = [], np.zeros(len(lines), bool)
+    for k in range(fields):
+        text = texts.take(pa.array(starts + k, mask=sizes <= k))
+        plain = pc.fill_null(pc.match_substring_regex(text, PLAIN), False)
+        values.append(pc.cast(pc.if_else(plain, text, pa.scalar(None, pa.string())), pa.float64()))
+        odd |= np.asarray(text.is_valid()) & ~np.asarray(plain)
+    bad, rows = np.zeros(len(lines), bool), np.flatnonzero(odd)
+    if len(rows):
+        read = [parse(line, fields) for line in lines.take(pa.array(rows)).to_pylist()]
+        bad[rows] = [b for _, b in read]
+        values = [pc.replace_with_mask(v, pa.array(odd), pa.array([r[k] for r, _ in read], pa.float64())) for k, v in enumerate(values)]
+    return values, bad
 
 
 def parse(line: str, fields: int) -> tuple[list[float | None], bool]:

@@ -94,3 +94,26 @@ def test_series_stand_in_order(spark, tmp_path):
         with open(f"{tmp_path}/metric=time/{name}") as file:
             text += file.read()
     assert text.split() == [str(2 * k) for k in range(1000)] and len(os.listdir(f"{tmp_path}/metric=time")) > 1
+
+
+def test_lines_are_parsed_at_once(monkeypatch):
+    """Each line as ``parse`` reads it, bit by bit; lines of plain numbers do not go through it."""
+    odd = ["", "7,8", "x,1,2", "1_0,2,3", " 5 ,6,7", "nan,-inf,1e400", "1e5,-2E-3,+4", ".5,5.,-0", "n/a,2", "1,2,", "é,١,3", "1\r2,3,4", "0x1,1,1", "1,2,3\n"]
+    plain = ["1,2,3", "0.1,1e-3,-0.30000000000000004,9,x", "123456789012345678901234567890,2.2250738585072011e-30,9007199254740993", "4.35,-0.0"]
+    lines = odd + plain
+    values, bad = files.parsed(files.pa.array(lines), 3)
+    want = [files.parse(line, 3) for line in lines]
+    assert [(repr([v[k].as_py() for v in values]), bool(bad[k])) for k in range(len(lines))] == [(repr(row), b) for row, b in want]
+    monkeypatch.setattr(files, "parse", None)
+    assert not files.parsed(files.pa.array(plain), 3)[1].any()
+    assert len(files.parsed(files.pa.array([], "string"), 3)[1]) == 0
+
+
+def test_many_ranges_make_few_tasks(tmp_path):
+    """A task each cost most of the time; every line is still read once."""
+    _write(tmp_path, {f"frame={f}/part": b"".join(f"{f},{j},1\n".encode() for j in range(500)) for f in range(3)})
+    reader = files.LineReader({"path": str(tmp_path), "splitBytes": "8"}, ("x", "y", "z"))
+    tasks = reader.partitions()
+    assert 64 <= len(tasks) < 128
+    got = Counter((r["frame"], r["x"], r["y"]) for p in tasks for b in reader.read(p) for r in b.to_pylist())
+    assert got == Counter({(f, float(f), float(j)): 1 for f in range(3) for j in range(500)})
