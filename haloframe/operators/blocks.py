@@ -3,7 +3,8 @@
 The pairs of a short-range force grow with the square of the density, and a row for each of them costs far more than its arithmetic.
 Here a cell's particles are dealt into blocks of about ``BLOCK`` rows, blocks of neighbouring cells are joined, and the pairs of blocks
 are dealt out evenly, whichever cells they are of.  So a task holds some blocks at a time, no crowded cell lands in one task, and the
-pairs themselves are made where they are used.
+pairs themselves are made where they are used.  Where receivers and sources are the same rows, two blocks meet once: what one particle
+does to another is what that does to it, turned round.
 
 Rows without an id or without a cell meet nothing.
 """
@@ -36,17 +37,25 @@ def blocks(rows: DataFrame, held: Column, dims=POSITION, block: int = BLOCK) ->
     return own.groupBy(*cells, "block").agg(F.collect_list("held").alias("held"))
 
 
-def block_pairs(receivers: DataFrame, sources: DataFrame, held: Column, dims=POSITION, block: int = BLOCK) -> DataFrame:
+def block_pairs(receivers: DataFrame, sources: DataFrame, held: Column, dims=POSITION, block: int = BLOCK, once: bool = False) -> DataFrame:
     """``mine, theirs``: the blocks of receivers with each block of sources in a neighbouring cell, dealt out by hashes of both.
 
-    Full blocks make the same number of pairs a byte, so what Spark deals out by bytes is dealt out by pairs.
+    Full blocks make the same number of pairs a byte, so what Spark deals out by bytes is dealt out by pairs.  If receivers and
+    sources are the same rows, two blocks can meet ``once``: ``twice`` then tells those that stand for both orders from a block with itself.
     """
     cells = [f"c{d}" for d in dims]
-    mine = blocks(receivers, held, dims, block).withColumnRenamed("held", "mine").withColumns({f"{c}_r": F.col(c) for c in cells})
+    own = [f"{c}_r" for c in cells]
+    mine = blocks(receivers, held, dims, block).withColumnRenamed("held", "mine").withColumns({r: F.col(c) for r, c in zip(own, cells, strict=True)})
     for c in cells:
         mine = mine.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
     theirs = blocks(sources, held, dims, block).withColumnsRenamed({"held": "theirs", "block": "block_s"})
-    return mine.join(theirs, cells).repartition(*cells, "block_s", *[f"{c}_r" for c in cells], "block").select("mine", "theirs")
+    here, there = F.struct(*own, "block"), F.struct(*cells, "block_s")
+    if once:
+        mine = mine.where(F.struct(*own) <= F.struct(*cells))
+        near = mine.join(theirs, cells).where(here <= there).withColumn("twice", here < there)
+    else:
+        near = mine.join(theirs, cells)
+    return near.repartition(*cells, "block_s", *own, "block").drop(*cells, "block_s", *own, "block")
 
 
 def id_pairs(receivers: DataFrame, sources: DataFrame, dims=POSITION, block: int = ROWS_BLOCK) -> DataFrame:
@@ -56,9 +65,12 @@ def id_pairs(receivers: DataFrame, sources: DataFrame, dims=POSITION, block: int
 
 
 def force_parts(receivers: DataFrame, sources: DataFrame, eps: float, sig: float, dims=POSITION, block: int = BLOCK) -> DataFrame:
-    """``gid, f<dim>, interactions``: for each receiver and each block that it meets, the summed Lennard-Jones force and the pairs."""
+    """``gid, f<dim>, interactions``: for each receiver and each block that it meets, the summed Lennard-Jones force and the pairs.
+
+    Given the same DataFrame as receivers and sources, each two particles' coefficient is computed once.
+    """
     held = F.struct("gid", *[F.col(d).cast("double").alias(d) for d in dims])
-    near = block_pairs(receivers, sources, held, dims, block)
+    near = block_pairs(receivers, sources, held, dims, block, once=receivers is sources)
     kind = receivers.schema["gid"].dataType.simpleString()
 
     def summed(batches):
@@ -69,9 +81,12 @@ def force_parts(receivers: DataFrame, sources: DataFrame, eps: float, sig: float
 
 
 class _Side:
-    """One side's blocks of a batch: where each starts, and the ids and positions of all of them, and which positions are null."""
+    """One side's blocks of a batch: where each starts, and the ids and positions of all of them, and which positions are null.
+
+    Also what each of them gets from the ``other`` side: the force and how many rows it meets.
+    """
 
-    def __init__(self, lists: pa.ListArray):
+    def __init__(self, lists: pa.ListArray, other: pa.ListArray):
         self.sizes = lists.value_lengths().to_numpy()
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.gid, *places = lists.flatten().flatten()
@@ -79,6 +94,8 @@ class _Side:
         self.lost = [np.asarray(p.is_null()) for p in places]
         self.gone = reduce(np.logical_or, self.lost)
         self.at = [p.fill_null(0.0).to_numpy() for p in places]
+        self.force = np.zeros((len(places), len(self.ids)))
+        self.met = np.repeat(other.value_lengths().to_numpy(), self.sizes).astype(np.int64)
 
 
 def _coefficient(apart: list[np.ndarray], eps: float, sig: float, unknown: np.ndarray | None = None) -> np.ndarray:
@@ -99,27 +116,30 @@ def _coefficient(apart: list[np.ndarray], eps: float, sig: float, unknown: np.nd
 
 
 def _sums(batch: pa.RecordBatch, eps: float, sig: float, names: list[str]) -> pa.RecordBatch:
-    mine, theirs = _Side(batch.column(0)), _Side(batch.column(1))
+    mine, theirs = _Side(batch.column(0), batch.column(1)), _Side(batch.column(1), batch.column(0))
+    twice = batch.column(2).to_numpy(zero_copy_only=False) if batch.num_columns > 2 else np.zeros(batch.num_rows, bool)
     if not pa.types.is_integer(mine.gid.type):  # one numbering of both sides' ids
         both = pa.concat_arrays([mine.gid, theirs.gid]).dictionary_encode().indices.to_numpy()
         mine.ids, theirs.ids = both[: len(mine.ids)], both[len(mine.ids) :]
-    force, met = np.zeros((len(names), len(mine.ids))), np.repeat(theirs.sizes, mine.sizes).astype(np.int64)
     large = mine.sizes.astype(np.int64) * theirs.sizes > AT_ONCE // 4
     for k in np.flatnonzero(large):
         own, other = (slice(s.starts[k], s.starts[k] + s.sizes[k]) for s in (mine, theirs))
-        _dense(mine, theirs, own, other, force, met, eps, sig)
+        _dense(mine, theirs, own, other, twice[k], eps, sig)
     # Small pairs of blocks are put together, a row for each pair of particles.
     rows = np.flatnonzero(~np.repeat(large, mine.sizes))
-    ends = np.cumsum(met[rows])
-    first = np.repeat(theirs.starts, mine.sizes)
+    sizes, first, turned = (np.repeat(x, mine.sizes) for x in (theirs.sizes, theirs.starts, twice))
+    ends = np.cumsum(sizes[rows])
     cuts = np.searchsorted(ends, np.arange(AT_ONCE, ends[-1] if len(ends) else 0, AT_ONCE), "left")
     for part in np.split(rows, np.unique(cuts)):
         if len(part):
-            _flat(mine, theirs, part, first[part], force, met, eps, sig)
-    return pa.RecordBatch.from_arrays([mine.gid, *map(pa.array, force), pa.array(met)], names=["gid", *names, "interactions"])
+            _flat(mine, theirs, part, sizes[part], first[part], turned[part], eps, sig)
+    back = np.repeat(twice, theirs.sizes)
+    gid = pa.concat_arrays([mine.gid, theirs.gid.filter(pa.array(back))])
+    sums = [np.concatenate([a, b[back]]) for a, b in zip((*mine.force, mine.met), (*theirs.force, theirs.met), strict=True)]
+    return pa.RecordBatch.from_arrays([gid, *map(pa.array, sums)], names=["gid", *names, "interactions"])
 
 
-def _dense(mine: _Side, theirs: _Side, own: slice, other: slice, force, met, eps, sig) -> None:
+def _dense(mine: _Side, theirs: _Side, own: slice, other: slice, twice: bool, eps, sig) -> None:
     """Some receivers at a time against a whole block."""
     width = other.stop - other.start
     ids, gone = theirs.ids[other], theirs.gone[other]
@@ -130,26 +150,34 @@ def _dense(mine: _Side, theirs: _Side, own: slice, other: slice, force, met, eps
         k = _coefficient(apart, eps, sig, gone | mine.gone[rows, None] if odd else None)
         if odd:
             same = mine.ids[rows, None] == ids
-            met[rows] -= same.sum(1)
+            mine.met[rows] -= same.sum(1)
+            theirs.met[other] -= same.sum(0)
             k[same] = 0.0
             for d, a, b in zip(apart, mine.lost, theirs.lost, strict=True):
                 d[same | a[rows, None] | b[other]] = 0.0
-        for f, d in zip(force, apart, strict=True):
-            f[rows] = np.vecdot(k, d)
+        for f, g, d in zip(mine.force, theirs.force, apart, strict=True):
+            if twice:
+                d *= k
+                f[rows] = d.sum(1)
+                g[other] -= d.sum(0)
+            else:
+                f[rows] = np.vecdot(k, d)
 
 
-def _flat(mine: _Side, theirs: _Side, rows, first, force, met, eps, sig) -> None:
+def _flat(mine: _Side, theirs: _Side, rows, sizes, first, twice, eps, sig) -> None:
     """Receivers of several blocks, each against the block that begins at ``first``."""
-    sizes = met[rows]
     i = np.repeat(np.arange(len(rows)), sizes)
     j = np.arange(len(i)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first, sizes)
-    own = rows[i]
+    own, turned = rows[i], twice[i]
     apart = [a[own] - b[j] for a, b in zip(mine.at, theirs.at, strict=True)]
     k = _coefficient(apart, eps, sig, theirs.gone[j] | mine.gone[own])
     same = mine.ids[own] == theirs.ids[j]
     k[same] = 0.0
     for d, a, b in zip(apart, mine.lost, theirs.lost, strict=True):
         d[same | a[own] | b[j]] = 0.0
-    for f, d in zip(force, apart, strict=True):
-        f[rows] = np.bincount(i, k * d, len(rows))
-    met[rows] -= np.bincount(i[same], minlength=len(rows))
+    for f, g, d in zip(mine.force, theirs.force, apart, strict=True):
+        d *= k
+        f[rows] = np.bincount(i, d, len(rows))
+        np.subtract.at(g, j[turned], d[turned])
+    mine.met[rows] -= np.bincount(i[same], minlength=len(rows))
+    np.subtract.at(theirs.met, j[same], 1)

@@ -82,3 +82,26 @@ def test_a_crowded_cell_is_dealt_out(spark, crowd, of, monkeypatch):
             spark.conf.unset(key)
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(tasks) == 16 and tasks[-1] <= 3 * tasks[8]
+
+
+@pytest.mark.parametrize("block", [blocks.BLOCK, 40, 3])
+def test_two_blocks_meet_once(spark, crowd, block):
+    """Each pair of different rows comes once, in one order or as one that stands for both, so little over half of them are made."""
+    near = blocks.block_pairs(crowd, crowd, F.col("gid"), DIMS, block, once=True).cache()
+    made = near.select(F.explode("mine").alias("gid"), "theirs", "twice").select("gid", F.explode("theirs").alias("gid_s"), "twice")
+    both = made.select("gid", "gid_s").unionByName(made.where("twice").select(F.col("gid_s").alias("gid"), F.col("gid").alias("gid_s"))).where("gid <> gid_s")
+    plain = spatial.neighbour_pairs(crowd, crowd, DIMS).select("gid", "gid_s")
+    assert both.count() == plain.count() and both.exceptAll(plain).isEmpty()
+    if block == 40:
+        assert made.count() < 0.6 * plain.count()
+
+
+def test_both_orders_of_odd_rows(spark, crowd):
+    """An id that two cells hold meets itself in neither order, and lost positions push neither side."""
+    lost = crowd.withColumn("x", F.when(F.col("gid") % 5 == 0, None).otherwise(F.col("x")))
+    lost = lost.unionByName(lost.where("gid % 7 = 1").withColumn("cx", F.col("cx") + 1)).cache()
+    apart = lost.select("*")  # another DataFrame: every order is made
+    for block in (100, 7):
+        sums = [blocks.force_parts(lost, s, 1.0, SIG, DIMS, block).groupBy("gid").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"), F.sum("interactions").alias("interactions")) for s in (lost, apart)]
+        _same({r["gid"]: r for r in sums[0].collect()}, {r["gid"]: r for r in sums[1].collect() if r["interactions"]})
+        _same({r["gid"]: r for r in sums[0].collect()}, _plain(lost, lost))
