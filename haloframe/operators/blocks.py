@@ -4,7 +4,7 @@ The pairs of a short-range force grow with the square of the density, and a row
 Here a cell's particles are dealt into blocks of about ``BLOCK`` rows, blocks of neighbouring cells are joined, and the pairs of blocks
 are dealt out evenly, whichever cells they are of.  So a task holds some blocks at a time, no crowded cell lands in one task, and the
 pairs themselves are made where they are used.  Where receivers and sources are the same rows, two blocks meet once: what one particle
-does to another is what that does to it, turned round.
+does to another is what that does to it, turned round.  If only some rows are the same on both sides, blocks of these do so.
 
 Rows without an id or without a cell meet nothing.
 """
@@ -29,33 +29,42 @@ ROWS_BLOCK = 256
 AT_ONCE = 32_768
 
 
-def blocks(rows: DataFrame, held: Column, dims=POSITION, block: int = BLOCK) -> DataFrame:
-    """``c<dim>, block, held``: each filled cell's rows as arrays of ``held``, dealt by hashes of their ids."""
-    cells = [f"c{d}" for d in dims]
+def blocks(rows: DataFrame, held: Column, dims=POSITION, block: int = BLOCK, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``c<dim>, block, held``: each filled cell's rows (and of each of further ``keys``) as arrays of ``held``, dealt by hashes of their ids."""
+    cells = [*keys, *[f"c{d}" for d in dims]]
     dealt = F.pmod(F.xxhash64("gid"), F.ceil(F.col("n") / F.lit(block))).alias("block")
-    own = rows.where("gid IS NOT NULL").join(histogram(rows, dims), cells).select(*cells, dealt, held.alias("held"))
+    own = rows.where("gid IS NOT NULL").join(histogram(rows, dims, keys), cells).select(*cells, dealt, held.alias("held"))
     return own.groupBy(*cells, "block").agg(F.collect_list("held").alias("held"))
 
 
-def block_pairs(receivers: DataFrame, sources: DataFrame, held: Column, dims=POSITION, block: int = BLOCK, once: bool = False) -> DataFrame:
+def block_pairs(receivers: DataFrame, sources: DataFrame, held: Column, dims=POSITION, block: int = BLOCK, once: bool | str = False) -> DataFrame:
     """``mine, theirs``: the blocks of receivers with each block of sources in a neighbouring cell, dealt out by hashes of both.
 
     Full blocks make the same number of pairs a byte, so what Spark deals out by bytes is dealt out by pairs.  If receivers and
     sources are the same rows, two blocks can meet ``once``: ``twice`` then tells those that stand for both orders from a block with itself.
+    ``once`` can also name a column of both sides, true for the rows that are the same on both, their cell among it: these have blocks of
+    their own, which meet once, and all others meet in the orders that their cells give.
     """
     cells = [f"c{d}" for d in dims]
     own = [f"{c}_r" for c in cells]
-    mine = blocks(receivers, held, dims, block).withColumnRenamed("held", "mine").withColumns({r: F.col(c) for r, c in zip(own, cells, strict=True)})
+    keys = (once,) if isinstance(once, str) else ()
+    kinds = [f"{k}_{side}" for k in keys for side in ("r", "s")]
+    if keys:
+        receivers, sources = (rows.withColumn(once, F.coalesce(once, F.lit(False))) for rows in (receivers, sources))
+    mine = blocks(receivers, held, dims, block, keys).withColumnsRenamed({"held": "mine"} | {k: f"{k}_r" for k in keys})
+    mine = mine.withColumns({r: F.col(c) for r, c in zip(own, cells, strict=True)})
     for c in cells:
         mine = mine.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
-    theirs = blocks(sources, held, dims, block).withColumnsRenamed({"held": "theirs", "block": "block_s"})
-    here, there = F.struct(*own, "block"), F.struct(*cells, "block_s")
-    if once:
+    theirs = blocks(sources, held, dims, block, keys).withColumnsRenamed({"held": "theirs", "block": "block_s"} | {k: f"{k}_s" for k in keys})
+    if once is True:
         mine = mine.where(F.struct(*own) <= F.struct(*cells))
-        near = mine.join(theirs, cells).where(here <= there).withColumn("twice", here < there)
-    else:
-        near = mine.join(theirs, cells)
-    return near.repartition(*cells, "block_s", *own, "block").drop(*cells, "block_s", *own, "block")
+    near = mine.join(theirs, cells)
+    if once:
+        here, there = F.struct(*own, "block"), F.struct(*cells, "block_s")
+        same = reduce(Column.__and__, map(F.col, kinds), F.lit(True))
+        near = near.where(~same | (here <= there)).withColumn("twice", same & (here < there))
+    by = [*cells, "block_s", *own, "block", *kinds]
+    return near.repartition(*by).drop(*by)
 
 
 def id_pairs(receivers: DataFrame, sources: DataFrame, dims=POSITION, block: int = ROWS_BLOCK) -> DataFrame:
@@ -64,13 +73,14 @@ def id_pairs(receivers: DataFrame, sources: DataFrame, dims=POSITION, block: int
     return near.select(F.explode("mine").alias("gid"), "theirs").select("gid", F.explode("theirs").alias("gid_s")).where("gid <> gid_s")
 
 
-def force_parts(receivers: DataFrame, sources: DataFrame, eps: float, sig: float, dims=POSITION, block: int = BLOCK) -> DataFrame:
+def force_parts(receivers: DataFrame, sources: DataFrame, eps: float, sig: float, dims=POSITION, block: int = BLOCK, same: str | None = None) -> DataFrame:
     """``gid, f<dim>, interactions``: for each receiver and each block that it meets, the summed Lennard-Jones force and the pairs.
 
-    Given the same DataFrame as receivers and sources, each two particles' coefficient is computed once.
+    Given the same DataFrame as receivers and sources, each two particles' coefficient is computed once.  So it is for the rows that a
+    column ``same`` of both sides names as those with one cell and one position on either.
     """
     held = F.struct("gid", *[F.col(d).cast("double").alias(d) for d in dims])
-    near = block_pairs(receivers, sources, held, dims, block, once=receivers is sources)
+    near = block_pairs(receivers, sources, held, dims, block, once=receivers is sources or same or False)
     kind = receivers.schema["gid"].dataType.simpleString()
 
     def summed(batches):

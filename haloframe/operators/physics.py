@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,12 +90,16 @@ def reflect_sphere(particles: DataFrame, radius: float, dims=POSITION, centre: t
 
 
 def step(particles: DataFrame, rc: float, dt: float, eps: float, sig: float, low: float, high: float, bounce: float = 1.0) -> DataFrame:
-    """One step: sources are found in the cells they had before the drift, everything else is after it."""
+    """One step: sources are found in the cells they had before the drift, everything else is after it.
+
+    Most particles stay in their cell, and each two of those are met once.
+    """
     before = {f"o{d}": cell(d, rc) for d in POSITION}
     moved = reflect_box(kick_drift(particles.select("gid", *POSITION, "vx", "vy", "vz").withColumns(before), rc, dt), low, high, bounce)
+    moved = moved.withColumn("stayed", reduce(Column.__and__, [F.col(f"o{d}") == cell(d, rc) for d in POSITION]))
     receivers = moved.withColumns({f"c{d}": cell(d, rc) for d in POSITION}).drop(*before)
     sources = moved.withColumnsRenamed({f"o{d}": f"c{d}" for d in POSITION})
-    forced = pair_forces(receivers, sources, eps, sig)
+    forced = pair_forces(receivers, sources, eps, sig, same="stayed").drop("stayed")
     return forced.withColumns({f"v{d}": F.col(f"v{d}") + F.col(f"f{d}") * dt / 2 for d in POSITION})
 
 

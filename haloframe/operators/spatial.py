@@ -93,21 +93,21 @@ def neighbour_pairs(receivers: DataFrame, sources: DataFrame, dims=POSITION) ->
     return around.join(there, keys).where("gid <> gid_s")
 
 
-def force_sums(receivers: DataFrame, sources: DataFrame, eps: float, sig: float, dims=POSITION, unary: dict[str, Column] | None = None) -> DataFrame:
+def force_sums(receivers: DataFrame, sources: DataFrame, eps: float, sig: float, dims=POSITION, unary: dict[str, Column] | None = None, same: str | None = None) -> DataFrame:
     """Per receiver ``gid`` the summed force ``f<dim>``, on top of the ``unary`` one, and its interactions, itself counted.
 
     Pairs are made and summed by blocks (``blocks.force_parts``), so no row is made for one.  Every receiver adds a row of its own to
-    the sums, so those without neighbours stay without a second join.
+    the sums, so those without neighbours stay without a second join.  ``same`` is that of ``blocks.force_parts``.
     """
-    each = force_parts(receivers, sources, eps, sig, dims)
+    each = force_parts(receivers, sources, eps, sig, dims, same=same)
     one = F.lit(1).cast("bigint").alias("interactions")
     own = receivers.select("gid", *[(unary[d] if unary else F.lit(0.0)).alias(f"f{d}") for d in dims], one)
     return each.unionByName(own).groupBy("gid").agg(*[F.sum(f"f{d}").alias(f"f{d}") for d in dims], F.sum("interactions").alias("interactions"))
 
 
-def pair_forces(receivers: DataFrame, sources: DataFrame, eps: float, sig: float, dims=POSITION, unary: dict[str, Column] | None = None) -> DataFrame:
+def pair_forces(receivers: DataFrame, sources: DataFrame, eps: float, sig: float, dims=POSITION, unary: dict[str, Column] | None = None, same: str | None = None) -> DataFrame:
     """The receivers with their ``force_sums``, without cells."""
-    return receivers.drop(*[f"c{d}" for d in dims]).join(force_sums(receivers, sources, eps, sig, dims, unary), "gid")
+    return receivers.drop(*[f"c{d}" for d in dims]).join(force_sums(receivers, sources, eps, sig, dims, unary, same), "gid")
 
 
 def local_ids(rows: DataFrame, part: str = "part", key: str = "gid") -> DataFrame:

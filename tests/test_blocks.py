@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from haloframe.functions.vectors import lj_coefficient
-from haloframe.operators import blocks, spatial
+from haloframe.operators import blocks, physics, spatial
 from haloframe.plans import catalogue
 
 DIMS, SIG = ("x", "y"), 0.05
@@ -105,3 +105,34 @@ def test_both_orders_of_odd_rows(spark, crowd):
         sums = [blocks.force_parts(lost, s, 1.0, SIG, DIMS, block).groupBy("gid").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"), F.sum("interactions").alias("interactions")) for s in (lost, apart)]
         _same({r["gid"]: r for r in sums[0].collect()}, {r["gid"]: r for r in sums[1].collect() if r["interactions"]})
         _same({r["gid"]: r for r in sums[0].collect()}, _plain(lost, lost))
+
+
+@pytest.mark.parametrize("block", [blocks.BLOCK, 40, 7])
+def test_rows_that_stayed_meet_once(spark, crowd, block):
+    """A part of the rows left its cell: the others are the same on both sides, so their blocks meet once."""
+    here = crowd.withColumn("stayed", F.when(F.col("gid") % 9 == 0, None).otherwise(F.col("gid") % 5 != 0)).withColumn("x", F.when(F.col("gid") % 11 == 0, None).otherwise(F.col("x")))
+    there = here.withColumn("cx", F.when(F.col("stayed"), F.col("cx")).otherwise(F.col("cx") + F.col("gid") % 3 - 1)).cache()
+    sums = blocks.force_parts(here, there, 1.0, SIG, DIMS, block, same="stayed").groupBy("gid").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"), F.sum("interactions").alias("interactions"))
+    _same({r["gid"]: r for r in sums.collect()}, _plain(here, there))
+    if block == 40:
+        made = blocks.block_pairs(here, there, F.col("gid"), DIMS, block, once="stayed").agg(F.sum(F.size("mine") * F.size("theirs")), F.sum(F.when(F.col("twice"), 1))).first()
+        assert made[1] and made[0] < 0.8 * spatial.neighbour_pairs(here, there, DIMS).count()
+
+
+def test_a_step_makes_fewer_pairs(spark):
+    """A step hands on which particles stayed; before, every pair was made in both orders."""
+    rng = random.Random(4)
+    rows = [(k, *[rng.uniform(0, 0.2) for _ in range(3)], *[rng.uniform(-0.1, 0.1) for _ in range(3)]) for k in range(600)]
+    own = spark.createDataFrame(rows, "gid long, x double, y double, z double, vx double, vy double, vz double")
+    made, plain = [], blocks.block_pairs
+
+    def counted(receivers, sources, held, dims, block, **how):
+        made.append((plain(receivers, sources, held, dims, 20, **how), receivers, sources))
+        return made[-1][0]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(blocks, "block_pairs", counted)
+        stepped = physics.step(own, **catalogue.STEP)
+        assert stepped.columns == [*own.columns, "fx", "fy", "fz", "interactions"] and stepped.count() == 600
+    ((near, receivers, sources),) = made
+    assert near.agg(F.sum(F.size("mine") * F.size("theirs"))).first()[0] < 0.8 * spatial.neighbour_pairs(receivers, sources).count()
