@@ -30,10 +30,16 @@ AT_ONCE = 32_768
 
 
 def blocks(rows: DataFrame, held: Column, dims=POSITION, block: int = BLOCK, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``c<dim>, block, held``: each filled cell's rows (and of each of further ``keys``) as arrays of ``held``, dealt by hashes of their ids."""
+    """``c<dim>, block, held``: each filled cell's rows (and of each of further ``keys``) as arrays of ``held``, dealt by hashes of their ids.
+
+    Only cells of more than ``block`` rows need a deal, and there is at most one of them for so many rows: these go to every task, so
+    rows are shuffled by cell and block only, and a crowded cell's rows never lie together.
+    """
     cells = [*keys, *[f"c{d}" for d in dims]]
-    dealt = F.pmod(F.xxhash64("gid"), F.ceil(F.col("n") / F.lit(block))).alias("block")
-    own = rows.where("gid IS NOT NULL").join(histogram(rows, dims, keys), cells).select(*cells, dealt, held.alias("held"))
+    crowded = F.broadcast(histogram(rows, dims, keys).where(F.col("n") > block))
+    dealt = F.coalesce(F.pmod(F.xxhash64("gid"), F.ceil(F.col("n") / F.lit(block))), F.lit(0).cast("bigint")).alias("block")
+    filed = reduce(Column.__and__, [F.col(c).isNotNull() for c in ("gid", *cells)])
+    own = rows.where(filed).join(crowded, cells, "left").select(*cells, dealt, held.alias("held"))
     return own.groupBy(*cells, "block").agg(F.collect_list("held").alias("held"))
 
 

@@ -84,6 +84,22 @@ def test_a_crowded_cell_is_dealt_out(spark, crowd, of, monkeypatch):
     assert len(tasks) == 16 and tasks[-1] <= 3 * tasks[8]
 
 
+def test_a_crowded_cell_is_filed_by_many_tasks(spark, crowd):
+    """A cell's rows are filed block by block; before, the join that counts them brought all of them to one task."""
+    for key, value in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false"), ("spark.sql.shuffle.partitions", "16")):
+        spark.conf.set(key, value)
+    try:
+        filed = blocks.blocks(crowd, F.col("gid"), DIMS, 24).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    here = [r for r in filed if (r["cx"], r["cy"]) == (0, 0)]
+    tasks = {t: sum(len(r["held"]) for r in here if r["task"] == t) for t in {r["task"] for r in here}}
+    assert sum(tasks.values()) > 800 and max(tasks.values()) < sum(tasks.values()) / 3 and len(tasks) > 8
+    assert sorted(g for r in filed for g in r["held"]) == sorted(r["gid"] for r in crowd.where("gid IS NOT NULL AND cx IS NOT NULL AND cy IS NOT NULL").collect())
+
+
 @pytest.mark.parametrize("block", [blocks.BLOCK, 40, 3])
 def test_two_blocks_meet_once(spark, crowd, block):
     """Each pair of different rows comes once, in one order or as one that stands for both, so little over half of them are made."""
