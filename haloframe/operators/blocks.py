@@ -11,6 +11,7 @@ Rows without an id or without a cell meet nothing.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -27,6 +28,10 @@ BLOCK = 4096
 ROWS_BLOCK = 256
 #: Pairs held as arrays at a time: some 250 KB an array, which a core's cache holds.
 AT_ONCE = 32_768
+#: Pairs, counted in both orders, that a task is to make: some ten seconds of forces.
+PAIRS_A_TASK = 1 << 30
+#: Up to so many tasks, Spark's own number of them does; more than the most cost more than they spread.
+FEW, MOST_TASKS = 16, 1 << 14
 
 
 def blocks(rows: DataFrame, held: Column, dims=POSITION, block: int = BLOCK, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -43,11 +48,19 @@ def blocks(rows: DataFrame, held: Column, dims=POSITION, block: int = BLOCK, key
     return own.groupBy(*cells, "block").agg(F.collect_list("held").alias("held"))
 
 
+def tasks_for(receivers: DataFrame, sources: DataFrame, dims=POSITION) -> int:
+    """How many tasks make ``PAIRS_A_TASK`` each at most, by the largest number of pairs that the cells' counts allow."""
+    sides = [receivers] if receivers is sources else [receivers, sources]
+    squares = [histogram(rows, dims).agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0 for rows in sides]
+    return min(MOST_TASKS, math.ceil(3 ** len(dims) * math.sqrt(squares[0] * squares[-1]) / PAIRS_A_TASK))
+
+
 def block_pairs(receivers: DataFrame, sources: DataFrame, held: Column, dims=POSITION, block: int = BLOCK, once: bool | str = False) -> DataFrame:
     """``mine, theirs``: the blocks of receivers with each block of sources in a neighbouring cell, dealt out by hashes of both.
 
-    Full blocks make the same number of pairs a byte, so what Spark deals out by bytes is dealt out by pairs.  If receivers and
-    sources are the same rows, two blocks can meet ``once``: ``twice`` then tells those that stand for both orders from a block with itself.
+    Full blocks make the same number of pairs a byte, so what Spark deals out by bytes is dealt out by pairs; where they are many,
+    the cells are counted first and as many tasks made as that takes.  If receivers and sources are the same rows, two blocks can
+    meet ``once``: ``twice`` then tells those that stand for both orders from a block with itself.
     ``once`` can also name a column of both sides, true for the rows that are the same on both, their cell among it: these have blocks of
     their own, which meet once, and all others meet in the orders that their cells give.
     """
@@ -55,6 +68,7 @@ def block_pairs(receivers: DataFrame, sources: DataFrame, held: Column, dims=POS
     own = [f"{c}_r" for c in cells]
     keys = (once,) if isinstance(once, str) else ()
     kinds = [f"{k}_{side}" for k in keys for side in ("r", "s")]
+    tasks = tasks_for(receivers, sources, dims)
     if keys:
         receivers, sources = (rows.withColumn(once, F.coalesce(once, F.lit(False))) for rows in (receivers, sources))
     mine = blocks(receivers, held, dims, block, keys).withColumnsRenamed({"held": "mine"} | {k: f"{k}_r" for k in keys})
@@ -70,6 +84,8 @@ def block_pairs(receivers: DataFrame, sources: DataFrame, held: Column, dims=POS
         same = reduce(Column.__and__, map(F.col, kinds), F.lit(True))
         near = near.where(~same | (here <= there)).withColumn("twice", same & (here < there))
     by = [*cells, "block_s", *own, "block", *kinds]
+    if tasks > FEW:
+        return near.repartition(max(tasks, near.sparkSession.sparkContext.defaultParallelism), *by).drop(*by)
     return near.repartition(*by).drop(*by)
 
 

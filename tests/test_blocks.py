@@ -100,6 +100,15 @@ def test_a_crowded_cell_is_filed_by_many_tasks(spark, crowd):
     assert sorted(g for r in filed for g in r["held"]) == sorted(r["gid"] for r in crowd.where("gid IS NOT NULL AND cx IS NOT NULL AND cy IS NOT NULL").collect())
 
 
+def test_more_pairs_make_more_tasks(spark, crowd, monkeypatch):
+    """A task's pairs do not grow with all pairs; before, the session's number of tasks was the most."""
+    monkeypatch.setattr(blocks, "PAIRS_A_TASK", 20_000, raising=False)
+    sums = blocks.force_parts(crowd, crowd, 1.0, SIG, DIMS, 24).groupBy(F.spark_partition_id()).agg(F.sum("interactions").alias("n")).collect()
+    pairs = spatial.neighbour_pairs(crowd, crowd, DIMS).count()
+    assert sum(r["n"] for r in sums) == pairs > 600_000 and max(r["n"] for r in sums) < 60_000
+    assert blocks.tasks_for(crowd, crowd, DIMS) * 20_000 >= pairs and blocks.tasks_for(crowd.limit(0), crowd, DIMS) == 0
+
+
 @pytest.mark.parametrize("block", [blocks.BLOCK, 40, 3])
 def test_two_blocks_meet_once(spark, crowd, block):
     """Each pair of different rows comes once, in one order or as one that stands for both, so little over half of them are made."""
