@@ -30,6 +30,8 @@ ROWS_BLOCK = 256
 AT_ONCE = 32_768
 #: Pairs, counted in both orders, that a task is to make: some ten seconds of forces.
 PAIRS_A_TASK = 1 << 30
+#: Pairs that a task is to make as rows, about half a minute if they are written; and so many blocks a side then go to one task together.
+ROWS_A_TASK, TOGETHER = 1 << 26, 8
 #: Up to so many tasks, Spark's own number of them does; more than the most cost more than they spread.
 FEW, MOST_TASKS = 16, 1 << 14
 
@@ -48,18 +50,19 @@ def blocks(rows: DataFrame, held: Column, dims=POSITION, block: int = BLOCK, key
     return own.groupBy(*cells, "block").agg(F.collect_list("held").alias("held"))
 
 
-def tasks_for(receivers: DataFrame, sources: DataFrame, dims=POSITION) -> int:
-    """How many tasks make ``PAIRS_A_TASK`` each at most, by the largest number of pairs that the cells' counts allow."""
+def tasks_for(receivers: DataFrame, sources: DataFrame, dims=POSITION, each: int | None = None) -> int:
+    """How many tasks make ``each`` (else ``PAIRS_A_TASK``) pairs at most, by the largest number of pairs that the cells' counts allow."""
     sides = [receivers] if receivers is sources else [receivers, sources]
     squares = [histogram(rows, dims).agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0 for rows in sides]
-    return min(MOST_TASKS, math.ceil(3 ** len(dims) * math.sqrt(squares[0] * squares[-1]) / PAIRS_A_TASK))
+    return min(MOST_TASKS, math.ceil(3 ** len(dims) * math.sqrt(squares[0] * squares[-1]) / (each or PAIRS_A_TASK)))
 
 
-def block_pairs(receivers: DataFrame, sources: DataFrame, held: Column, dims=POSITION, block: int = BLOCK, once: bool | str = False) -> DataFrame:
+def block_pairs(receivers: DataFrame, sources: DataFrame, held: Column, dims=POSITION, block: int = BLOCK, once: bool | str = False, each: int | None = None, together: int = 1) -> DataFrame:
     """``mine, theirs``: the blocks of receivers with each block of sources in a neighbouring cell, dealt out by hashes of both.
 
     Full blocks make the same number of pairs a byte, so what Spark deals out by bytes is dealt out by pairs; where they are many,
-    the cells are counted first and as many tasks made as that takes.  If receivers and sources are the same rows, two blocks can
+    the cells are counted first and as many tasks made as ``each`` takes; then ``together`` blocks of one cell go with as many of another to
+    one task, which so holds few ids.  If receivers and sources are the same rows, two blocks can
     meet ``once``: ``twice`` then tells those that stand for both orders from a block with itself.
     ``once`` can also name a column of both sides, true for the rows that are the same on both, their cell among it: these have blocks of
     their own, which meet once, and all others meet in the orders that their cells give.
@@ -68,7 +71,7 @@ def block_pairs(receivers: DataFrame, sources: DataFrame, held: Column, dims=POS
     own = [f"{c}_r" for c in cells]
     keys = (once,) if isinstance(once, str) else ()
     kinds = [f"{k}_{side}" for k in keys for side in ("r", "s")]
-    tasks = tasks_for(receivers, sources, dims)
+    tasks = tasks_for(receivers, sources, dims, each)
     if keys:
         receivers, sources = (rows.withColumn(once, F.coalesce(once, F.lit(False))) for rows in (receivers, sources))
     mine = blocks(receivers, held, dims, block, keys).withColumnsRenamed({"held": "mine"} | {k: f"{k}_r" for k in keys})
@@ -85,13 +88,17 @@ def block_pairs(receivers: DataFrame, sources: DataFrame, held: Column, dims=POS
         near = near.where(~same | (here <= there)).withColumn("twice", same & (here < there))
     by = [*cells, "block_s", *own, "block", *kinds]
     if tasks > FEW:
-        return near.repartition(max(tasks, near.sparkSession.sparkContext.defaultParallelism), *by).drop(*by)
+        dealt = [F.floor(F.col(b) / F.lit(together)) if b in ("block", "block_s") else F.col(b) for b in by]
+        return near.repartition(max(tasks, near.sparkSession.sparkContext.defaultParallelism), *dealt).drop(*by)
     return near.repartition(*by).drop(*by)
 
 
 def id_pairs(receivers: DataFrame, sources: DataFrame, dims=POSITION, block: int = ROWS_BLOCK) -> DataFrame:
-    """``gid, gid_s``: ordered pairs of different particles in neighbouring cells."""
-    near = block_pairs(receivers, sources, F.col("gid"), dims, block)
+    """``gid, gid_s``: ordered pairs of different particles in neighbouring cells.
+
+    A row costs far more than a pair's force, so a task makes fewer of them.  Rows of few ids make small files: their dictionaries hold.
+    """
+    near = block_pairs(receivers, sources, F.col("gid"), dims, block, each=ROWS_A_TASK, together=TOGETHER)
     return near.select(F.explode("mine").alias("gid"), "theirs").select("gid", F.explode("theirs").alias("gid_s")).where("gid <> gid_s")
 
 

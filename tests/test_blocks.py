@@ -109,6 +109,20 @@ def test_more_pairs_make_more_tasks(spark, crowd, monkeypatch):
     assert blocks.tasks_for(crowd, crowd, DIMS) * 20_000 >= pairs and blocks.tasks_for(crowd.limit(0), crowd, DIMS) == 0
 
 
+def test_more_rows_make_more_tasks(spark, crowd, monkeypatch):
+    """A task of the pair list makes fewer pairs than one of forces, and of few ids; before, it made as many, of blocks from everywhere."""
+    monkeypatch.setattr(blocks, "ROWS_A_TASK", 20_000, raising=False)
+    plain = spatial.neighbour_pairs(crowd, crowd, DIMS).select("gid", "gid_s")
+    got, held = blocks.id_pairs(crowd, crowd, DIMS, 4), []
+    assert got.count() == plain.count() > 600_000 and got.exceptAll(plain).isEmpty()
+    for together in (8, 1):
+        monkeypatch.setattr(blocks, "TOGETHER", together, raising=False)
+        tasks = blocks.id_pairs(crowd, crowd, DIMS, 4).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("gid_s").alias("ids")).collect()
+        assert max(r["n"] for r in tasks) < 60_000
+        held.append(sum(r["ids"] for r in tasks))
+    assert held[0] < held[1] / 3
+
+
 @pytest.mark.parametrize("block", [blocks.BLOCK, 40, 3])
 def test_two_blocks_meet_once(spark, crowd, block):
     """Each pair of different rows comes once, in one order or as one that stands for both, so little over half of them are made."""
